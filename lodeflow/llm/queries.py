@@ -1,9 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
+from .token_files import op10_rans_token_files
 
 QUERIES = {
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
+    "op10_rans_token_files": op10_rans_token_files,
 }
 ORACLES = {
     "op8_minmax_near_dedup": OP8_SQL,
