@@ -1,9 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
 from .token_files import op10_rans_token_files
 
 QUERIES = {
+    "op6_golden_ratio_mix": op6_golden_ratio_mix,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op10_rans_token_files": op10_rans_token_files,
 }
