@@ -2,9 +2,11 @@
 
 from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
+from .quality import op1_zstd_quality
 from .token_files import op10_rans_token_files
 
 QUERIES = {
+    "op1_zstd_quality": op1_zstd_quality,
     "op6_golden_ratio_mix": op6_golden_ratio_mix,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op10_rans_token_files": op10_rans_token_files,
