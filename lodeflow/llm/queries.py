@@ -4,13 +4,16 @@ from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
 from .quality import op1_zstd_quality
 from .token_files import op10_rans_token_files
+from .winnowing import OP5_SQL, op5_winnowing_decontamination
 
 QUERIES = {
+    "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op1_zstd_quality": op1_zstd_quality,
     "op6_golden_ratio_mix": op6_golden_ratio_mix,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op10_rans_token_files": op10_rans_token_files,
 }
 ORACLES = {
+    "op5_winnowing_decontamination": OP5_SQL,
     "op8_minmax_near_dedup": OP8_SQL,
 }
