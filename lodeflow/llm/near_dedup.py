@@ -5,9 +5,12 @@ costs p evaluations. Bands of places become bucket keys; documents that share a
 candidate link is confirmed on the full shingle sets.
 
 Documents with equal sets form one class, which the smallest doc_id stands for. In a bucket, members are first compared
-with its smallest and its largest member only (a star, not all pairs). What the confirmed links join needs no more
-comparing; only members of one bucket which are still in different components are then compared with each other. In
-buckets with many components left, members are dealt into finer buckets by pairs of bands first.
+with its smallest and its largest member only (a star, not all pairs), then those outside the component of the smallest
+with two members of it drawn at random. What the confirmed links join needs no more comparing; only members of one bucket
+that are still in different components are then compared, and only if their odd sketches allow a link: the sketch holds
+the parity of the number of set members in each of its bins, so two sketches differ in no more bits than their sets have
+members apart, and no link is lost. In buckets with many components left, members are first dealt into finer buckets by
+pairs of bands.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import hashed, mix, pick, portions, staged, utf8
 from .components import components
 
-PERMUTATIONS, BANDS = 48, 24
+PERMUTATIONS, BANDS, SKETCH = 48, 24, 1024
 CHUNK = 1_500_000
 
 
@@ -69,8 +72,14 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def _odd_sketch(members: np.ndarray) -> np.ndarray:
+    """The parity of the number of members in each of SKETCH bins, as 64-bit words."""
+    odd = np.bincount((members >> np.uint64(13)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, set_key, bands); bands is null where the set is empty."""
+    """(doc_id, text) -> (doc_id, n_shingles, set_key, bands, odd); the last two are null where the set is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,10 +94,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         "n_shingles": [len(s) for s in sets],
                         "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                         "bands": [next(keys) if len(s) else None for s in sets],
+                        "odd": [_odd_sketch(s) if len(s) else None for s in sets],
                     }
                 )
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -101,6 +111,19 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInPandas(run, "node long, members array<long>")
 
 
+def _allowed(percent: int, na: str, nb: str, oa: str, ob: str):
+    """Whether sizes and odd sketches allow a link: a necessary condition, never false for a link."""
+    apart = F.lit(0)
+    for i in range(SKETCH // 64):
+        apart = apart + F.bit_count(F.get(oa, F.lit(i)).bitwiseXOR(F.get(ob, F.lit(i))))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart * (100 + percent) <= (100 - percent) * (F.col(na) + F.col(nb)))
+
+
+def _likely(pairs: DataFrame, standing: DataFrame, percent: int) -> DataFrame:
+    left, right = (standing.select(F.col("node").alias(f"{s}_"), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"o{s}")) for s in "ab")
+    return pairs.join(left, F.col("a") == F.col("a_")).join(right, (F.col("b") == F.col("b_")) & _allowed(percent, "na", "nb", "oa", "ob")).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     left, right = (sets.select(F.col("node").alias(f"{s}_"), F.col("members").alias(f"m{s}")) for s in "ab")
@@ -109,6 +132,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("s_", shared).where(F.col("s_") * 100 >= percent * (F.size("ma") + F.size("mb") - F.col("s_"))).select("a", "b")
 
 
+def _open_buckets(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(bucket, node, part, p0, parts) of the buckets that hold more than one component; p0 is the smallest one."""
+    parts = components(links).withColumnRenamed("node", "node_")
+    placed = shared.select("bucket", "node").join(parts, F.col("node") == F.col("node_"), "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    several = placed.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.approx_count_distinct("part").alias("parts")).where("p0 < p1")
+    return staged(placed.join(several.select("bucket", "p0", "parts"), "bucket"), "open")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: its set's size, the smallest doc_id reachable over links.
 
@@ -121,27 +152,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     signed = staged(signatures(rows, k), "signatures")
     usable = signed.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node"))
-    standing = usable.join(classes.select("node", F.col("set_key").alias("own")), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("own"))).select("node", F.col("n_shingles").alias("n"), "bands")
-    standing = staged(standing.dropDuplicates(["node"]), "classes")
-    members = standing.select("node", "n", F.explode("bands").alias("bucket"))
+    standing = usable.join(classes.select("node", F.col("set_key").alias("own")), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("own")))
+    standing = staged(standing.select("node", F.col("n_shingles").alias("n"), "bands", "odd").dropDuplicates(["node"]), "classes")
+    members = standing.select("node", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = staged(members.join(stars, "bucket"), "buckets")
-    pairs = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     wanted = shared.select(F.col("node").alias("want")).distinct()
     sets = staged(_sets(rows.join(wanted, F.col("doc_id") == F.col("want"), "left_semi"), k).dropDuplicates(["node"]), "sets")
-    links = staged(_confirmed(pairs, sets, percent), "confirmed")
-    parts = components(links)
-    placed = shared.select("bucket", "node", "n").join(parts.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
-    open_ = placed.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.approx_count_distinct("part").alias("parts")).where("p0 < p1")
-    placed = staged(placed.join(open_.select("bucket", "parts"), "bucket"), "open")
-    few = placed.where(F.col("parts") <= crowd).select("bucket", "node", "n", "part")
-    fine = placed.where(F.col("parts") > crowd).select("bucket", "node", "n", "part").join(standing.select(F.col("node").alias("own"), "bands"), F.col("node") == F.col("own"))
-    fine = fine.select("bucket", "node", "n", "part", F.explode("bands").alias("next")).where(F.col("next") != F.col("bucket")).select(F.xxhash64("bucket", "next").alias("bucket"), "node", "n", "part")
-    rest = few.union(fine)
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    cross = rest.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa")).join(other, "bucket")
-    cross = cross.where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-    more = _confirmed(cross.join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), sets, percent)
+    ends = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b"))))
+    pairs = shared.select(ends.alias("p")).select("p.*").where("a < b").distinct()
+    links = staged(_confirmed(_likely(pairs, standing, percent), sets, percent), "confirmed")
+
+    left = _open_buckets(shared, links)
+    core = left.where("part = p0").withColumn("h", F.xxhash64("node", "bucket"))
+    drawn = core.groupBy("bucket").agg(F.array(F.min("h"), F.max("h")).alias("hs")).select("bucket", F.explode(F.array_distinct("hs")).alias("h"))
+    pivots = core.join(drawn, ["bucket", "h"]).select(F.col("bucket").alias("at"), F.col("node").alias("pivot"))
+    pairs = left.where("part > p0").join(pivots, F.col("bucket") == F.col("at")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = staged(links.union(_confirmed(_likely(pairs, standing, percent), sets, percent)), "confirmed")
+
+    left = _open_buckets(shared, links).join(standing.withColumnRenamed("node", "own"), F.col("node") == F.col("own"))
+    few = left.where(F.col("parts") <= crowd).select("bucket", "node", "n", "odd", "part")
+    finer = left.where(F.col("parts") > crowd).select("bucket", "node", "n", "odd", "part", F.explode("bands").alias("next")).where(F.col("next") != F.col("bucket"))
+    rest = staged(few.union(finer.select(F.xxhash64(F.least("bucket", "next"), F.greatest("bucket", "next")).alias("bucket"), "node", "n", "odd", "part").distinct()), "rest")
+    one, two = (rest.select("bucket", *[F.col(c).alias(f"{c[0]}{s}") for c in ("node", "odd", "part")], F.col("n").alias(f"size{s}")) for s in "ab")
+    cross = one.join(two.withColumnRenamed("bucket", "bucket_"), (F.col("bucket") == F.col("bucket_")) & (F.col("na") < F.col("nb")) & (F.col("pa") != F.col("pb")) & _allowed(percent, "sizea", "sizeb", "oa", "ob"))
+    more = _confirmed(cross.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), sets, percent)
     final = components(links.union(more)).select(F.col("node").alias("node_"), F.col("component").alias("component_"))
     named = classes.select(F.col("set_key").alias("own"), F.col("node").alias("lead"))
     named = named.join(final, F.col("lead") == F.col("node_"), "left").select("own", F.coalesce("component_", "lead").alias("found"))
