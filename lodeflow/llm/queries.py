@@ -1,5 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from .hosts import OP3_SQL, op3_host_reputation
 from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
 from .quality import op1_zstd_quality
@@ -7,6 +8,7 @@ from .token_files import op10_rans_token_files
 from .winnowing import OP5_SQL, op5_winnowing_decontamination
 
 QUERIES = {
+    "op3_host_reputation": op3_host_reputation,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
     "op1_zstd_quality": op1_zstd_quality,
     "op6_golden_ratio_mix": op6_golden_ratio_mix,
@@ -14,6 +16,7 @@ QUERIES = {
     "op10_rans_token_files": op10_rans_token_files,
 }
 ORACLES = {
+    "op3_host_reputation": OP3_SQL,
     "op5_winnowing_decontamination": OP5_SQL,
     "op8_minmax_near_dedup": OP8_SQL,
 }
