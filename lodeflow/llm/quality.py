@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pick, utf8
+from .common import crc_mod, pick, ship, utf8
 
 PIECE, DICTIONARY, LEVEL = 2048, 1 << 16, 3
 PER_CLASS, EXCERPT = 1500, 8000
@@ -125,6 +126,19 @@ def score_quality(docs: DataFrame, model: Compressors, id_col: str = "doc_id", t
     return rows.mapInPandas(run, rows.select("doc_id", F.lit(0.0).alias("score")).schema)
 
 
+def keep_good(docs: DataFrame, model: Compressors, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is at least the given one; decided where the rows stand, without a shuffle."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.score([utf8(t) for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_zstd_quality(spark, sf_dir):
     from .common import table
 
