@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import pick, portions, shared_dir
 
-SCALE, LANES, BLOCK, FRAME, EVERY = 20, 512, 1 << 18, 1 << 22, 128
-CACHED = 400_000
-#: Characters on which the splitting pattern below and the library's own agree in any Unicode version.
-UNSAFE = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
-#: Fixed value: the splitting pattern of the byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SCALE, LANES, BLOCK, FRAME, EVERY = 20, 4096, 1 << 20, 1 << 22, 128
+CACHED = 700_000
+#: What keeps a text from being cut at its spaces: white space before a space, or characters which Unicode versions may
+#: class differently. ODD: the white space of one byte besides space and line feed, and controls that some count as such.
+WHOLE = re.compile("\\s |[^\\x00-\\x1b\\x20-\\x84\\x86-\u024f]")
+ODD = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 FRAME_SCHEMA = (
     "part int, frame int, n_tokens long, doc_ids array<long>, lengths array<long>, symbols binary, frequencies binary, "
     "blocks array<struct<n_tokens: int, crc: long, words: binary, places: array<int>, states: array<binary>>>"
@@ -34,22 +34,27 @@ FRAME_SCHEMA = (
 
 
 class Pieces:
-    """Ids of texts by the tokenizers library, which sees each distinct piece of the usual texts once while it is kept."""
+    """Ids of texts by the tokenizers library, which sees each distinct piece of the usual texts once while it is kept.
+
+    The byte-level splitting rule never joins a non-space with a space after it. So a text can be cut before each space
+    that follows a non-space, and its ids are those of the pieces in a row. A text with other spaces is encoded whole.
+    """
 
     kept: dict[str, Pieces] = {}
 
     def __init__(self, path: str):
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.split = regex.compile(PATTERN).findall
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.with_space = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.first: dict[str, np.ndarray] = {}
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -57,31 +62,67 @@ class Pieces:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _new(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of new pieces. Those of a space and letters stay apart when joined, so one call serves all of them."""
-        out = {}
-        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        if spaced:
-            coded = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-            ids, cuts = np.array(coded.ids, self.kind), np.flatnonzero(np.diff(np.array(coded.word_ids, np.int64))) + 1
-            if len(cuts) + 1 == len(spaced):
-                out = {p: i.tobytes() for p, i in zip(spaced, np.split(ids, cuts), strict=True)}
-        return out | {p: self._plain(p) for p in pieces if p not in out}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if UNSAFE.search(t) else self.split(t) for t in texts]
-        new = {p for pieces in split if pieces for p in pieces if p not in self.known}
-        known, made = self.known, self._new(new) if new else {}
-        if len(known) < CACHED:
-            known.update(made)
-            made = {}
-        if made:
-            return [self._plain(t) if pieces is None else b"".join([known.get(p) or made[p] for p in pieces]) for t, pieces in zip(texts, split, strict=True)]
-        get = known.__getitem__
-        return [self._plain(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split, strict=True)]
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that each stand after a space. Most go joined into one call: the first id of each has the space."""
+        joined = [p for p in pieces if p and not p[-1].isspace()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(joined)], add_special_tokens=False)[0].ids if joined else [], self.kind)
+        starts = np.flatnonzero(self.with_space[ids])
+        if len(starts) != len(joined):
+            joined = []
+        whole, cuts = ids.tobytes(), [*(starts * self.kind.itemsize).tolist(), ids.nbytes]
+        out = {p: whole[a:b] for p, a, b in zip(joined, cuts, cuts[1:], strict=False)}
+        return out | {p: self._plain(f" {p}").tobytes() for p in pieces if p not in out}
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        if new := [p for p, f in zip(pieces, found, strict=True) if f is None]:
+            made = self._new(new)
+            if len(self.known) < CACHED:
+                self.known.update(made)
+            found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+        return found
+
+    @staticmethod
+    def _fits(text: str) -> bool:
+        try:
+            b = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not WHOLE.search(text)
+        if len(b.translate(None, ODD)) != len(b):
+            return not WHOLE.search(text)
+        return not (b"  " in b or b"\n " in b)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Pieces of all texts are numbered together, and each distinct one is looked up once."""
+        cut = [t.split(" ") if self._fits(t) else None for t in texts]
+        pieces: list[str] = []
+        for own in cut:
+            if own:
+                pieces += own[1:]
+        spread = np.empty(len(pieces), object)
+        spread[:] = pieces
+        codes, distinct = pd.factorize(spread)
+        found = self._look_up(distinct.tolist())
+        flat, sizes = np.frombuffer(b"".join(found), self.kind), np.array([len(f) for f in found], np.int64) // self.kind.itemsize
+        lengths, begins = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])
+        out, at = [], 0
+        for own, t in zip(cut, texts, strict=True):
+            if own:
+                head = self.first.get(own[0])
+                if head is None:
+                    head = self._plain(own[0])
+                    if len(self.first) < CACHED // 8:
+                        self.first[own[0]] = head
+                out.append(np.concatenate([head, ids[ends[at] : ends[at := at + len(own) - 1]]]))
+            else:
+                out.append(self._plain(t))
+        return out
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -192,10 +233,10 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             keys = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            for span in portions(map(len, texts), 1_500_000):
+            for span in portions(map(len, texts), 6_000_000):
                 for key, coded in zip(keys[span], coder.encode(texts[span]), strict=True):
                     names.append(key)
-                    ids.append(np.append(np.frombuffer(coded, coder.kind), coder.kind.type(end_id)))
+                    ids.append(np.append(coded, coder.kind.type(end_id)))
                     total += len(ids[-1])
                     if total >= FRAME:
                         yield frame()
@@ -207,8 +248,12 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0
     rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInPandas(run, FRAME_SCHEMA).write.parquet(path)
 
 
-def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of a file: ids as little-endian 32-bit integers, start the ids of all before it."""
+def read_token_file(spark: SparkSession, path: str, only_crc: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of a file: ids as little-endian 32-bit integers, start the ids of all before it.
+
+    With only_crc, ids_crc32 stands for ids, so that the ids themselves don't leave the task that decodes them.
+    """
+    name, kind, reduce = ("ids_crc32", "long", zlib.crc32) if only_crc else ("ids", "binary", bytes)
     frames = spark.read.schema(FRAME_SCHEMA).parquet(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,17 +270,17 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                             "doc_id": pd.array(list(frame["doc_ids"][own]), dtype="Int64"),
                             "inside": (ends - lengths)[own],
                             "n_tokens": lengths[own],
-                            "ids": [ids[b - m : b].tobytes() for b, m in zip(ends[own], lengths[own], strict=True)],
+                            name: [reduce(ids[b - m : b].tobytes()) for b, m in zip(ends[own], lengths[own], strict=True)],
                         }
                     )
 
-    docs = frames.mapInPandas(run, "part int, frame int, doc_id long, inside long, n_tokens long, ids binary")
+    docs = frames.mapInPandas(run, f"part int, frame int, doc_id long, inside long, n_tokens long, {name} {kind}")
     sizes = frames.select("part", "frame", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     inner = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("own", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(parts, F.col("part") == F.col("p")).select("p", F.col("frame").alias("f"), (F.col("own") + F.col("first")).alias("base"))
     placed = docs.join(bases, (F.col("part") == F.col("p")) & (F.col("frame") == F.col("f")))
-    return placed.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return placed.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", name)
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
@@ -247,7 +292,7 @@ def token_table(docs: DataFrame, tokenizer: str | None = None, path: str | None
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/lodeflow/tokens-{uuid.uuid4().hex}"
     write_token_file(docs, path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_file(spark, path, only_crc=True)
 
 
 def op10_rans_token_files(spark, sf_dir):
