@@ -1,5 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from .fingerprints import op2_weighted_sampling
 from .hosts import OP3_SQL, op3_host_reputation
 from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
@@ -9,6 +10,7 @@ from .token_files import op10_rans_token_files
 from .winnowing import OP5_SQL, op5_winnowing_decontamination
 
 QUERIES = {
+    "op2_weighted_sampling": op2_weighted_sampling,
     "op4_secret_ownership": op4_secret_ownership,
     "op3_host_reputation": op3_host_reputation,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
