@@ -5,7 +5,7 @@ from .hosts import OP3_SQL, op3_host_reputation
 from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
 from .quality import op1_zstd_quality
-from .secrets import op4_secret_ownership
+from .secret_scan import op4_secret_ownership
 from .token_files import op10_rans_token_files
 from .winnowing import OP5_SQL, op5_winnowing_decontamination
 
