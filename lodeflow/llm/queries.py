@@ -2,6 +2,7 @@
 
 from .fingerprints import op2_weighted_sampling
 from .hosts import OP3_SQL, op3_host_reputation
+from .language_model import op9_log_frequency_bloom
 from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
 from .quality import op1_zstd_quality
@@ -10,6 +11,7 @@ from .token_files import op10_rans_token_files
 from .winnowing import OP5_SQL, op5_winnowing_decontamination
 
 QUERIES = {
+    "op9_log_frequency_bloom": op9_log_frequency_bloom,
     "op2_weighted_sampling": op2_weighted_sampling,
     "op4_secret_ownership": op4_secret_ownership,
     "op3_host_reputation": op3_host_reputation,
