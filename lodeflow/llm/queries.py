@@ -5,12 +5,14 @@ from .hosts import OP3_SQL, op3_host_reputation
 from .language_model import op9_log_frequency_bloom
 from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
+from .personal_data import op7_bilstm_crf_personal_data
 from .quality import op1_zstd_quality
 from .secret_scan import op4_secret_ownership
 from .token_files import op10_rans_token_files
 from .winnowing import OP5_SQL, op5_winnowing_decontamination
 
 QUERIES = {
+    "op7_bilstm_crf_personal_data": op7_bilstm_crf_personal_data,
     "op9_log_frequency_bloom": op9_log_frequency_bloom,
     "op2_weighted_sampling": op2_weighted_sampling,
     "op4_secret_ownership": op4_secret_ownership,
