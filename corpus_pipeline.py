@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: quality, near-duplicates, benchmark leaks, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. Rows keep the columns of documents until the last stage, which returns the token table.
+stage's docs. Rows keep the columns of documents until the last stage, which returns the token table; further columns,
+however named, drop out. Nulls, empty tables and repeated rows are as each stage says.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeflow.llm.common import crc_mod, pick, staged, table
+from lodeflow.llm.common import crc_mod, documents, pick, staged, table
 from lodeflow.llm.mixing import mix
 from lodeflow.llm.near_dedup import near_duplicates
 from lodeflow.llm.quality import fit, keep_good
@@ -19,7 +20,9 @@ from lodeflow.llm.winnowing import decontaminate
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects (score under 0.3) go; empty ones are scored like any other."""
-    model = fit(docs.where(crc_mod("doc_id", 5) != 0), table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    docs = documents(docs)
+    labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", quality="quality")
+    model = fit(docs.where(crc_mod("doc_id", 5) != 0), labels.where(crc_mod("doc_id", 5) != 0))
     return keep_good(docs, model)
 
 
@@ -28,6 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without doc_id are in no group and stay.
     """
+    docs = documents(docs)
     kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct().hint("merge")
     found = docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return found.unionByName(docs.where(docs["doc_id"].isNull()))
@@ -35,6 +39,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
+    docs = documents(docs)
     leaked = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("leaked")).distinct()
     leaked = staged(leaked, "leaked")
     return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("leaked")), "left_anti")
@@ -42,6 +47,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document occurs as often as the mix takes its words: taken / size, rounded; wordless documents go."""
+    docs = documents(docs)
     taken = mix(docs)[0].where("size > 0").groupBy(F.col("doc_id").alias("own")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
     columns = [docs[c] for c in docs.columns]
     return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("own"))).select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_")).drop("copy_")
@@ -64,7 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang", source="source", n_chars="n_chars")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -65,6 +65,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents under their own names, whatever else a table holds."""
+    return pick(docs, doc_id="doc_id", text="text", lang="lang", source="source", n_chars="n_chars")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value computed once for a row however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -140,9 +140,10 @@ def keep_good(docs: DataFrame, model: Compressors, least: float = 0.3, text_col:
 
 
 def op1_zstd_quality(spark, sf_dir):
-    from .common import table
+    from .common import documents, table
 
-    docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(crc_mod("doc_id", 5) != 0), table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    docs = documents(table(spark, sf_dir, "documents"))
+    labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", quality="quality")
+    model = fit(docs.where(crc_mod("doc_id", 5) != 0), labels.where(crc_mod("doc_id", 5) != 0))
     scored = score_quality(docs, model)
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
