@@ -130,13 +130,14 @@ def keep_good(docs: DataFrame, model: Compressors, least: float = 0.3, text_col:
     """The rows of docs, all columns, whose score is at least the given one; decided where the rows stand, without a shuffle."""
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.score([utf8(t) for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op1_zstd_quality(spark, sf_dir):

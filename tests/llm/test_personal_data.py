@@ -1,0 +1,105 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+
+from lodeflow.llm import personal_data as pd_
+
+PATTERNS = dict(zip(pd_.KINDS, [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"], strict=True))
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = "".join(c for c in m[0] if c in "0123456789")
+            ok = {"email": lambda: True, "ip": lambda m=m: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda d=digits: 16 <= len(d) <= 19 and luhn(d), "phone": lambda d=digits: 8 <= len(d) <= 15}[kind]()
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+@pytest.mark.parametrize("data", ["/root/testdata/sf0.01"])
+def test_query(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = pd_.op7_bilstm_crf_personal_data(spark, data).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        want = brute(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pd_.KINDS] == [sum(w.startswith(k) for w in want) for k in pd_.KINDS]
+        assert set(want) <= set(r["spans"].split(",")) | {""}
+
+
+def test_slopes_are_right():
+    """The gradient against differences of the loss."""
+    draw = np.random.default_rng(2)
+    chars, tags = draw.integers(0, pd_.OTHER + 1, (3, 12)), np.zeros((3, 12), int)
+    tags[0, 3:6] = [1, 2, 2]
+    tags[2, 0:2] = [7, 8]
+    model = pd_.new_model()
+    model["t"] = draw.normal(0, 0.3, model["t"].shape)
+    _, slopes = pd_._loss_and_slopes(model, chars, tags)
+    for k in model:
+        for _ in range(4):
+            at = tuple(draw.integers(0, s) for s in model[k].shape)
+            if k == "t" and not pd_._OPEN[at]:
+                continue
+            kept, losses = model[k][at], []
+            for step in (1e-5, -1e-5):
+                model[k][at] = kept + step
+                losses.append(pd_._loss_and_slopes(model, chars, tags)[0])
+            model[k][at] = kept
+            assert slopes[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-5, abs=1e-6)
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    draw = np.random.default_rng(4)
+    model = pd_.new_model()
+    model["t"], chars = draw.normal(0, 1, model["t"].shape), draw.integers(0, pd_.OTHER + 1, (2, 4))
+    e, trans = pd_.emissions(model, chars), np.where(pd_._OPEN, model["t"], -1e4)
+    for row, path in enumerate(pd_.decode(model, chars)):
+        score = lambda p, row=row: model["s"][p[0]] + sum(e[t, row, k] for t, k in enumerate(p)) + sum(trans[a, b] for a, b in itertools.pairwise(p))
+        assert score(path) == pytest.approx(max(map(score, itertools.product(range(pd_.TAGS), repeat=4))))
+
+
+def test_windows_cover_triggers():
+    for text in ("", "abc", "x" * 200 + "1" + "y" * 300 + "2@" + "z" * 50, "1" * 500, "a1" + "b" * 70 + "+"):
+        starts = pd_.windows(text)
+        for k, c in enumerate(text):
+            if c in "0123456789@+":
+                assert any(s <= max(0, k - 8) and k + 8 < s + pd_.WIDTH for s in starts)
+
+
+def test_tagger_learns_and_reconciles(spark):
+    draw = np.random.default_rng(6)
+    number = lambda n: "".join(map(str, draw.integers(0, 10, n)))
+    rows = [(i, f"{'word ' * (i % 23)}call +4{number(1)} {number(3)} {number(4)} or write a{number(2)}@site{number(1)}.example and go {'word ' * 9}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pd_.train(*pd_.labelled_windows(docs))
+    texts = [t for _, t in rows[:40]]
+    found = right = wanted = 0
+    for t in texts:
+        starts = pd_.windows(t)
+        mine = set(pd_.reconcile(len(t), starts, pd_.decode(model, pd_.classes_of(t, starts))))
+        truth = set(pd_.base_spans(t))
+        found, right, wanted = found + len(mine), right + len(mine & truth), wanted + len(truth)
+    assert right / wanted > 0.8 and right / found > 0.8
+
+
+def test_edges(edge, empty):
+    model = pd_.train(*pd_.labelled_windows(edge))
+    out = pd_.find_personal_data(edge, model).collect()
+    assert len(out) == 11 and all(r["kinds"] == [] for r in out if r["doc_id"] in (3, 4, 5))
+    assert pd_.find_personal_data(empty, pd_.train(*pd_.labelled_windows(empty))).count() == 0
