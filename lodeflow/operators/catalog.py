@@ -10,23 +10,29 @@ from lodeflow.operators.contracts import division_labels
 from lodeflow.sources import names, store
 
 
-def entries(files: DataFrame, root: str) -> DataFrame:
-    """(layer, name, division_id, last_modified, size_bytes) of the datasets among listed files.
+def _dataset(path: Column, root: str) -> Column:
+    """(layer, name, division_id) of a file below root; null for files that belong to no dataset.
 
-    Bronze: <division>/<type>/<stub>.csv. Silver and Gold: <name>/data.csv, one file or a folder of part files.
+    Bronze: <division>/<type>/<stub>.csv. Silver and Gold: <name>/data.csv or data.parquet, a file or a folder of parts.
     """
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"\A[a-z0-9]+:/*", "/")
-    inside = files.withColumn("rel", F.regexp_replace(F.regexp_replace("path", r"\A[a-z0-9]+:/*", "/"), F.concat(F.lit(r"\A\Q"), base, F.lit(r"\E/")), F.lit("")))
-    parts = F.split("rel", "/")
-    bronze = inside.where(F.col("rel").startswith(f"{names.PREFIXES['Bronze']}/") & F.col("rel").endswith(".csv") & (F.size(parts) == 4))
-    stub = F.regexp_replace(F.element_at(parts, 4), r"\.csv\z", "")
-    out = [bronze.select(F.lit("Bronze").alias("layer"), F.concat_ws("__", F.element_at(parts, 2), F.element_at(parts, 3), stub).alias("name"), F.element_at(parts, 2).alias("division_id"), F.col("modificationTime").alias("last_modified"), F.col("length").alias("size_bytes"))]
+    plain = lambda c: F.regexp_replace(c, r"\A[a-z0-9]+:/*", "/")
+    base = F.concat(F.lit(r"\A\Q"), plain(F.lit(root.rstrip("/"))), F.lit(r"\E/"))
+    rel = F.regexp_replace(plain(F.url_decode(F.regexp_replace(path, r"\+", "%2B"))), base, F.lit(""))
+    parts = F.split(rel, "/")
+    bronze = rel.startswith(f"{names.PREFIXES['Bronze']}/") & rel.endswith(".csv") & (F.size(parts) == 4)
+    stub = F.regexp_replace(F.get(parts, F.lit(3)), r"\.csv\z", "")
+    division = F.get(parts, F.lit(1))
+    out = F.when(bronze, F.struct(F.lit("Bronze").alias("layer"), F.concat_ws("__", division, F.get(parts, F.lit(2)), stub).alias("name"), division.alias("division_id")))
     for layer in ("Silver", "Gold"):
-        prefix = names.PREFIXES[layer]
-        own = inside.where(F.col("rel").rlike(rf"\A{prefix}/.+/data\.(csv|parquet)(/part-[^/]*)?\z"))
-        name = F.regexp_extract("rel", rf"\A{prefix}/(.+)/data\.(csv|parquet)(/.*)?\z", 1)
-        out.append(own.groupBy(name.alias("name")).agg(F.max("modificationTime").alias("last_modified"), F.sum("length").alias("size_bytes")).select(F.lit(layer).alias("layer"), "name", F.lit(None).cast("string").alias("division_id"), "last_modified", "size_bytes"))
-    return store.union_all(out)
+        pattern = rf"\A{names.PREFIXES[layer]}/(.+)/data\.(csv|parquet)(/part-[^/]*)?\z"
+        out = out.when(rel.rlike(pattern), F.struct(F.lit(layer).alias("layer"), F.regexp_extract(rel, pattern, 1).alias("name"), F.lit(None).cast("string").alias("division_id")))
+    return out
+
+
+def entries(files: DataFrame, root: str) -> DataFrame:
+    """(layer, name, division_id, last_modified, size_bytes) of the datasets among listed files."""
+    known = files.withColumn("d", _dataset(F.col("path"), root)).where("d is not null").select("d.*", "modificationTime", "length")
+    return known.groupBy("layer", "name", "division_id").agg(F.max("modificationTime").alias("last_modified"), F.sum("length").alias("size_bytes"))
 
 
 def enrich(found: DataFrame, metadata: DataFrame, counts: DataFrame, labels: DataFrame, include_archived: bool = False) -> DataFrame:
@@ -55,21 +61,40 @@ def enrich(found: DataFrame, metadata: DataFrame, counts: DataFrame, labels: Dat
     )
 
 
-def row_counts(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
-    """(layer, name, rows, columns): each dataset's own read; one that can't be read is left out."""
-    out = []
-    for e in found.select("layer", "name").collect():  # one row for each dataset
-        try:
-            df = store.read_dataset(spark, root, e["layer"], e["name"], typed=False)
-            out.append((e["layer"], e["name"], df.count(), len(df.columns)))
-        except Exception:  # noqa: BLE001 - the catalog shows it as Error
-            continue
-    return spark.createDataFrame(out, "layer string, name string, rows long, columns int")
+def row_counts(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """(layer, name, rows, columns) of the datasets: one pass over all CSV files, whatever their headers, one over Parquet.
+
+    CSV records are counted by file, the header of each left out; columns are those of the header line. Parquet files of
+    the Gold layer are counted likewise; their columns come from one footer of each dataset.
+    """
+    known = files.where(_dataset(F.col("path"), root).isNotNull() & (F.col("length") > 0)).select("path")
+    paths = [r[0] for r in known.collect()]  # names of files
+    own = [_csv_counts(spark, root, [p for p in paths if "/data.parquet" not in p])]
+    tables = sorted({p.split("/data.parquet")[0] for p in paths if "/data.parquet" in p})
+    if tables:
+        at = F.col("_metadata.file_path").alias("path")
+        rows = spark.read.schema("none_ string").parquet(*[f"{t}/data.parquet" for t in tables]).select(at).groupBy(_dataset(F.col("path"), root).alias("d")).agg(F.count("*").alias("rows"))
+        widths = [(t.rsplit("/", 1)[-1], len(spark.read.parquet(f"{t}/data.parquet").columns)) for t in tables]
+        named = spark.createDataFrame(widths, "n string, columns int")
+        own.append(rows.select("d.layer", "d.name", "rows").join(F.broadcast(named), F.col("name") == F.col("n")).select("layer", "name", "rows", "columns"))
+    return store.union_all(own)
+
+
+def _csv_counts(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], "layer string, name string, rows long, columns int")
+    at = F.col("_metadata.file_path").alias("path")
+    records = spark.read.options(**store.CSV_READ | {"header": False}).schema("c string").csv(paths).select(at, "c").groupBy("path").agg((F.count("*") - 1).alias("rows"))
+    lines = spark.read.option("lineSep", "\n").text(paths).select(at, "value", F.monotonically_increasing_id().alias("line"))
+    width = F.size(F.split("header", r',(?=(?:[^"]*"[^"]*")*[^"]*\z)', -1))
+    headers = lines.groupBy("path").agg(F.min_by("value", "line").alias("header")).select(F.col("path").alias("p"), width.alias("columns"))
+    each = records.join(headers, F.col("path") == F.col("p")).select(_dataset(F.col("path"), root).alias("d"), "rows", "columns")
+    return each.groupBy("d.layer", "d.name").agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
 
 
 def catalog(spark: SparkSession, root: str, include_archived: bool = False) -> DataFrame:
-    found = entries(store.listing(spark, root), root)
-    return enrich(found, store.metadata_table(spark, root), row_counts(spark, root, found), division_labels(spark), include_archived)
+    files = store.listing(spark, root)
+    return enrich(entries(files, root), store.metadata_table(spark, root), row_counts(spark, root, files), division_labels(spark), include_archived)
 
 
 def search(df: DataFrame, term: str = "", layer: str = "", division: str = "") -> DataFrame:

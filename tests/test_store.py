@@ -80,6 +80,12 @@ def test_layers_from_upload_to_catalog(spark, tmp_path):
     after = {r["name"]: r for r in catalog.catalog(spark, root).collect()}
     assert name not in after and after[silver]["display_name"] == "May"
     assert {r["name"] for r in catalog.search(catalog.catalog(spark, root), "%").collect()} == set()
+    store.write_gold(spark.range(5).withColumn("x", F.col("id")), root, "sums of May")
+    gold = {r["name"]: r for r in catalog.catalog(spark, root).collect()}["sums_of_May"]
+    assert (gold["layer"], gold["rows"], gold["columns"], gold["status"]) == ("Gold", 5, 2, "Active")
+    totals = catalog.totals(catalog.catalog(spark, root)).first()
+    assert totals["total_datasets"] == 3 and totals["storage_used_mb"] > 0
+    assert [r["division"] for r in catalog.divisions(catalog.catalog(spark, root)).collect()] == ["Finance", "General"]
     assert store.download(spark, root, "Bronze", name, f"file://{tmp_path}/out").endswith("/May_1_7.csv")
     assert store.reachable(spark, root) and not store.reachable(spark, f"{root}/nowhere")
     with pytest.raises(ValueError):
