@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, portions
+from .common import parts_of, pick, staged
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -269,7 +269,15 @@ def labelled_windows(docs: DataFrame, text_col: str = "text", most: int = SAMPLE
             yield pd.DataFrame(out, columns=["full", "chars", "tags"])
 
     found = rows.mapInPandas(run, "full boolean, chars binary, tags binary")
-    parts = [found.where(F.col("full") == v).dropDuplicates(["chars"]).orderBy(F.xxhash64("chars"), "chars", "tags").limit(most // 2).toPandas() for v in (True, False)]
+    one = F.min(F.struct("tags", "full"))
+    found = staged(found.groupBy("chars").agg(one.alias("one")).select("chars", "one.*", F.xxhash64("chars").alias("h")), "windows")
+    sizes = dict(found.groupBy("full").count().collect())
+    parts = []
+    for v in (True, False):
+        # twice as many as wanted pass by their hashes, so that few rows leave each task
+        share = min(1.0, max(2 * most, 1000) / max(1, sizes.get(v, 0)))
+        some = found.where((F.col("full") == v) & (F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))))
+        parts.append(some.toPandas().sort_values(["h", "chars"])[: most // 2])
     sample = pd.concat(parts, ignore_index=True)
     both = [np.frombuffer(b"".join(sample[c]), np.uint8).reshape(-1, WIDTH).astype(np.int64) for c in ("chars", "tags")]
     return both[0], both[1]
@@ -284,25 +292,23 @@ def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray], id_col: st
     small = {k: v.astype(np.float32) for k, v in model.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            for part in portions(map(len, texts), 2_000_000):
-                own = texts[part]
-                starts = [windows(t) for t in own]
-                some = [k for k, s in enumerate(starts) if s]
-                tags = np.empty((0, WIDTH), np.int64)
-                if some:
-                    chars = np.concatenate([classes_of(own[k], starts[k]) for k in some])
-                    different, back = np.unique(chars, axis=0, return_inverse=True)
-                    made = np.concatenate([decode(small, different[a : a + 2048]) for a in range(0, len(different), 2048)])
-                    tags = made[back.ravel()]
-                spans, at = [], 0
-                for text, s in zip(own, starts, strict=True):
-                    base = base_spans(text)
-                    more = [x for x in _more(text, s, tags[at : at + len(s)]) if all(x[2] <= b[1] or x[1] >= b[2] for b in base)] if s else []
-                    at += len(s)
-                    spans.append(sorted([(*b, True) for b in base] + [(*m, False) for m in more]))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], "kinds": [[KINDS[x[0]] for x in xs] for xs in spans], "starts": [[x[1] for x in xs] for xs in spans], "ends": [[x[2] for x in xs] for xs in spans], "base": [[x[3] for x in xs] for xs in spans]})
+        for part in parts_of(batches, 2_000_000):
+            own = ["" if t is None else t for t in part["text"]]
+            starts = [windows(t) for t in own]
+            some = [k for k, s in enumerate(starts) if s]
+            tags = np.empty((0, WIDTH), np.int64)
+            if some:
+                chars = np.concatenate([classes_of(own[k], starts[k]) for k in some])
+                different, back = np.unique(chars, axis=0, return_inverse=True)
+                made = np.concatenate([decode(small, different[a : a + 2048]) for a in range(0, len(different), 2048)])
+                tags = made[back.ravel()]
+            spans, at = [], 0
+            for text, s in zip(own, starts, strict=True):
+                base = base_spans(text)
+                more = [x for x in _more(text, s, tags[at : at + len(s)]) if all(x[2] <= b[1] or x[1] >= b[2] for b in base)] if s else []
+                at += len(s)
+                spans.append(sorted([(*b, True) for b in base] + [(*m, False) for m in more]))
+            yield pd.DataFrame({"doc_id": part["doc_id"], "kinds": [[KINDS[x[0]] for x in xs] for xs in spans], "starts": [[x[1] for x in xs] for xs in spans], "ends": [[x[2] for x in xs] for xs in spans], "base": [[x[3] for x in xs] for xs in spans]})
 
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(run, "doc_id long, kinds array<string>, starts array<long>, ends array<long>, base array<boolean>")
 
