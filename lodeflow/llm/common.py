@@ -96,6 +96,13 @@ def portions(sizes: Iterable[int], budget: int) -> Iterator[slice]:
         yield slice(start, n)
 
 
+def parts_of(batches: Iterator[pd.DataFrame], budget: int, column: str = "text") -> Iterator[pd.DataFrame]:
+    """The batches cut into runs of rows whose texts add up to about the budget, so that copies stay small."""
+    for batch in batches:
+        for span in portions([len(t) if isinstance(t, str) else 0 for t in batch[column]], budget):
+            yield batch.iloc[span]
+
+
 def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""
 

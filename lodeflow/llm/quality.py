@@ -1,8 +1,8 @@
 """Quality scores by compression: zstandard dictionaries of good and of bad text, and what each saves.
 
 A text is cut into pieces of PIECE bytes. Each is compressed under the good and under the bad dictionary; the
-normalised difference of the summed sizes, (bad - good) / (bad + good), and the compression ratios become a score by a
-logistic calibration fitted on labelled documents which the dictionaries have not seen.
+normalised difference of the sizes, (bad - good) / (bad + good), over the text and over its pieces, and the compression
+ratios become a score by a logistic calibration fitted on labelled documents which the dictionaries have not seen.
 
 Labelled documents come as a bounded sample (the first PER_CLASS documents of each label by a hash of their id, and
 EXCERPT characters of each); every document is then scored whole.
@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pick, ship, utf8
+from .common import crc_mod, parts_of, pick, ship, utf8
 
-PIECE, DICTIONARY, LEVEL = 2048, 1 << 16, 3
+PIECE, DICTIONARY, LEVEL = 512, 112 << 10, 3
+FEATURES = 15
 PER_CLASS, EXCERPT = 1500, 8000
 
 
@@ -44,21 +45,26 @@ class Compressors:
 
 
 def _features(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
-    """For each text: normalised difference, both ratios, the ratio without a dictionary, and the log of its length."""
+    """For each text: the normalised difference over all pieces, its least, largest and mean value over pieces, the ratios
+    under both dictionaries and without one, the log of the length; and some products of these."""
     import zstandard
 
-    kind = zstandard.DICT_TYPE_RAWCONTENT
-    tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False) for d in (good, bad)]
-    out = np.zeros((len(texts), 4))
+    tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False) for d in (good, bad)]
+    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+    out = np.zeros((len(texts), 8))
     for k, text in enumerate(texts):
         g = b = 1.0
+        each = []
         for at in range(0, len(text), PIECE):
             piece = text[at : at + PIECE]
-            g += len(tools[0].compress(piece))
-            b += len(tools[1].compress(piece))
-        n = len(text) + 1
-        out[k] = (b - g) / (b + g), g / n, b / n, np.log(n)
-    return np.column_stack([out, out[:, 0] ** 2, out[:, 1] ** 2, out[:, 0] * out[:, 3]])
+            own = [len(t.compress(piece)) for t in tools]
+            g, b = g + own[0], b + own[1]
+            if len(piece) >= min(200, len(text)):  # a short rest says little by itself
+                each.append((own[1] - own[0]) / (own[1] + own[0]))
+        n, each = len(text) + 1, each or [0.0]
+        out[k] = (b - g) / (b + g), g / n, b / n, np.log(n), min(each), max(each), len(plain.compress(text)) / n, sum(each) / len(each)
+    diff, ratio, _, length, least, _, free, _ = out.T
+    return np.column_stack([out, diff**2, ratio**2, diff * length, free**2, free * length, least**2, length**2])
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,18 +89,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = pick(labels, own=id_col, label=label_col).where("label in (0, 1)").groupBy("own").agg(F.max("label").alias("label"))
     # the sample is chosen by ids alone; texts join afterwards, for chosen rows only
     ids = rows.select("doc_id").join(marks, F.col("doc_id") == F.col("own")).select("own", "label").dropDuplicates(["own"])
-    chosen = None
+    counts = dict(ids.groupBy("label").count().collect())
+    chosen, h = None, F.xxhash64("own", F.lit(1))
     for label in (0, 1):
-        top = ids.where(F.col("label") == label).orderBy(F.xxhash64("own", F.lit(1)), "own").limit(per_class)
+        # more than enough pass by their hashes, so that few rows leave each task
+        share = min(1.0, (2 * per_class + 500) / max(1, counts.get(label, 0)))
+        top = ids.where((F.col("label") == label) & (F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))).orderBy(h, "own").limit(per_class)
         chosen = top if chosen is None else chosen.union(top)
     sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("doc_id", "label", F.substring(F.coalesce("text", F.lit("")), 1, excerpt).alias("text")).toPandas()
     sample = sample.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    counts = dict(ids.groupBy("label").count().collect())
     y, texts = sample["label"].to_numpy(float), [utf8(t) for t in sample["text"]]
     good, bad = ([t for t, v in zip(texts, y, strict=True) if v == k] for k in (1, 0))
     if len(good) < 4 or len(bad) < 4:
         p = min(max(y.mean() if len(y) else 0.5, 0.01), 0.99)
-        return Compressors(b"neutral text ", b"neutral text ", np.zeros(7), np.ones(7), np.array([np.log(p / (1 - p)), *[0.0] * 7]))
+        return Compressors(b"neutral text ", b"neutral text ", np.zeros(FEATURES), np.ones(FEATURES), np.array([np.log(p / (1 - p)), *[0.0] * FEATURES]))
     dictionaries = [_dictionary(part[::2]) for part in (good, bad)]
     held = good[1::2] + bad[1::2]
     truth = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
@@ -120,8 +128,8 @@ def score_quality(docs: DataFrame, model: Compressors, id_col: str = "doc_id", t
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.score([utf8(t) for t in batch["text"]])})
+        for part in parts_of(batches, 2_000_000):
+            yield pd.DataFrame({"doc_id": part["doc_id"], "score": model.score([utf8(t) for t in part["text"]])})
 
     return rows.mapInPandas(run, rows.select("doc_id", F.lit(0.0).alias("score")).schema)
 
@@ -134,8 +142,9 @@ def keep_good(docs: DataFrame, model: Compressors, least: float = 0.3, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.score([utf8(t) for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(scores >= least))
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                yield part.filter(pa.array(model.score([utf8(t) for t in part.column(at).to_pylist()]) >= least))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

@@ -40,9 +40,9 @@ def test_edges(spark, edge, empty):
 
 
 def test_filter_keeps_all_columns(edge):
-    from lodeflow.llm.quality import Compressors
+    from lodeflow.llm.quality import FEATURES, Compressors
 
-    yes = Compressors(b"neutral text ", b"neutral text ", np.zeros(7), np.ones(7), np.array([5.0, *[0.0] * 7]))
+    yes = Compressors(b"neutral text ", b"neutral text ", np.zeros(FEATURES), np.ones(FEATURES), np.array([5.0, *[0.0] * FEATURES]))
     out = keep_good(edge, yes)
     assert out.columns == edge.columns and out.count() == 11
     yes.weights = -yes.weights
