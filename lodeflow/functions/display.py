@@ -35,3 +35,7 @@ def action_of(layer: Column) -> Column:
 
 def megabytes(c: Column) -> Column:
     return c / 1024 / 1024
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c, 0)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeflow.functions.cells import label
+from lodeflow.sources import store
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
@@ -100,3 +101,15 @@ def preview(df: DataFrame, order: list[str], rows: int = 15) -> DataFrame:
     """The first rows in an order, all cells as text, null as empty."""
     shown = [F.when(F.col(f.name).isNull(), F.lit("")).otherwise(label(F.col(f.name), f.dataType)).alias(f.name) for f in df.schema.fields]
     return df.orderBy(*order).limit(rows).select(*shown)
+
+
+def preview_counts(df: DataFrame, rows: int = 15) -> DataFrame:
+    """(shown, total): how many rows a preview has, of how many."""
+    return df.agg(F.least(F.count("*"), F.lit(rows)).alias("shown"), F.count("*").alias("total"))
+
+
+def merge_datasets(spark: SparkSession, root: str, first: tuple[str, str], second: tuple[str, str], how: str = "inner") -> DataFrame:
+    """Merge two stored datasets, each given as (layer, name); they must differ."""
+    if not first or not second or first == second:
+        raise ValueError("choose two different datasets")
+    return merge(store.read_dataset(spark, root, *first), store.read_dataset(spark, root, *second), how)

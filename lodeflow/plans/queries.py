@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeflow.functions import cells
-from lodeflow.functions.display import action_of, either
+from lodeflow.functions.display import action_of, either, thousands
 from lodeflow.operators import catalog, chart, clean, merge, validate
 from lodeflow.operators.contracts import contract_table
 from lodeflow.sources import names, store
@@ -300,3 +300,41 @@ def activity_words(spark, sf_dir):
     rows = spark.createDataFrame([("Bronze",), ("Silver",), ("Gold",), ("x",)], "layer string")
     return rows.select("layer", action_of(F.col("layer")).alias("action"))
 
+
+
+@query("SELECT least(count(*), 15) AS shown, count(*) AS total, format('{:,}', count(*)) AS title FROM orders")
+def preview_counts(spark, sf_dir):
+    return merge.preview_counts(read(spark, sf_dir, "orders")).withColumn("title", thousands(F.col("total")))
+
+
+@query("""SELECT CAST(l.k AS VARCHAR) AS k, CAST(o_orderkey AS VARCHAR) AS o_orderkey, coalesce(c_mktsegment, '') AS c_mktsegment FROM (SELECT o_custkey AS k, o_orderkey FROM orders) l
+LEFT JOIN (SELECT c_custkey AS k, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) r ON l.k = r.k ORDER BY l.k, l.o_orderkey LIMIT 15""")
+def merge_preview(spark, sf_dir):
+    left = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    right = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    return merge.preview(merge.merge(left, right, "left"), ["k", "o_orderkey"])
+
+
+@query("SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS measure")
+def chart_measures(spark, sf_dir):
+    found = chart.numeric_columns(read(spark, sf_dir, "orders"))
+    return spark.createDataFrame([(c,) for c in found], "measure string")
+
+
+@query("SELECT 'price' AS name, count(*) AS cells, count(*) AS numbers, 0 AS dates FROM orders UNION ALL SELECT 'day', count(*), 0, count(*) FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT 'status', count(*), 0, 0 FROM orders")
+def clean_votes(spark, sf_dir):
+    """What fix_types counts for each text column: cells, numbers, dates."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("string").alias("price"), F.when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), F.col("o_orderstatus").alias("status"))
+    found = clean.profile(rows)
+    return spark.createDataFrame([(c, *v) for c, v in found.items()], "name string, cells long, numbers long, dates long")
+
+
+@query("SELECT DISTINCT c_mktsegment AS division FROM customer")
+def catalog_divisions(spark, sf_dir):
+    return catalog.divisions(read(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "division"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1")
+def clean_keep_last(spark, sf_dir):
+    """Extension: of each nation's customers the last one stays."""
+    return clean.dedupe(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "last", ["c_nationkey"], "c_custkey")

@@ -63,3 +63,10 @@ def test_preview(spark):
     df = spark.createDataFrame([(i, None if i == 3 else 1.0 * i) for i in range(20)], "i int, x double")
     out = preview(df, ["i"]).collect()
     assert len(out) == 15 and out[3]["x"] == "" and out[4]["x"] == "4"
+
+
+def test_same_dataset_is_refused(spark):
+    from lodeflow.operators.merge import merge_datasets
+
+    with pytest.raises(ValueError):
+        merge_datasets(spark, "r", ("Bronze", "x"), ("Bronze", "x"))
