@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, mix, pick, portions, staged, utf8
+from .common import hashed, mix, parts_of, pick, staged, utf8
 from .components import components
 
 PERMUTATIONS, BANDS, SKETCH = 48, 24, 1024
@@ -82,31 +82,27 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, set_key, bands, odd); the last two are null where the set is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [utf8(t) for t in batch["text"]]
-            for part in portions(map(len, texts), CHUNK):
-                sets = _shingles(texts[part], k)
-                full = [s for s in sets if len(s)]
-                keys = iter(_bands(full).view(np.int64)) if full else iter(())
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].iloc[part],
-                        "n_shingles": [len(s) for s in sets],
-                        "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                        "bands": [next(keys) if len(s) else None for s in sets],
-                        "odd": [_odd_sketch(s) if len(s) else None for s in sets],
-                    }
-                )
+        for part in parts_of(batches, CHUNK):
+            sets = _shingles([utf8(t) for t in part["text"]], k)
+            full = [s for s in sets if len(s)]
+            keys = iter(_bands(full).view(np.int64)) if full else iter(())
+            yield pd.DataFrame(
+                {
+                    "doc_id": part["doc_id"],
+                    "n_shingles": [len(s) for s in sets],
+                    "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "bands": [next(keys) if len(s) else None for s in sets],
+                    "odd": [_odd_sketch(s) if len(s) else None for s in sets],
+                }
+            )
 
     return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [utf8(t) for t in batch["text"]]
-            for part in portions(map(len, texts), CHUNK):
-                yield pd.DataFrame({"node": batch["doc_id"].iloc[part], "members": [s.view(np.int64) for s in _shingles(texts[part], k)]})
+        for part in parts_of(batches, CHUNK):
+            yield pd.DataFrame({"node": part["doc_id"], "members": [s.view(np.int64) for s in _shingles([utf8(t) for t in part["text"]], k)]})
 
     return docs.mapInPandas(run, "node long, members array<long>")
 
