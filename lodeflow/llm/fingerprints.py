@@ -5,7 +5,9 @@ the least sampled value stands for the bin. A word's value comes from two Gamma(
 depend on the word alone: with weight w, r and c gamma, b uniform, t = floor(ln w / r + b), ln y = r (t - b), the value is
 ln c - ln y - r, and the sample is (word, t). Two documents' samples of a bin agree with the chance of their generalised
 Jaccard similarity there, so the share of agreeing bins, among bins that either fills, estimates it for the whole.
-One evaluation for each distinct word fills all bins.
+So that no frequent word outweighs the rest of its bin, a count is first cut into segments (UNITS of weight 1, then of
+weight UNITS), each a term of its own; sums of minima and maxima over segments are those over words. One evaluation for
+each segment fills all bins.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, staged
 
-BINS = 128
+BINS, UNITS = 128, 16
 #: Neighbouring ids which stand in one group, for the step from a document to the next one.
 GROUP = 64
 
@@ -48,7 +50,12 @@ def fingerprint(texts: DataFrame, keys: list[str]) -> DataFrame:
     Wordless texts drop out. If texts are partitioned by some of the keys, nothing is shuffled.
     """
     counts = word_counts(texts, keys)
-    binned = counts.select(*keys, F.pmod(F.xxhash64("word", F.lit(7)), F.lit(BINS)).cast("int").alias("bin"), sample(F.col("word"), F.col("n")).alias("s"))
+    over = F.col("n") - UNITS
+    last = F.when(over <= 0, F.col("n") - 1).otherwise(UNITS - 1 + F.ceil(over / UNITS))
+    cut = counts.select(*keys, "word", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at"))
+    weight = F.when(F.col("at") < UNITS, F.lit(1)).otherwise(F.least(F.lit(UNITS), F.col("n") - UNITS - (F.col("at") - UNITS) * UNITS))
+    terms = cut.select(*keys, F.xxhash64("word", "at").alias("word"), weight.alias("w"))
+    binned = terms.select(*keys, F.pmod(F.xxhash64("word", F.lit(7)), F.lit(BINS)).cast("int").alias("bin"), sample(F.col("word"), F.col("w")).alias("s"))
     least = binned.groupBy(*keys, "bin").agg(F.min("s").alias("s"))
     code = F.col("bin") * 65536 + F.col("s").bitwiseAND(F.lit(0xFFFF)).cast("int")
     return least.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("print"))

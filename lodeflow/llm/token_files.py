@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,11 @@ CACHED = 700_000
 #: What keeps a text from being cut at its spaces: white space before a space, or characters which Unicode versions may
 #: class differently. ODD: the white space of one byte besides space and line feed, and controls that some count as such.
 WHOLE = re.compile("\\s |[^\\x00-\\x1b\\x20-\\x84\\x86-\u024f]")
+#: Fixed value: the splitting pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The characters that stand for bytes in such a vocabulary: printable ones for themselves, the others from 256 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b if b in PLAIN else 256 + sum(c not in PLAIN for c in range(b)) for b in range(256)}
 ODD = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 FRAME_SCHEMA = (
     "part int, frame int, n_tokens long, doc_ids array<long>, lengths array<long>, symbols binary, frequencies binary, "
@@ -45,15 +51,17 @@ class Pieces:
     def __init__(self, path: str):
         import os
 
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2" if size <= 65536 else "<u4")
-        self.with_space = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.split = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
         self.first: dict[str, np.ndarray] = {}
 
     @classmethod
@@ -65,16 +73,38 @@ class Pieces:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def _merged(self, unit: str) -> bytes:
+        """The ids of one unit of the splitting rule, by the library's model alone."""
+        if unit.isascii() and unit.isprintable():
+            shown = unit.replace(" ", "\u0120")
+        else:
+            shown = unit.encode().decode("latin-1").translate(BYTES)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that each stand after a space. Most go joined into one call: the first id of each has the space."""
-        joined = [p for p in pieces if p and not p[-1].isspace()]
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(joined)], add_special_tokens=False)[0].ids if joined else [], self.kind)
-        starts = np.flatnonzero(self.with_space[ids])
-        if len(starts) != len(joined):
-            joined = []
-        whole, cuts = ids.tobytes(), [*(starts * self.kind.itemsize).tolist(), ids.nbytes]
-        out = {p: whole[a:b] for p, a, b in zip(joined, cuts, cuts[1:], strict=False)}
-        return out | {p: self._plain(f" {p}").tobytes() for p in pieces if p not in out}
+        """The ids of pieces that each stand after a space; a word's also serve for it with marks behind."""
+        out, known, units = {}, self.known, self.units
+        for p in pieces:
+            if p.isalpha():
+                if p not in out:
+                    out[p] = self._merged(f" {p}")
+                continue
+            ids = []
+            for u in self.split(f" {p}"):
+                if u[0] == " " and u[1:].isalpha():
+                    word = u[1:]
+                    got = known.get(word) or out.get(word)
+                    if got is None:
+                        got = out[word] = self._merged(u)
+                else:
+                    got = units.get(u)
+                    if got is None:
+                        got = self._merged(u)
+                        if len(units) < CACHED // 4:
+                            units[u] = got
+                ids.append(got)
+            out[p] = b"".join(ids)
+        return out
 
     def _look_up(self, pieces: list[str]) -> list[bytes]:
         found = list(map(self.known.get, pieces))
