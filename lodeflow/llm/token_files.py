@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import pick, portions, shared_dir
 
-SCALE, LANES, BLOCK, FRAME, EVERY = 20, 4096, 1 << 20, 1 << 22, 128
-CACHED = 700_000
+SCALE, LANES, BLOCK, FRAME, EVERY = 20, 4096, 1 << 20, 1 << 21, 128
+CACHED = 500_000
+#: Characters which are cut into pieces at once.
+CHUNK = 2_000_000
 #: What keeps a text from being cut at its spaces: white space before a space, or characters which Unicode versions may
 #: class differently. ODD: the white space of one byte besides space and line feed, and controls that some count as such.
 WHOLE = re.compile("\\s |[^\\x00-\\x1b\\x20-\\x84\\x86-\u024f]")
@@ -263,7 +265,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
             keys = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            for span in portions(map(len, texts), 6_000_000):
+            for span in portions(map(len, texts), CHUNK):
                 for key, coded in zip(keys[span], coder.encode(texts[span]), strict=True):
                     names.append(key)
                     ids.append(np.append(coded, coder.kind.type(end_id)))
