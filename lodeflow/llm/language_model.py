@@ -7,7 +7,7 @@ its hash names), and is broadcast to the workers. N-grams go in by count, the mo
 holds them at its stated error; the cut is a count found from the histogram of counts, and rarer n-grams back off.
 
 Scores: P(w | v) = l(v) c(v w) / c(v) + (1 - l(v)) P(w) with l(v) = c(v) / (c(v) + KAPPA), P(w) smoothed by adding 0.1;
-bigrams whose words are both among the VOCABULARY most frequent ones are kept.
+bigrams of all words are counted, and at a text's first word P(w) stands alone.
 
 The base score needs each token's exact count: those of up to HEAD most frequent tokens go to the workers, the others'
 come by a join with the table of all counts.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import hashed, mix, parts_of, pick, staged, utf8
 
 FILTER_BYTES, SEGMENTS, PROBES, BITS_EACH, BASE = 1 << 25, 64, 3, 10.0, 2.0
-HEAD, VOCABULARY, KAPPA, ADD = 300_000, 65_536, 500.0, 0.1
+HEAD, KAPPA, ADD = 300_000, 500.0, 0.1
 END = b"\n"  # no word holds a line feed
 CHUNK = 1_500_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -81,28 +81,20 @@ def _most_frequent(counts: DataFrame) -> pd.DataFrame:
     return counts.where(step >= cut).toPandas() if taken else pd.DataFrame({"h": [], "n": []}).astype("int64")
 
 
-def bigram_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """text -> (h, n) of the bigrams whose tokens are both in the sorted vocabulary of hashes."""
+def bigram_counts(docs: DataFrame) -> DataFrame:
+    """text -> (h, n): the count of each bigram."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_of(batches, CHUNK):
             h, n = _tokens([utf8(t) for t in part["text"]])
-            inside = _within(h, vocabulary)
             if len(h) > 1:
-                use = inside[:-1] & inside[1:]
+                use = np.ones(len(h) - 1, bool)
                 use[(np.cumsum(n) - 1)[:-1]] = False  # no bigram over a text's end
                 yield _counted(_pairs(h)[use])
 
     return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _within(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return table[at] == h
-
-
 def _level(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(n) / np.log(BASE) + 1e-9).astype(np.int64)
 
@@ -182,15 +174,13 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     top = head["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(top)
     keys, values = top[order], head["n"].to_numpy(np.int64)[order]
-    vocabulary = np.sort(top[np.lexsort((top, -head["n"].to_numpy(np.int64)))[:VOCABULARY]])
-    pairs = bigram_counts(learn, vocabulary)
-    table = build_filter(staged(counts.union(pairs), "ngrams"))
-    shared = spark.sparkContext.broadcast((keys, values, vocabulary, table))
+    table = build_filter(staged(counts.union(bigram_counts(learn)), "ngrams"))
+    shared = spark.sparkContext.broadcast((keys, values, table))
     floor = total + ADD * (distinct + 1)
     complete = distinct <= HEAD
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, values, vocabulary, table = shared.value
+        keys, values, table = shared.value
         for part in parts_of(batches, CHUNK):
             h, n = _tokens([utf8(t) for t in part["text"]])
             starts = np.cumsum(n) - n
@@ -202,20 +192,18 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
             known = np.where(c > 0, 1, 0)
             logs = np.where(c > 0, np.log10((c + ADD) / floor), 0.0) if not complete else np.log10((c + ADD) / floor)
             distinct_h, back = np.unique(h, return_inverse=True)
-            p = (look_up(table, distinct_h) + ADD) / floor
-            inside = _within(distinct_h, vocabulary)
-            prob = p[back]
+            counted = look_up(table, distinct_h)[back]
+            prob = (counted + ADD) / floor
             if len(h) > 1:
-                prior = look_up(table, distinct_h)[back]
-                use = (inside[back][:-1] & inside[back][1:]).copy()
+                use = np.ones(len(h) - 1, bool)
                 use[(starts - 1)[1:]] = False
                 where = np.flatnonzero(use)
                 if len(where):
                     grams, to = np.unique(_pairs(h)[where], return_inverse=True)
                     joint = look_up(table, grams)[to]
-                    before = np.maximum(prior[where], 1.0)
+                    before = counted[where]
                     share = before / (before + KAPPA)
-                    prob[where + 1] = share * np.minimum(joint / before, 1.0) + (1 - share) * prob[where + 1]
+                    prob[where + 1] = share * np.minimum(joint / np.maximum(before, 1.0), 1.0) + (1 - share) * prob[where + 1]
             model = np.log10(np.minimum(prob, 1.0))
             r, k = _counted_pairs(own[rare], _signed(h)[rare])
             cuts = np.searchsorted(r[0], np.arange(len(n) + 1))

@@ -50,3 +50,32 @@ def test_edges(spark, edge, empty):
     untaught = lm.score_documents(edge, empty).collect()
     assert len(untaught) == 11 and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in untaught)
     assert lm.score_documents(empty, edge).count() == 0
+
+
+def model(rows, learn):
+    """The score of each text from the counts of all words and bigrams, as middles of their levels."""
+    middle = lambda c: 1.5 * 2 ** int(math.log2(c) + 1e-9) - 0.5 if c else 0.0
+    words = Counter(w for t in learn for w in tokens(t))
+    pairs = Counter(p for t in learn for p in zip(tokens(t), tokens(t)[1:], strict=False))
+    floor = sum(words.values()) + 0.1 * (len(words) + 1)
+    out = {}
+    for i, t in rows:
+        ws, total = tokens(t), 0.0
+        for k, w in enumerate(ws):
+            p = (middle(words[w]) + 0.1) / floor
+            if k:
+                before = middle(words[ws[k - 1]])
+                share = before / (before + 500)
+                p = share * min(middle(pairs[ws[k - 1], w]) / max(before, 1.0), 1.0) + (1 - share) * p
+            total += math.log10(min(p, 1.0))
+        out[i] = total
+    return out
+
+
+def test_bigrams_of_rare_words(spark):
+    """More words than any fixed vocabulary holds, all equally rare: each bigram counts."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(500))) for i in range(160)]
+    want = model(rows, [t for _, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(df, df).collect()}
+    assert got == pytest.approx(want, rel=0.02)
