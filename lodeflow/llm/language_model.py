@@ -4,7 +4,8 @@ An n-gram's count c is quantised to level 1 + floor(log_b c). The filter holds t
 level); a lookup probes level after level until one is missing, so false positives can only raise a count, and rarely by
 more than one level. The filter has a fixed size, is built in segments by tasks (an n-gram's probes stay in the segment
 its hash names), and is broadcast to the workers. N-grams go in by count, the most frequent first, as far as the filter
-holds them at its stated error; the cut is a count found from the histogram of counts, and rarer n-grams back off.
+holds them at its stated error; the cut is a level found from the histogram of counts. The levels of rarer n-grams come by
+joins with the table of all counts, so a score does not depend on what the filter holds.
 
 Scores: P(w | v) = l(v) c(v w) / c(v) + (1 - l(v)) P(w) with l(v) = c(v) / (c(v) + KAPPA), P(w) smoothed by adding 0.1;
 bigrams of all words are counted, and at a text's first word P(w) stands alone.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashed, mix, parts_of, pick, staged, utf8
@@ -28,6 +29,7 @@ FILTER_BYTES, SEGMENTS, PROBES, BITS_EACH, BASE = 1 << 25, 64, 3, 10.0, 2.0
 HEAD, KAPPA, ADD = 300_000, 500.0, 0.1
 END = b"\n"  # no word holds a line feed
 CHUNK = 1_500_000
+PASSES = 4  # the join for n-grams under the cut goes by slices of their hashes, so that less is on disk at once
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -99,9 +101,9 @@ def _level(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(n) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _places(h: np.ndarray, level: int | np.ndarray) -> np.ndarray:
-    """Bit numbers of the probes of (n-gram, level) within the segment of the n-gram: PROBES rows."""
-    bits = np.uint64(FILTER_BYTES // SEGMENTS * 8)
+def _places(h: np.ndarray, level: int | np.ndarray, size: int) -> np.ndarray:
+    """Bit numbers of the probes of (n-gram, level) within the segment of the n-gram, of size bytes: PROBES rows."""
+    bits = np.uint64(size * 8)
     x = mix(h + np.asarray(level, np.uint64) * _K2)
     y = mix(x ^ _K1) | np.uint64(1)
     return np.stack([(x + np.uint64(i) * y) % bits for i in range(PROBES)])
@@ -111,17 +113,23 @@ def _segment(h: np.ndarray) -> np.ndarray:
     return (mix(h ^ _K2) % np.uint64(SEGMENTS)).astype(np.int64)
 
 
-def build_filter(counts: DataFrame) -> np.ndarray:
-    """The filter of an (h, n) table, as bytes. Each segment is built in a task; FILTER_BYTES come to the driver."""
+def filter_cut(counts: DataFrame) -> int:
+    """The lowest level that the filter has no room for, from the histogram of an (h, n) table; 0 if all have room."""
     capacity = FILTER_BYTES * 8 / BITS_EACH
     levels = dict(counts.groupBy(F.floor(F.log(BASE, F.col("n")) + 1e-9).alias("k")).count().collect())
-    used, cut = 0.0, 0
+    used = 0.0
     for k in sorted(levels, reverse=True):  # a few dozen levels
         used += levels[k] * (k + 1)
         if used > capacity:
-            cut = k + 1
-            break
-    rows = counts.where(F.col("n") >= F.lit(float(BASE**cut)))
+            return k + 1
+    return 0
+
+
+def build_filter(counts: DataFrame, cut: int | None = None) -> np.ndarray:
+    """The filter of an (h, n) table, as bytes, of levels above the cut. Each segment is built in a task; FILTER_BYTES come
+    to the driver."""
+    rows = counts.where(F.col("n") >= F.lit(float(BASE ** (filter_cut(counts) if cut is None else cut))))
+    size = FILTER_BYTES // SEGMENTS
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,33 +137,98 @@ def build_filter(counts: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"segment": _segment(h), "h": batch["h"], "n": batch["n"]})
 
     def fill(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(FILTER_BYTES // SEGMENTS * 8, bool)
+        bits = np.zeros(size * 8, bool)
         h, level = batch["h"].to_numpy().view(np.uint64), _level(batch["n"].to_numpy())
         for k in range(1, int(level.max()) + 1):
-            bits[_places(h[level >= k], k).ravel().astype(np.int64)] = True
+            bits[_places(h[level >= k], k, size).ravel().astype(np.int64)] = True
         return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     made = rows.mapInPandas(deal, "segment long, h long, n long").groupBy("segment").applyInPandas(fill, "segment long, bits binary").collect()
-    out = np.zeros((SEGMENTS, FILTER_BYTES // SEGMENTS), np.uint8)
+    out = np.zeros((SEGMENTS, size), np.uint8)
     for r in made:
         out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
-def look_up(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The counts that the filter gives n-grams: the middle of their level, 0 where level 1 is missing."""
+def _levels(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The levels that the filter gives n-grams, 0 where level 1 is missing."""
     level, open_ = np.zeros(len(h), np.int64), np.arange(len(h))
-    base = _segment(h) * (FILTER_BYTES // SEGMENTS)
+    size = len(table) // SEGMENTS
+    base = _segment(h) * size
     k = 1
     while len(open_):
-        at = _places(h[open_], k).astype(np.int64)
+        at = _places(h[open_], k, size).astype(np.int64)
         hit = ((table[base[open_] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).all(0)
         open_ = open_[hit]
         level[open_] = k
         k += 1
         if k > 62:
             break
-    return np.where(level > 0, BASE ** (level - 1) * (1 + BASE) / 2 - 0.5, 0.0)
+    return level
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The count that stands for a level: its middle, 0 for level 0."""
+    return np.where(level > 0, BASE ** (level - 1.0) * (1 + BASE) / 2 - 0.5, 0.0)
+
+
+def look_up(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The counts that the filter gives n-grams: the middle of their level, 0 where level 1 is missing."""
+    return _middle(_levels(table, h))
+
+
+def _probability(joint: np.ndarray, before: np.ndarray, own: np.ndarray, floor: float) -> np.ndarray:
+    """P(w | v) from the counts of the bigram, of v and of w; with before = 0, P(w)."""
+    share = before / (before + KAPPA)
+    return np.minimum(share * np.minimum(joint / np.maximum(before, 1.0), 1.0) + (1 - share) * (own + ADD) / floor, 1.0)
+
+
+def _column_probability(joint: Column, before: Column, own: Column, floor: float) -> Column:
+    """_probability, of columns."""
+    share = before / (before + F.lit(KAPPA))
+    known = share * F.least(joint / F.greatest(before, F.lit(1.0)), F.lit(1.0))
+    return F.least(known + (F.lit(1.0) - share) * (own + F.lit(ADD)) / F.lit(floor), F.lit(1.0))
+
+
+def _column_middle(level: Column) -> Column:
+    return F.when(level > 0, F.pow(F.lit(BASE), level - F.lit(1.0)) * ((1 + BASE) / 2) - 0.5).otherwise(0.0)
+
+
+def _slice_of_score(scored: DataFrame, counts: DataFrame, ngrams: DataFrame, cut: int, floor: float, part: int) -> DataFrame:
+    """(row, part): what the n-grams under the cut add to each row's score, for those in one slice of the hashes."""
+    level = (F.floor(F.log(BASE, F.col("n")) + 1e-9) + 1).cast("int")
+    under = F.col("n") < F.lit(float(BASE**cut))
+    grams = ngrams.where(under & (F.pmod("h", F.lit(PASSES)) == part)).select(F.col("h").alias("gram_"), level.alias("joint"))
+    tokens = counts.where(under).select("h", level.alias("level"))
+    joint = _column_middle(F.coalesce("joint", F.lit(0)))
+
+    # both words are in the filter: the score has the term without the bigram; one that was seen replaces it
+    known = scored.select("row", F.explode(F.arrays_zip(F.col(f"gram{part}").alias("gram"), F.col(f"two{part}").alias("two"))).alias("t")).select("row", "t.*").toDF("row", "gram", "two")
+    before, own = _column_middle(F.shiftright("two", 6)), _column_middle(F.col("two").bitwiseAND(F.lit(63)))
+    more = F.log10(_column_probability(joint, before, own, floor)) - F.log10(_column_probability(F.lit(0.0), before, own, floor))
+    known = known.join(grams, F.col("gram") == F.col("gram_")).select("row", more.alias("part"))
+
+    # a word is under the cut: the score lacks the term
+    other = scored.select("row", F.explode("others").alias("t")).select("row", "t.*").where(F.pmod("gram", F.lit(PASSES)) == part)
+    other = other.join(grams, F.col("gram") == F.col("gram_"), "left")
+    for word, place in (("v", "lv"), ("w", "lw")):
+        found = tokens.select(F.col("h").alias(f"{word}_"), F.col("level").alias(f"{word}l"))
+        # a word whose level is known meets nothing: the n-gram's hash stands in, so that frequent words share no task
+        key = F.when(F.col(place) < 0, F.col(word)).otherwise(F.col("gram"))
+        other = other.withColumn(f"{word}k", key).join(found, F.col(f"{word}k") == F.col(f"{word}_"), "left")
+        other = other.withColumn(place, F.when(F.col(place) < 0, F.coalesce(f"{word}l", F.lit(0))).otherwise(F.col(place)))
+    whole = F.log10(_column_probability(joint, _column_middle(F.col("lv")), _column_middle(F.col("lw")), floor))
+    return known.union(other.select("row", whole.alias("part"))).groupBy("row").agg(F.sum("part").alias("part"))
+
+
+def _rest_of_scores(scored: DataFrame, counts: DataFrame, ngrams: DataFrame, cut: int, floor: float) -> DataFrame:
+    """(row, part): what the n-grams under the cut add to each row's score."""
+    rest = None
+    for part in range(PASSES):
+        scored.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of steps that nothing refers to
+        more = staged(_slice_of_score(scored, counts, ngrams, cut, floor, part), "rest")
+        rest = more if rest is None else rest.union(more)
+    return rest.groupBy("row").agg(F.sum("part").alias("part"))
 
 
 def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +247,9 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     top = head["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(top)
     keys, values = top[order], head["n"].to_numpy(np.int64)[order]
-    table = build_filter(staged(counts.union(bigram_counts(learn)), "ngrams"))
+    ngrams = staged(counts.union(bigram_counts(learn)), "ngrams")
+    cut = filter_cut(ngrams)
+    table = build_filter(ngrams, cut)
     shared = spark.sparkContext.broadcast((keys, values, table))
     floor = total + ADD * (distinct + 1)
     complete = distinct <= HEAD
@@ -192,19 +267,45 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
             known = np.where(c > 0, 1, 0)
             logs = np.where(c > 0, np.log10((c + ADD) / floor), 0.0) if not complete else np.log10((c + ADD) / floor)
             distinct_h, back = np.unique(h, return_inverse=True)
-            counted = look_up(table, distinct_h)[back]
-            prob = (counted + ADD) / floor
-            if len(h) > 1:
-                use = np.ones(len(h) - 1, bool)
-                use[(starts - 1)[1:]] = False
-                where = np.flatnonzero(use)
-                if len(where):
-                    grams, to = np.unique(_pairs(h)[where], return_inverse=True)
-                    joint = look_up(table, grams)[to]
-                    before = counted[where]
-                    share = before / (before + KAPPA)
-                    prob[where + 1] = share * np.minimum(joint / np.maximum(before, 1.0), 1.0) + (1 - share) * prob[where + 1]
-            model = np.log10(np.minimum(prob, 1.0))
+            own_level = _levels(table, distinct_h)[back]
+            before_level = np.concatenate([[0], own_level[:-1]])
+            before_level[starts] = 0
+            # at a text's first word the word itself stands for the bigram, and counts nothing
+            grams = np.concatenate([h[:1], _pairs(h)])
+            grams[starts] = h[starts]
+            distinct_g, to = np.unique(grams, return_inverse=True)
+            joint_level = _levels(table, distinct_g)[to]
+            first = np.zeros(len(h), bool)
+            first[starts] = True
+            # a level up to the cut is a false positive: the n-gram is not in the filter
+            no_own, no_before = own_level <= cut, (before_level <= cut) & ~first
+            other = np.flatnonzero(no_own | no_before) if cut else np.empty(0, np.int64)
+            joint_level[(joint_level <= cut) & (cut > 0)] = 0
+            model = np.log10(_probability(_middle(joint_level), _middle(before_level), _middle(own_level), floor))
+            model[other] = 0.0
+            lacking = (joint_level == 0) & ~first & (cut > 0)
+            lacking[other] = False
+            seek = np.flatnonzero(lacking)
+            two = (before_level << 6 | own_level)[seek]
+            sought = {}
+            for part_ in range(PASSES):
+                mine = _signed(grams)[seek] % PASSES == part_
+                g, t, to_row = _signed(grams)[seek][mine], two[mine], np.searchsorted(own[seek][mine], np.arange(len(n) + 1))
+                sought[f"gram{part_}"] = [g[a:b] for a, b in zip(to_row, to_row[1:], strict=False)]
+                sought[f"two{part_}"] = [t[a:b] for a, b in zip(to_row, to_row[1:], strict=False)]
+            before_h = np.concatenate([h[:1], h[:-1]])[other]
+            terms = [
+                {"gram": g, "v": v, "w": w, "lv": a, "lw": b}
+                for g, v, w, a, b in zip(
+                    _signed(grams)[other].tolist(),
+                    _signed(before_h).tolist(),
+                    _signed(h)[other].tolist(),
+                    np.where(no_before, -1, before_level)[other].tolist(),
+                    np.where(no_own, -1, own_level)[other].tolist(),
+                    strict=True,
+                )
+            ]
+            other_cuts = np.searchsorted(own[other], np.arange(len(n) + 1))
             r, k = _counted_pairs(own[rare], _signed(h)[rare])
             cuts = np.searchsorted(r[0], np.arange(len(n) + 1))
             yield pd.DataFrame(
@@ -217,18 +318,26 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
                     "score": np.add.reduceat(model, starts),
                     "rare": [r[1][a:b] for a, b in zip(cuts, cuts[1:], strict=False)],
                     "times": [k[a:b] for a, b in zip(cuts, cuts[1:], strict=False)],
+                    **sought,
+                    "others": [terms[a:b] for a, b in zip(other_cuts, other_cuts[1:], strict=False)],
                 }
             )
 
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, "
+    schema += "".join(f"gram{i} array<long>, two{i} array<int>, " for i in range(PASSES)) + "others array<struct<gram: long, v: long, w: long, lv: int, lw: int>>"
     scored = staged(rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema), "scored")
     others = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
     found = others.join(counts, F.col("token") == F.col("h"), "left").withColumn("c", F.coalesce("n", F.lit(0)))
     log = F.log10((F.col("c") + ADD) / F.lit(floor)) * F.col("times")
     sums = found.groupBy(F.col("row").alias("r")).agg(F.sum(log).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("more"))
-    out = scored.drop("rare", "times").join(sums, F.col("row") == F.col("r"), "left")
+    out = scored.select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(sums, F.col("row") == F.col("r"), "left")
+    score = F.col("score")
+    if cut:
+        rest = _rest_of_scores(scored, counts, ngrams, cut, floor).withColumnRenamed("row", "s")
+        out = out.join(rest, F.col("row") == F.col("s"), "left")
+        score = score + F.coalesce("part", F.lit(0.0))
     base = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op9_log_frequency_bloom(spark, sf_dir):

@@ -79,3 +79,14 @@ def test_bigrams_of_rare_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(df, df).collect()}
     assert got == pytest.approx(want, rel=0.02)
+
+
+@pytest.mark.parametrize("size", [1 << 25, 1 << 20, 1 << 15])
+def test_scores_whatever_the_filter_holds(spark, data, size, monkeypatch):
+    """N-grams that the filter has no room for count as much as others; it is thinly filled here, for few false positives."""
+    monkeypatch.setattr(lm, "FILTER_BYTES", size)
+    monkeypatch.setattr(lm, "BITS_EACH", 100.0)
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    want = model(rows, [t for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0])
+    got = {r["doc_id"]: r["score"] for r in lm.op9_log_frequency_bloom(spark, data).collect()}
+    assert got == pytest.approx(want, rel=0.001)
