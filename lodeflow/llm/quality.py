@@ -4,8 +4,9 @@ A text is cut into pieces of PIECE bytes. Each is compressed under the good and
 normalised difference of the sizes, (bad - good) / (bad + good), over the text and over its pieces, and the compression
 ratios become a score by a logistic calibration fitted on labelled documents which the dictionaries have not seen.
 
-Labelled documents come as a bounded sample (the first PER_CLASS documents of each label by a hash of their id, and
-EXCERPT characters of each); every document is then scored whole.
+Labelled documents come as a bounded sample (the first PER_CLASS documents of each label by a hash of their id). The
+dictionaries learn from up to EXCERPT characters of each, as pieces chosen by a hash from anywhere in the text; the
+calibration uses the features of whole texts, computed inside tasks, and every document is scored whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, parts_of, pick, ship, utf8
+from .common import crc_mod, hashed, parts_of, pick, ship, utf8
 
 PIECE, DICTIONARY, LEVEL = 512, 112 << 10, 3
 FEATURES = 15
@@ -79,6 +80,15 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return centre, scale, w
 
 
+def _pieces(text: str, excerpt: int) -> str:
+    """The text, or of a longer one excerpt characters: stretches of PIECE, those of the least hashes, in their order."""
+    if len(text) <= excerpt:
+        return text
+    parts = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
+    order = np.argsort(hashed([b"%d %s" % (i, utf8(p)) for i, p in enumerate(parts)]), kind="stable")
+    return "".join(parts[i] for i in sorted(order[: max(1, excerpt // PIECE)]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, excerpt: int = EXCERPT) -> Compressors:
     """Dictionaries from half of a bounded sample of labelled documents, calibration on the other half.
 
@@ -96,17 +106,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = min(1.0, (2 * per_class + 500) / max(1, counts.get(label, 0)))
         top = ids.where((F.col("label") == label) & (F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))).orderBy(h, "own").limit(per_class)
         chosen = top if chosen is None else chosen.union(top)
-    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("doc_id", "label", F.substring(F.coalesce("text", F.lit("")), 1, excerpt).alias("text")).toPandas()
-    sample = sample.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    y, texts = sample["label"].to_numpy(float), [utf8(t) for t in sample["text"]]
-    good, bad = ([t for t, v in zip(texts, y, strict=True) if v == k] for k in (1, 0))
+    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts_of(batches, 2_000_000):
+            part["text"] = [_pieces(t, excerpt) for t in part["text"]]
+            yield part
+
+    taught = sample.mapInPandas(cut, sample.schema).toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    good, bad = (taught[taught["label"] == k] for k in (1, 0))
     if len(good) < 4 or len(bad) < 4:
-        p = min(max(y.mean() if len(y) else 0.5, 0.01), 0.99)
+        p = min(max(taught["label"].mean() if len(taught) else 0.5, 0.01), 0.99)
         return Compressors(b"neutral text ", b"neutral text ", np.zeros(FEATURES), np.ones(FEATURES), np.array([np.log(p / (1 - p)), *[0.0] * FEATURES]))
-    dictionaries = [_dictionary(part[::2]) for part in (good, bad)]
-    held = good[1::2] + bad[1::2]
-    truth = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
-    centre, scale, w = _calibrate(_features(held, *dictionaries), truth)
+    dictionaries = [_dictionary([utf8(t) for t in part["text"][::2]]) for part in (good, bad)]
+    held = pd.concat([good[1::2], bad[1::2]])["doc_id"].tolist()
+    shared = docs.sparkSession.sparkContext.broadcast((set(held), dictionaries))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, found = shared.value
+        for part in parts_of(batches, 2_000_000):
+            part = part[part["doc_id"].isin(ids)]
+            x = _features([utf8(t) for t in part["text"]], *found)
+            yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "x": list(x)})
+
+    schema = sample.select("doc_id", "label", F.array(F.lit(0.0)).alias("x")).schema
+    measured = sample.mapInPandas(measure, schema).toPandas()
+    measured["key"] = [tuple(x) for x in measured["x"]]
+    measured = measured.sort_values(["doc_id", "key"]).drop_duplicates("doc_id")
+    truth = measured["label"].to_numpy(float)
+    centre, scale, w = _calibrate(np.stack(measured["x"].to_list()), truth)
     # the sample is balanced by class: move the intercept to the classes' shares among all labelled rows
     w[0] += np.log(counts.get(1, 1) / counts.get(0, 1)) - np.log(truth.sum() / (len(truth) - truth.sum()))
     return Compressors(*dictionaries, centre, scale, w)

@@ -55,3 +55,13 @@ def test_learning_separates(spark):
     df = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
     scores = {r["doc_id"]: r["score"] for r in score_quality(df, fit(df, df)).collect()}
     assert min(scores[i] for i, *_ in good) > max(scores[i] for i, *_ in bad)
+
+
+def test_learns_from_whole_texts(spark):
+    """What tells the classes apart stands behind the first 8,000 characters."""
+    same = " ".join(f"plain opening {k % 50} line" for k in range(700))
+    good = [(i, same + " ".join(f"river stone meadow {i % 7} lantern {k}" for k in range(700)), 1) for i in range(30)]
+    bad = [(100 + i, same + " ".join(f"BUY!! NOW!! {k}$$$" for k in range(1500)), 0) for i in range(30)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+    scores = {r["doc_id"]: r["score"] for r in score_quality(df, fit(df, df)).collect()}
+    assert min(scores[i] for i, *_ in good) > 0.5 > max(scores[i] for i, *_ in bad)
