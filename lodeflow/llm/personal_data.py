@@ -73,7 +73,8 @@ def windows(text: str) -> list[int]:
         if not out or at + CONTEXT > out[-1] + WIDTH:
             first = max(0, at - CONTEXT)
             if out and first < out[-1] + WIDTH:
-                out.append(out[-1] + STEP)
+                while at + CONTEXT > out[-1] + WIDTH:
+                    out.append(out[-1] + STEP)
             else:
                 out.append(first)
     return out

@@ -103,3 +103,11 @@ def test_edges(edge, empty):
     out = pd_.find_personal_data(edge, model).collect()
     assert len(out) == 11 and all(r["kinds"] == [] for r in out if r["doc_id"] in (3, 4, 5))
     assert pd_.find_personal_data(empty, pd_.train(*pd_.labelled_windows(empty))).count() == 0
+
+
+def test_last_window_reaches_the_context():
+    from lodeflow.llm.personal_data import CONTEXT, WIDTH, windows
+
+    for at in range(25, 200):
+        starts = windows("x" * 24 + "1" + "x" * (at - 25) + "1" + "x" * 100)
+        assert any(a <= at and at + CONTEXT <= a + WIDTH for a in starts)
