@@ -26,26 +26,45 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves in local mode only; on a cluster that would be a disk of each machine.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='lodeflow-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    if place:
+        return place.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(sc, "_lodeflow_folder"):
+        sc._lodeflow_folder = f"file://{tempfile.mkdtemp(prefix='lodeflow-')}"
+    return sc._lodeflow_folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: cuts lineage, and survives lost executors.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; it is deleted when the driver's JVM ends, if it is still there."""
+    path = f"{shared_dir(spark)}/lodeflow/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
-    The folder is deleted when the driver's JVM ends.
-    """
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a step to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeflow/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodeflow_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what staged() has written, once no later step reads it. Other frames stay as they are."""
+    spark, path = df.sparkSession, getattr(df, "_lodeflow_path", None)
+    if path:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

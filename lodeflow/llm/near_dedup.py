@@ -5,12 +5,14 @@ costs p evaluations. Bands of places become bucket keys; documents that share a
 candidate link is confirmed on the full shingle sets.
 
 Documents with equal sets form one class, which the smallest doc_id stands for. In a bucket, members are first compared
-with its smallest and its largest member only (a star, not all pairs), then those outside the component of the smallest
-with two members of it drawn at random. What the confirmed links join needs no more comparing; only members of one bucket
-that are still in different components are then compared, and only if their odd sketches allow a link: the sketch holds
-the parity of the number of set members in each of its bins, so two sketches differ in no more bits than their sets have
-members apart, and no link is lost. In buckets with many components left, members are first dealt into finer buckets by
-pairs of bands.
+with its smallest and its largest member only (a star, not all pairs). What the confirmed links join needs no more
+comparing. Members of buckets that still hold several components are the open ones: among these, an exact join on prefixes
+finds every link that is left. Shingles have one order, rare ones first; two sets with 100 * intersection >= percent *
+union must share one among the first n - ceil(p n) + 1 of the larger set and the first n - ceil(2 p n / (1 + p)) + 1 of
+the smaller one (p = percent / 100), whatever else they share, so what very many texts have in common brings no pairs.
+Pairs so found are confirmed only if sizes and odd sketches allow a link: the sketch holds the parity of the number of set
+members in each of its bins, so two sketches differ in no more bits than their sets have members apart, and no link is
+lost.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import hashed, mix, parts_of, pick, staged, utf8
 from .components import components
 
-PERMUTATIONS, BANDS, SKETCH = 48, 24, 1024
+PERMUTATIONS, BANDS, SKETCH, BINS = 48, 24, 1024, 1 << 18
 CHUNK = 1_500_000
 
 
@@ -79,7 +81,7 @@ def _odd_sketch(members: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, set_key, bands, odd); the last two are null where the set is empty."""
+    """(doc_id, text_hash, text) -> (doc_id, text_hash, n_shingles, set_key, bands, odd); the last two are null where the set is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_of(batches, CHUNK):
@@ -89,6 +91,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": part["doc_id"],
+                    "text_hash": part["text_hash"],
                     "n_shingles": [len(s) for s in sets],
                     "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                     "bands": [next(keys) if len(s) else None for s in sets],
@@ -96,13 +99,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 }
             )
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>")
+    return docs.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_of(batches, CHUNK):
-            yield pd.DataFrame({"node": part["doc_id"], "members": [s.view(np.int64) for s in _shingles([utf8(t) for t in part["text"]], k)]})
+            yield pd.DataFrame({"node": part["node"], "members": [s.view(np.int64) for s in _shingles([utf8(t) for t in part["text"]], k)]})
 
     return docs.mapInPandas(run, "node long, members array<long>")
 
@@ -128,63 +131,104 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("s_", shared).where(F.col("s_") * 100 >= percent * (F.size("ma") + F.size("mb") - F.col("s_"))).select("a", "b")
 
 
-def _open_buckets(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(bucket, node, part, p0, parts) of the buckets that hold more than one component; p0 is the smallest one."""
-    parts = components(links).withColumnRenamed("node", "node_")
-    placed = shared.select("bucket", "node").join(parts, F.col("node") == F.col("node_"), "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    several = placed.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.approx_count_distinct("part").alias("parts")).where("p0 < p1")
-    return staged(placed.join(several.select("bucket", "p0", "parts"), "bucket"), "open")
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall into each of BINS bins: an order of shingles, rare ones first. The driver gets BINS rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for members in batch["members"]:
+                seen += np.bincount(_bin(np.asarray(members)), minlength=BINS)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"bin": at, "n": seen[at]})
+
+    out = np.zeros(BINS, np.int64)
+    for r in sets.select("members").mapInPandas(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def _bin(members: np.ndarray) -> np.ndarray:
+    return (members.view(np.uint64) >> np.uint64(40)).astype(np.int64) % BINS
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row: its set's size, the smallest doc_id reachable over links.
+def _prefixes(open_sets: DataFrame, percent: int) -> DataFrame:
+    """(node, members, part, n, odd) -> (shingle, node, part, n, odd, inner): the first shingles of each set; inner marks
+    those by which a set is found as the smaller one of two."""
+    often = open_sets.sparkSession.sparkContext.broadcast(_frequencies(open_sets))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                members = np.asarray(row.members)
+                n = len(members)
+                first = members[np.lexsort((members, often.value[_bin(members)]))[: n - -(-percent * n // 100) + 1]]
+                inner = n - -(-2 * percent * n // (100 + percent)) + 1
+                yield pd.DataFrame({"shingle": first, "node": row.node, "part": row.part, "n": n, "odd": [row.odd] * len(first), "inner": np.arange(len(first)) < inner})
+
+    return open_sets.mapInPandas(run, "shingle long, node long, part long, n long, odd array<long>, inner boolean")
+
+
+def _rest(shared: DataFrame, links: DataFrame, standing: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between different components of the given links, among nodes of buckets that hold several components."""
+    parts = components(links).withColumnRenamed("node", "node_")
+    placed = staged(shared.select("bucket", "node").join(parts, F.col("node") == F.col("node_"), "left").select("bucket", "node", F.coalesce("component", "node").alias("part")), "placed")
+    several = staged(placed.groupBy(F.col("bucket").alias("at")).agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("at"), "several")
+    nodes = staged(placed.join(several, F.col("bucket") == F.col("at"), "left_semi").select(F.col("node").alias("node_"), "part").distinct(), "open")
+    known = standing.select(F.col("node").alias("own"), "odd")
+    held = staged(sets.join(nodes, F.col("node") == F.col("node_")).join(known, F.col("node") == F.col("own")).select("node", "members", "part", "odd"), "held")
+    firsts = staged(_prefixes(held, percent), "prefixes")
+    larger, smaller = (firsts.select(*[F.col(c).alias(f"{c}{s}") for c in ("shingle", "node", "part", "n", "odd", "inner")]) for s in "ab")
+    # the smaller set is b; of equal ones, the larger node
+    order = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb")))
+    pairs = larger.join(smaller.where("innerb"), (F.col("shinglea") == F.col("shingleb")) & (F.col("parta") != F.col("partb")) & order & _allowed(percent, "na", "nb", "odda", "oddb"))
+    return _confirmed(staged(pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "pairs"), sets, percent)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: doc_id, n_shingles (its set's size), component_id (the smallest doc_id reachable over links), kept
+    (whether that is its own), text_hash, group (a number that a component's rows share), chosen (whether its text is the
+    one that stands for the group).
 
     Two documents link if 100 * intersection >= percent * union of their sets of k-word shingles (A-Z lower-cased, words
-    split at ASCII white space). Defined cases: a null or wordless text has an empty set and links with nothing; a row
-    without doc_id links with nothing and has no component (kept: true); repeated rows each get a result; rows that share
-    a doc_id count as one document; an empty table gives an empty result.
+    split at ASCII white space). Defined cases: a null, empty or wordless text has an empty set and links with nothing; a
+    row without doc_id links with nothing and has no component (kept: true); repeated rows each get a result; rows that
+    share a doc_id but not a text are documents of their own; equal sets (ties) fall to the smallest doc_id; a very long
+    text is one set in one task; other columns, however named, are not read; an empty table gives an empty result.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     signed = staged(signatures(rows, k), "signatures")
     usable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node"))
-    standing = usable.join(classes.select("node", F.col("set_key").alias("own")), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("own")))
-    standing = staged(standing.select("node", F.col("n_shingles").alias("n"), "bands", "odd").dropDuplicates(["node"]), "classes")
-    members = standing.select("node", F.explode("bands").alias("bucket"))
-    stars = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = staged(members.join(stars, "bucket"), "buckets")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("chosen")
+    classes = usable.groupBy("set_key").agg(first, F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("odd").alias("odd"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    stars = staged(members.groupBy(F.col("bucket").alias("at")).agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "stars")
+    shared = staged(members.join(stars, F.col("bucket") == F.col("at")).select("bucket", "node", "low", "high"), "buckets")
     wanted = shared.select(F.col("node").alias("want")).distinct()
-    sets = staged(_sets(rows.join(wanted, F.col("doc_id") == F.col("want"), "left_semi"), k).dropDuplicates(["node"]), "sets")
+    wanted = classes.join(wanted, F.col("node") == F.col("want")).select("node", "chosen.*").toDF("node", "own", "own_hash")
+    texts = rows.join(wanted.hint("merge"), (F.col("doc_id") == F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).select("node", "text").dropDuplicates(["node"])
+    sets = staged(_sets(texts, k), "sets")
     ends = F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b"))))
     pairs = shared.select(ends.alias("p")).select("p.*").where("a < b").distinct()
-    links = staged(_confirmed(_likely(pairs, standing, percent), sets, percent), "confirmed")
-
-    left = _open_buckets(shared, links)
-    core = left.where("part = p0").withColumn("h", F.xxhash64("node", "bucket"))
-    drawn = core.groupBy("bucket").agg(F.array(F.min("h"), F.max("h")).alias("hs")).select("bucket", F.explode(F.array_distinct("hs")).alias("h"))
-    pivots = core.join(drawn, ["bucket", "h"]).select(F.col("bucket").alias("at"), F.col("node").alias("pivot"))
-    pairs = left.where("part > p0").join(pivots, F.col("bucket") == F.col("at")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = staged(links.union(_confirmed(_likely(pairs, standing, percent), sets, percent)), "confirmed")
-
-    left = _open_buckets(shared, links).join(standing.withColumnRenamed("node", "own"), F.col("node") == F.col("own"))
-    few = left.where(F.col("parts") <= crowd).select("bucket", "node", "n", "odd", "part")
-    finer = left.where(F.col("parts") > crowd).select("bucket", "node", "n", "odd", "part", F.explode("bands").alias("next")).where(F.col("next") != F.col("bucket"))
-    rest = staged(few.union(finer.select(F.xxhash64(F.least("bucket", "next"), F.greatest("bucket", "next")).alias("bucket"), "node", "n", "odd", "part").distinct()), "rest")
-    one, two = (rest.select("bucket", *[F.col(c).alias(f"{c[0]}{s}") for c in ("node", "odd", "part")], F.col("n").alias(f"size{s}")) for s in "ab")
-    cross = one.join(two.withColumnRenamed("bucket", "bucket_"), (F.col("bucket") == F.col("bucket_")) & (F.col("na") < F.col("nb")) & (F.col("pa") != F.col("pb")) & _allowed(percent, "sizea", "sizeb", "oa", "ob"))
-    more = _confirmed(cross.select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct(), sets, percent)
-    final = components(links.union(more)).select(F.col("node").alias("node_"), F.col("component").alias("component_"))
-    named = classes.select(F.col("set_key").alias("own"), F.col("node").alias("lead"))
-    named = named.join(final, F.col("lead") == F.col("node_"), "left").select("own", F.coalesce("component_", "lead").alias("found"))
+    links = staged(_confirmed(_likely(pairs, classes, percent), sets, percent), "confirmed")
+    more = _rest(shared, links, classes, sets, percent)
+    final = components(links.union(more)).toDF("node_", "root_")
+    placed = classes.join(final, F.col("node") == F.col("node_"), "left").select("set_key", "chosen", F.coalesce("root_", "node").alias("group"))
+    placed = staged(placed, "placed")
+    least = staged(placed.groupBy(F.col("group").alias("g_")).agg(F.min("chosen").alias("first")), "first")
+    named = staged(placed.join(least, F.col("group") == F.col("g_")).select(F.col("set_key").alias("own"), "group", "first"), "named")
     out = signed.join(named, (F.col("set_key") == F.col("own")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce("found", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce("first.doc_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    chosen = F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash", "group", chosen.alias("chosen"))
 
 
 def op8_minmax_near_dedup(spark, sf_dir):
     from .common import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP8_SQL = r"""

@@ -52,11 +52,11 @@ def copies(seed, groups, each, words, change):
     return rows
 
 
-@pytest.mark.parametrize(("k", "crowd"), [(2, 64), (5, 64), (2, 2)])
-def test_against_all_pairs(spark, k, crowd):
+@pytest.mark.parametrize("k", [2, 5])
+def test_against_all_pairs(spark, k):
     rows = copies(k, 12, 9, 80, 0.03) + copies(k + 9, 1, 60, 90, 0.06)
     rows = [(i, t) for i, (_, t) in enumerate(rows)]
-    got = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=k, crowd=crowd))
+    got = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=k))
     assert got == brute(rows, k)
 
 
@@ -79,6 +79,31 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_shuffled_chains(spark):
+    draw = random.Random(2)
+    names = draw.sample(range(10**6), 3000)
+    links = [(a, b) for chain in (names[:1500], sorted(names[1500:])) for a, b in zip(chain, chain[1:], strict=False)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {n: min(names[:1500]) for n in names[:1500]} | {n: min(names[1500:]) for n in names[1500:]}
+
+
+def test_a_crowded_bucket_of_unlinked_texts(spark):
+    """1,100 texts share all but a fifth of their words: similarities stay just under the limit, and a few links hide."""
+    common = [f"c{i}" for i in range(200)]
+    rows = [(i, " ".join(common + [f"t{i}w{j}" for j in range(25)])) for i in range(1100)]
+    rows += [(2000 + i, rows[37 * i][1] + " more words") for i in range(20)]
+    got = result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2))
+    want = {i: i for i, _ in rows} | {2000 + i: 37 * i for i in range(20)}
+    assert {i: c for i, (c, _) in got.items()} == want
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "n o p q r s t"), (2, "n o p q r s t"), (1, "a b c d e f g")]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"], r["chosen"]) for r in out) == [(1, 1, True, True)] * 3 + [(2, 1, False, False)]
+    assert len({r["group"] for r in out}) == 2
+
+
 def test_signatures_estimate_similarity():
     draw = np.random.default_rng(3)
     whole = draw.integers(0, 2**63, 1200).astype(np.uint64)
