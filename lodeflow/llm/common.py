@@ -59,12 +59,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what staged() has written, once no later step reads it. Other frames stay as they are."""
-    spark, path = df.sparkSession, getattr(df, "_lodeflow_path", None)
-    if path:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if path := getattr(df, "_lodeflow_path", None):
+        remove(df.sparkSession, path)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -10,6 +10,7 @@ The file is a Parquet table with a row for each frame, so Spark's readers and wr
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, portions, shared_dir
+from .common import pick, portions, remove, shared_path, staged
 
 SCALE, LANES, BLOCK, FRAME, EVERY = 20, 4096, 1 << 20, 1 << 21, 128
 CACHED = 500_000
@@ -45,7 +46,9 @@ class Pieces:
     """Ids of texts by the tokenizers library, which sees each distinct piece of the usual texts once while it is kept.
 
     The byte-level splitting rule never joins a non-space with a space after it. So a text can be cut before each space
-    that follows a non-space, and its ids are those of the pieces in a row. A text with other spaces is encoded whole.
+    that follows a non-space, and its ids are those of the pieces in a row. A text with other spaces, or one that holds
+    the string of an added token (such as <|endoftext|>, which has an id of its own then), is encoded whole; so are all
+    texts if the tokenizer's file has another splitting rule, a normalizer, or a model that isn't plain byte-level BPE.
     """
 
     kept: dict[str, Pieces] = {}
@@ -58,7 +61,13 @@ class Pieces:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        first, model = spec["pre_tokenizer"] or {}, spec["model"]
+        plain = first.get("type") == "ByteLevel" and not first["add_prefix_space"] and first.get("use_regex", True) and spec["normalizer"] is None
+        odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        self.cuts = bool(plain and model["type"] == "BPE" and not any(model.get(k) for k in odd))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.split = regex.compile(PATTERN).findall
@@ -117,8 +126,9 @@ class Pieces:
             found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
         return found
 
-    @staticmethod
-    def _fits(text: str) -> bool:
+    def _fits(self, text: str) -> bool:
+        if not self.cuts or self.added(text):
+            return False
         try:
             b = text.encode("latin-1")
         except UnicodeEncodeError:
@@ -243,8 +253,9 @@ def decode_frame(frame: dict) -> np.ndarray:
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts, each followed by end_id, in ascending doc_id order.
 
-    A null text is empty (end_id alone); null doc_ids come first; rows that share a doc_id are kept, in any order among
-    themselves; an empty table makes a file without frames.
+    A null text is empty (end_id alone); null doc_ids come first; rows that share a doc_id (ties) are kept, ordered among
+    themselves by their texts' hashes; a very long text makes a frame of its own, cut into blocks; other columns, however
+    named, are not read; an empty table makes a file without frames.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -276,8 +287,10 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0
         if ids:
             yield frame()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInPandas(run, FRAME_SCHEMA).write.parquet(path)
+    # the hash spreads rows without an id, or with one that very many share, over tasks
+    n, order = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["doc_id", "hash"]
+    placed = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed.select("doc_id", "text").mapInPandas(run, FRAME_SCHEMA).write.parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str, only_crc: bool = False) -> DataFrame:
@@ -316,15 +329,16 @@ def read_token_file(spark: SparkSession, path: str, only_crc: bool = False) -> D
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
-    """Write docs as a token file, read it back: (doc_id, start, n_tokens, ids_crc32)."""
-    import uuid
-
+    """Write docs as a token file, read it back: (doc_id, start, n_tokens, ids_crc32). Without a path, the file goes then."""
     import public_tokenizers
 
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/lodeflow/tokens-{uuid.uuid4().hex}"
-    write_token_file(docs, path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_file(spark, path, only_crc=True)
+    place = path or shared_path(spark, "tokens")
+    write_token_file(docs, place, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    out = staged(read_token_file(spark, place, only_crc=True), "token-table")
+    if not path:
+        remove(spark, place)
+    return out
 
 
 def op10_rans_token_files(spark, sf_dir):

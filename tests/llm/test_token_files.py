@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -28,6 +27,17 @@ def test_pieces(plain):
         assert [ids.tolist() for ids in coder.encode(ODD)] == [plain(t) for t in ODD]
 
 
+def test_an_added_token_in_a_text_has_its_own_id(plain):
+    assert plain("a<|endoftext|>b") == [64, 50256, 65] == tf.Pieces(PATH).encode(["a<|endoftext|>b"])[0].tolist()
+
+
+def test_another_splitting_rule_is_left_to_the_library():
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    coder = tf.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["The quick  brown Fox", "don't stop", "Über 12345"]
+    assert not coder.cuts and [i.tolist() for i in coder.encode(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab '.,\n\t\r é  日1")), max_size=25), min_size=1, max_size=4))
 def test_pieces_of_any_text(texts):
