@@ -3,11 +3,13 @@
 A document is its words with their counts as weights. Each of SAMPLES samples draws, for every word, two Gamma(2, 1)
 variates r and c and a uniform b which depend on the word and the sample alone; with weight w, t = floor(ln w / r + b),
 ln y = r (t - b), and the word's value is ln c - ln y - r. The sample of a document is the (word, t) of least value. Two
-documents' samples agree with a chance of their generalised Jaccard similarity, sum of min(w, w') over sum of max(w, w'),
-so the share of agreeing samples estimates it; its standard error is 0.0625 at most for 64 samples.
+documents' samples agree with a chance of their generalised Jaccard similarity, sum of min(w, w') over sum of max(w, w').
 
-A word is drawn once for each sample, whatever its count. Samples are taken in blocks of BLOCK: a row for each word and
-block, with BLOCK minima aggregated side by side.
+Words are dealt into BLOCKS blocks by their hashes, and each block has SAMPLES samples of its own words, so that a word is
+drawn SAMPLES times, once for each of its block's samples with its whole count as weight. A fingerprint also holds each
+block's sum of weights, W. The share s of a block's samples that agree estimates the block's similarity; as its sums of
+minima and maxima add up to W + W', its sum of maxima is (W + W') / (1 + s), and s times that is its sum of minima. Both
+are added over the blocks: the similarity of the whole, however unevenly the blocks weigh.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, staged
 
-SAMPLES, BLOCK = 64, 16
+BLOCKS, SAMPLES = 8, 16
 #: Neighbouring ids which stand in one group, for the step from a document to the next one.
 GROUP = 64
 
@@ -44,27 +46,44 @@ def sample(word: Column, log_weight: Column, number: Column) -> Column:
 
 
 def fingerprint(texts: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
-    """keys, facts, text -> keys, facts, block, s0...: the samples of each text, a row for each block of them.
+    """keys, facts, text -> keys, facts, block, weight, s0...: the samples of each text, a row for each block with words.
 
     Words are runs without white space, A-Z as they are; wordless texts have no rows. facts are columns that the keys
     determine. If texts are partitioned by some of the keys, nothing is shuffled.
     """
     words = texts.select(*keys, *facts, F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("w")).where("w <> ''")
-    counts = words.select(*keys, *facts, F.xxhash64("w").alias("word")).groupBy(*keys, *facts, "word").agg(F.log(F.count("*")).alias("lw"))
-    drawn = counts.select(*keys, *facts, "word", "lw", F.explode(F.array(*map(F.lit, range(SAMPLES // BLOCK)))).alias("block"))
-    least = [F.min(sample(F.col("word"), F.col("lw"), F.col("block") * BLOCK + i)).alias(f"s{i}") for i in range(BLOCK)]
-    return drawn.groupBy(*keys, *facts, "block").agg(*least)
+    counts = words.select(*keys, *facts, F.xxhash64("w").alias("word")).groupBy(*keys, *facts, "word").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("word", F.lit(0)), F.lit(BLOCKS)).cast("int")
+    placed = counts.select(*keys, *facts, "word", "n", F.log("n").alias("lw"), block.alias("block"))
+    least = [F.min(sample(F.col("word"), F.col("lw"), F.lit(i))).alias(f"s{i}") for i in range(SAMPLES)]
+    return placed.groupBy(*keys, *facts, "block").agg(F.sum("n").alias("weight"), *least)
+
+
+def as_print(blocks: Column) -> Column:
+    """An array of (block, weight, codes) as a fingerprint: struct of weights, one for each block, and codes of 16 bits,
+    SAMPLES for each; 0 and -1 where a block has no words."""
+    slots = F.transform(F.array(*map(F.lit, range(BLOCKS))), lambda g: F.get(F.filter(blocks, lambda b: b["block"] == g), F.lit(0)))
+    weights = F.transform(slots, lambda b: F.coalesce(b["weight"], F.lit(0)))
+    codes = F.flatten(F.transform(slots, lambda b: F.coalesce(b["codes"], F.array_repeat(F.lit(-1), SAMPLES))))
+    return F.struct(weights.alias("weights"), codes.alias("codes"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of samples that agree; 1 for two empty prints, 0 for one."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
-    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / SAMPLES)
+    """The estimated generalised Jaccard similarity of two fingerprints; 1 for two empty ones, 0 for one."""
+    least = most = F.lit(0.0)
+    for g in range(BLOCKS):
+        own, other = (F.slice(x["codes"], g * SAMPLES + 1, SAMPLES) for x in (a, b))
+        s = F.size(F.filter(F.zip_with(own, other, lambda x, y: (x == y) & (x >= 0)), lambda e: e)) / SAMPLES
+        top = (F.get(a["weights"], F.lit(g)) + F.get(b["weights"], F.lit(g))) / (1 + s)
+        least, most = least + s * top, most + top
+    return F.when(most == 0, 1.0).otherwise(F.least(least / most, F.lit(1.0)))
 
 
 def as_text(a: Column) -> Column:
-    """Four hex digits for each sample; empty for a wordless text."""
-    return F.coalesce(F.array_join(F.transform(a, lambda v: F.lower(F.lpad(F.hex(v), 4, "0"))), ""), F.lit(""))
+    """The weights in hex digits, then four hex digits for each sample of a block with words; empty for a wordless text."""
+    weights = F.array_join(F.transform(a["weights"], lambda v: F.lower(F.hex(v))), ".")
+    codes = F.array_join(F.transform(F.filter(a["codes"], lambda v: v >= 0), lambda v: F.lower(F.lpad(F.hex(v), 4, "0"))), "")
+    return F.when(F.exists(a["weights"], lambda w: w > 0), F.concat(weights, F.lit("-"), codes)).otherwise("")
 
 
 def with_next(rows: DataFrame, at: str, order: list[str], value: str, out: str) -> DataFrame:
@@ -120,14 +139,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kinds = [(0, F.col("text"), F.lit(None).cast("string")), (1, F.col("edited"), F.lit(None).cast("string")), (2, F.lit("-"), fact)]
     each = texts.select("near", "place", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text"), f.alias("fact")) for k, t, f in kinds])).alias("t"))
     prints = fingerprint(each.select("near", "place", "t.*"), ["near", "place", "kind"], ["fact"])
-    codes = F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(BLOCK)])
-    own = lambda kind: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("block", codes.alias("codes"))))), lambda b: b["codes"]))
+    codes = F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(SAMPLES)])
+    own = lambda kind: as_print(F.collect_list(F.when(F.col("kind") == kind, F.struct("block", "weight", codes.alias("codes")))))
     whole = prints.groupBy("near", "place").agg(own(0).alias("print"), own(1).alias("edited_print"), F.max("fact").alias("fact"))
-    filled = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
     parts = F.split("fact", ",")
     doc_id = F.get(parts, F.lit(2)).cast(docs.schema[id_col].dataType if id_col in docs.columns else "long")
     facts = [doc_id.alias("doc_id"), F.get(parts, F.lit(0)).cast("long").alias("n_chars"), F.get(parts, F.lit(1)).alias("edited_sha256")]
-    joined = staged(whole.select("near", "place", filled("print"), filled("edited_print"), *facts), "prints")
+    joined = staged(whole.select("near", "place", "print", "edited_print", *facts), "prints")
     out = with_next(joined, "near", ["place"], "print", "next_print")
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
 
