@@ -1,14 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter, and an exact unigram base.
 
-An n-gram's count c is quantised to level 1 + floor(log_b c). The filter holds the pairs (n-gram, 1), ..., (n-gram,
-level); a lookup probes level after level until one is missing, so false positives can only raise a count, and rarely by
-more than one level. The filter has a fixed size, is built in segments by tasks (an n-gram's probes stay in the segment
-its hash names), and is broadcast to the workers. N-grams go in by count, the most frequent first, as far as the filter
-holds them at its stated error; the cut is a level found from the histogram of counts. The levels of rarer n-grams come by
-joins with the table of all counts, so a score does not depend on what the filter holds.
+An n-gram's count is quantised to a level: counts up to EXACT are levels of their own, above these there are FINE levels
+for each doubling. The filter holds the pairs (n-gram, 1), ..., (n-gram, level); a lookup probes level after level until
+one is missing, so no n-gram is lost and false positives can only raise a count, rarely by more than one level.
 
-Scores: P(w | v) = l(v) c(v w) / c(v) + (1 - l(v)) P(w) with l(v) = c(v) / (c(v) + KAPPA), P(w) smoothed by adding 0.1;
-bigrams of all words are counted, and at a text's first word P(w) stands alone.
+Scores are of a normalised model. With q the count that a level stands for, T(v) the sum of q(v w) over all w, and S that
+of q(w) over the V words:
+
+    P(w)     = (q(w) + 0.1) / (S + 0.1 (V + 1))
+    P(w | v) = SHARE q(v w) / T(v) + (1 - SHARE) P(w)
+
+and P(w) alone at a text's first word or after an unknown one, so the masses over all words and one unknown word add up to
+1, but for false positives. T(v) is q(v) where v occurs up to EXACT times; above, the filter holds its logarithm, to one
+part in 2,000, as a path of PATH bits from the root of a binary tree: a lookup probes both ways at each step, and false
+ways soon end.
+
+The filter's size follows the number of its entries. It is built in segments by tasks; an n-gram's probes stay in the
+segment that its hash names. Up to FILTER_BYTES, all segments are broadcast to the workers. A larger filter stays in its
+segments: texts are packed into chunks, each chunk's distinct n-grams go to the segments in one shuffle, and the levels
+come back to the chunk in another. Both ways give the same scores.
 
 The base score needs each token's exact count: those of up to HEAD most frequent tokens go to the workers, the others'
 come by a join with the table of all counts.
@@ -16,7 +26,7 @@ come by a join with the table of all counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import hashed, mix, parts_of, pick, staged, utf8
 
-FILTER_BYTES, SEGMENTS, PROBES, BITS_EACH, BASE = 1 << 25, 64, 3, 10.0, 2.0
-HEAD, KAPPA, ADD = 300_000, 500.0, 0.1
+FILTER_BYTES, SEGMENT_BYTES, PROBES, BITS_EACH = 96 << 20, 4 << 20, 6, 14.0
+EXACT, FINE, PATH, STEP = 8, 4, 16, 1.001
+SHARE, ADD, HEAD = 0.4, 0.1, 300_000
 END = b"\n"  # no word holds a line feed
 CHUNK = 1_500_000
-PASSES = 4  # the join for n-grams under the cut goes by slices of their hashes, so that less is on disk at once
-_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +94,7 @@ def _most_frequent(counts: DataFrame) -> pd.DataFrame:
 
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
-    """text -> (h, n): the count of each bigram."""
+    """text -> (h, v, n): the count of each bigram; v is the hash of its first token."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_of(batches, CHUNK):
@@ -92,252 +102,262 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
             if len(h) > 1:
                 use = np.ones(len(h) - 1, bool)
                 use[(np.cumsum(n) - 1)[:-1]] = False  # no bigram over a text's end
-                yield _counted(_pairs(h)[use])
+                keys, first, counts = np.unique(_pairs(h)[use], return_index=True, return_counts=True)
+                yield pd.DataFrame({"h": _signed(keys), "v": _signed(h[:-1][use][first]), "n": counts})
 
-    return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(run, "h long, v long, n long").groupBy("h", "v").agg(F.sum("n").alias("n"))
 
 
-def _level(n: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(n) / np.log(BASE) + 1e-9).astype(np.int64)
-
-
-def _places(h: np.ndarray, level: int | np.ndarray, size: int) -> np.ndarray:
-    """Bit numbers of the probes of (n-gram, level) within the segment of the n-gram, of size bytes: PROBES rows."""
-    bits = np.uint64(size * 8)
-    x = mix(h + np.asarray(level, np.uint64) * _K2)
-    y = mix(x ^ _K1) | np.uint64(1)
-    return np.stack([(x + np.uint64(i) * y) % bits for i in range(PROBES)])
+def _level(n: Column) -> Column:
+    return F.when(n <= EXACT, n).otherwise(F.floor(F.log2(n / EXACT) * FINE + 1e-9) + EXACT + 1).cast("int")
 
 
-def _segment(h: np.ndarray) -> np.ndarray:
-    return (mix(h ^ _K2) % np.uint64(SEGMENTS)).astype(np.int64)
+def _count_of(level: Column) -> Column:
+    return F.when(level <= EXACT, level.cast("double")).otherwise(F.pow(F.lit(2.0), (level - EXACT - 1) / FINE) * (EXACT * (1 + 2 ** (1 / FINE)) / 2))
 
 
-def filter_cut(counts: DataFrame) -> int:
-    """The lowest level that the filter has no room for, from the histogram of an (h, n) table; 0 if all have room."""
-    capacity = FILTER_BYTES * 8 / BITS_EACH
-    levels = dict(counts.groupBy(F.floor(F.log(BASE, F.col("n")) + 1e-9).alias("k")).count().collect())
-    used = 0.0
-    for k in sorted(levels, reverse=True):  # a few dozen levels
-        used += levels[k] * (k + 1)
-        if used > capacity:
-            return k + 1
-    return 0
-
-
-def build_filter(counts: DataFrame, cut: int | None = None) -> np.ndarray:
-    """The filter of an (h, n) table, as bytes, of levels above the cut. Each segment is built in a task; FILTER_BYTES come
-    to the driver."""
-    rows = counts.where(F.col("n") >= F.lit(float(BASE ** (filter_cut(counts) if cut is None else cut))))
-    size = FILTER_BYTES // SEGMENTS
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h = batch["h"].to_numpy().view(np.uint64)
-            yield pd.DataFrame({"segment": _segment(h), "h": batch["h"], "n": batch["n"]})
-
-    def fill(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(size * 8, bool)
-        h, level = batch["h"].to_numpy().view(np.uint64), _level(batch["n"].to_numpy())
-        for k in range(1, int(level.max()) + 1):
-            bits[_places(h[level >= k], k, size).ravel().astype(np.int64)] = True
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    made = rows.mapInPandas(deal, "segment long, h long, n long").groupBy("segment").applyInPandas(fill, "segment long, bits binary").collect()
-    out = np.zeros((SEGMENTS, size), np.uint8)
-    for r in made:
-        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def _levels(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The levels that the filter gives n-grams, 0 where level 1 is missing."""
-    level, open_ = np.zeros(len(h), np.int64), np.arange(len(h))
-    size = len(table) // SEGMENTS
-    base = _segment(h) * size
-    k = 1
-    while len(open_):
-        at = _places(h[open_], k, size).astype(np.int64)
-        hit = ((table[base[open_] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1).all(0)
-        open_ = open_[hit]
-        level[open_] = k
-        k += 1
-        if k > 62:
-            break
-    return level
-
+def counts_of(level: np.ndarray) -> np.ndarray:
+    """The counts that levels stand for: themselves, or the middle of the counts that share a level; 0 for level 0."""
+    return np.where(level <= EXACT, level, 2.0 ** ((level - EXACT - 1) / FINE) * (EXACT * (1 + 2 ** (1 / FINE)) / 2))
 
-def _middle(level: np.ndarray) -> np.ndarray:
-    """The count that stands for a level: its middle, 0 for level 0."""
-    return np.where(level > 0, BASE ** (level - 1.0) * (1 + BASE) / 2 - 0.5, 0.0)
 
+def filter_entries(unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """(h, level, path): the levels of all n-grams, and the paths of the sums over bigrams of frequent first tokens."""
+    own = unigrams.select("h", _level(F.col("n")).alias("level")).union(bigrams.select("h", _level(F.col("n")).alias("level")))
+    sums = bigrams.groupBy(F.col("v").alias("h")).agg(F.sum(_count_of(_level(F.col("n")))).alias("t"), F.sum("n").alias("n")).where(F.col("n") > EXACT)
+    path = F.round(F.log(F.col("t")) / float(np.log(STEP))).cast("int")
+    return own.select("h", "level", F.lit(-1).alias("path")).union(sums.select("h", F.lit(0), path))
 
-def look_up(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The counts that the filter gives n-grams: the middle of their level, 0 where level 1 is missing."""
-    return _middle(_levels(table, h))
 
+def _places(h: np.ndarray, salt: np.ndarray | int, bits: int) -> Iterator[np.ndarray]:
+    """Bit numbers of the probes of salted n-grams within a segment, one probe after another."""
+    x = mix(h + np.asarray(salt, np.uint64) * _K2)
+    y = mix(x ^ _K1) | np.uint64(1)
+    for i in range(PROBES):
+        yield ((x + np.uint64(i) * y) % np.uint64(bits)).astype(np.int64)
+
+
+def _branches(path: np.ndarray, depth: int) -> np.ndarray:
+    """The salt of a path's first `depth` bits."""
+    return (np.uint64(1) << np.uint64(40)) + (np.uint64(depth) << np.uint64(20)) + (path.astype(np.uint64) >> np.uint64(PATH - depth))
+
+
+def build_segment(h: np.ndarray, level: np.ndarray, path: np.ndarray, size: int) -> np.ndarray:
+    """The bytes of a segment."""
+    bits = np.zeros(size * 8, bool)
+    for k in range(1, int(level.max(initial=0)) + 1):
+        for at in _places(h[level >= k], k, size * 8):
+            bits[at] = True
+    h, path = h[path >= 0], path[path >= 0]
+    for depth in range(1, PATH + 1):
+        for at in _places(h, _branches(path, depth), size * 8):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def build_filter(entries: DataFrame, segments: int, size: int) -> DataFrame:
+    """(segment, bits) of an (h, level, path) table; a segment is the work of a task."""
+
+    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        made = build_segment(rows["h"].to_numpy().view(np.uint64), rows["level"].to_numpy(), rows["path"].to_numpy(), size)
+        return pd.DataFrame({"segment": [key[0]], "bits": [made.tobytes()]})
+
+    segment = F.pmod(F.shiftrightunsigned("h", 20), F.lit(segments)).cast("int").alias("segment")
+    return entries.select(segment, "h", "level", "path").groupBy("segment").applyInPandas(fill, "segment int, bits binary")
+
+
+class Filter:
+    """Lookups in segments of equal size that stand in a row."""
+
+    def __init__(self, table: np.ndarray, segments: int):
+        self.table, self.segments, self.size = table, segments, len(table) // segments
+
+    def holds(self, h: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+        base = ((h >> np.uint64(20)) % np.uint64(self.segments)).astype(np.int64) * self.size
+        left, salt = np.arange(len(h)), np.broadcast_to(np.asarray(salt, np.uint64), len(h))
+        for i in range(0, PROBES, 2):  # most of what is missing is missed by the first two probes
+            some = list(_places(h[left], salt[left], self.size * 8))[i : i + 2]
+            hit = np.ones(len(left), bool)
+            for at in some:
+                hit &= (self.table[base[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+            left = left[hit]
+        out = np.zeros(len(h), bool)
+        out[left] = True
+        return out
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        level, left = np.zeros(len(h), np.int32), np.arange(len(h))
+        for k in range(1, EXACT + 64 * FINE):
+            left = left[self.holds(h[left], k)]
+            if not len(left):
+                break
+            level[left] = k
+        return level
+
+    def totals(self, h: np.ndarray) -> np.ndarray:
+        """The sums that the filter holds for first tokens, 0 where it has none."""
+        at, path = np.arange(len(h)), np.zeros(len(h), np.int64)
+        for depth in range(1, PATH + 1):
+            at, path = np.repeat(at, 2), np.repeat(path, 2)
+            path[1::2] += 1 << (PATH - depth)
+            kept = self.holds(h[at], _branches(path, depth))
+            at, path = at[kept], path[kept]
+        out = np.zeros(len(h))
+        out[at[::-1]] = STEP ** path[::-1]  # of several ways to the end, which are false but for one, the first
+        return out
+
+
+def probabilities(pair: np.ndarray, before: np.ndarray, total: np.ndarray, own: np.ndarray, floor: float) -> np.ndarray:
+    """P(w | v) from q(v w), q(v), T(v) and q(w); where q(v) is 0, P(w). floor: S + 0.1 (V + 1)."""
+    single = (own + ADD) / floor
+    seen = np.where(own > 0, np.minimum(pair, total), 0.0)  # a bigram of an unknown word is a false positive
+    return np.where((before > 0) & (total > 0), SHARE * seen / np.maximum(total, 1.0) + (1 - SHARE) * single, single)
+
+
+def _needed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens and the distinct bigrams of texts, given all tokens in a row and each text's number of them."""
+    use = np.ones(max(len(h) - 1, 0), bool)
+    use[(np.cumsum(n) - 1)[:-1]] = False
+    return np.unique(h), np.unique(_pairs(h)[use])
+
+
+def _model_logs(h: np.ndarray, n: np.ndarray, words: tuple, grams: tuple, floor: float) -> np.ndarray:
+    """log10 of the model's probability of each token. words: hashes, levels, totals; grams: hashes, levels."""
+    place = np.searchsorted(words[0], h)
+    own = counts_of(words[1])[place]
+    total = np.where(words[2] > 0, words[2], np.where(words[1] <= EXACT, words[1], counts_of(words[1])))[place]
+    before, context = np.concatenate([[0.0], own[:-1]]), np.concatenate([[0.0], total[:-1]])
+    before[np.cumsum(n) - n] = 0.0
+    pair = np.zeros(len(h))
+    if len(grams[0]):
+        pairs = _pairs(h)
+        at = np.minimum(np.searchsorted(grams[0], pairs), len(grams[0]) - 1)
+        pair[1:] = np.where(grams[0][at] == pairs, counts_of(grams[1])[at], 0.0)
+    return np.log10(probabilities(pair, before, context, own, floor))
+
+
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
+
+
+def _scores(part: pd.DataFrame, known: tuple, look_up: Callable, floor: float, base_floor: float) -> pd.DataFrame:
+    """SCORED of (row, doc_id, text). known: hashes and exact counts of the most frequent tokens, and whether these are all."""
+    keys, values, complete = known
+    h, n = _tokens([utf8(t) for t in part["text"]])
+    starts, own = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+    c = np.where(keys[place] == h, values[place], 0) if len(keys) else np.zeros(len(h), np.int64)
+    # tokens not among the most frequent ones: their counts come by the join
+    rare = np.flatnonzero(c == 0) if not complete else np.empty(0, np.int64)
+    logs = np.where((c > 0) | complete, np.log10((c + ADD) / base_floor), 0.0)
+    r, k = _counted_pairs(own[rare], _signed(h)[rare])
+    cuts = np.searchsorted(r[0], np.arange(len(n) + 1))
+    each = lambda x: [x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    model = _model_logs(h, n, *look_up(*_needed(h, n)), floor)
+    sums = lambda x: np.add.reduceat(x, starts)
+    return pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "n_tokens": n, "n_known": sums((c > 0).astype(np.int64)), "base": sums(logs), "score": sums(model), "rare": each(r[1]), "times": each(k)})
+
+
+def _broadcast_scores(rows: DataFrame, known: tuple, made: DataFrame, segments: int, floor: float, base_floor: float) -> DataFrame:
+    """Scores with the whole filter on each worker; FILTER_BYTES at most pass through the driver."""
+    table = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sorted(made.collect(), key=lambda r: r["segment"])])
+    shared = rows.sparkSession.sparkContext.broadcast((known, table))
 
-def _probability(joint: np.ndarray, before: np.ndarray, own: np.ndarray, floor: float) -> np.ndarray:
-    """P(w | v) from the counts of the bigram, of v and of w; with before = 0, P(w)."""
-    share = before / (before + KAPPA)
-    return np.minimum(share * np.minimum(joint / np.maximum(before, 1.0), 1.0) + (1 - share) * (own + ADD) / floor, 1.0)
-
-
-def _column_probability(joint: Column, before: Column, own: Column, floor: float) -> Column:
-    """_probability, of columns."""
-    share = before / (before + F.lit(KAPPA))
-    known = share * F.least(joint / F.greatest(before, F.lit(1.0)), F.lit(1.0))
-    return F.least(known + (F.lit(1.0) - share) * (own + F.lit(ADD)) / F.lit(floor), F.lit(1.0))
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, table = shared.value
+        found = Filter(table, segments)
+        for part in parts_of(batches, CHUNK):
+            yield _scores(part, own, lambda words, grams: ((words, found.levels(words), found.totals(words)), (grams, found.levels(grams))), floor, base_floor)
 
-def _column_middle(level: Column) -> Column:
-    return F.when(level > 0, F.pow(F.lit(BASE), level - F.lit(1.0)) * ((1 + BASE) / 2) - 0.5).otherwise(0.0)
+    return rows.mapInPandas(run, SCORED)
 
 
-def _slice_of_score(scored: DataFrame, counts: DataFrame, ngrams: DataFrame, cut: int, floor: float, part: int) -> DataFrame:
-    """(row, part): what the n-grams under the cut add to each row's score, for those in one slice of the hashes."""
-    level = (F.floor(F.log(BASE, F.col("n")) + 1e-9) + 1).cast("int")
-    under = F.col("n") < F.lit(float(BASE**cut))
-    grams = ngrams.where(under & (F.pmod("h", F.lit(PASSES)) == part)).select(F.col("h").alias("gram_"), level.alias("joint"))
-    tokens = counts.where(under).select("h", level.alias("level"))
-    joint = _column_middle(F.coalesce("joint", F.lit(0)))
+def _segment_scores(rows: DataFrame, known: tuple, made: DataFrame, segments: int, floor: float, base_floor: float) -> DataFrame:
+    """The same scores with the filter in its segments: n-grams of chunks of texts go there, levels come back."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
-    # both words are in the filter: the score has the term without the bigram; one that was seen replaces it
-    known = scored.select("row", F.explode(F.arrays_zip(F.col(f"gram{part}").alias("gram"), F.col(f"two{part}").alias("two"))).alias("t")).select("row", "t.*").toDF("row", "gram", "two")
-    before, own = _column_middle(F.shiftright("two", 6)), _column_middle(F.col("two").bitwiseAND(F.lit(63)))
-    more = F.log10(_column_probability(joint, before, own, floor)) - F.log10(_column_probability(F.lit(0.0), before, own, floor))
-    known = known.join(grams, F.col("gram") == F.col("gram_")).select("row", more.alias("part"))
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
 
-    # a word is under the cut: the score lacks the term
-    other = scored.select("row", F.explode("others").alias("t")).select("row", "t.*").where(F.pmod("gram", F.lit(PASSES)) == part)
-    other = other.join(grams, F.col("gram") == F.col("gram_"), "left")
-    for word, place in (("v", "lv"), ("w", "lw")):
-        found = tokens.select(F.col("h").alias(f"{word}_"), F.col("level").alias(f"{word}l"))
-        # a word whose level is known meets nothing: the n-gram's hash stands in, so that frequent words share no task
-        key = F.when(F.col(place) < 0, F.col(word)).otherwise(F.col("gram"))
-        other = other.withColumn(f"{word}k", key).join(found, F.col(f"{word}k") == F.col(f"{word}_"), "left")
-        other = other.withColumn(place, F.when(F.col(place) < 0, F.coalesce(f"{word}l", F.lit(0))).otherwise(F.col(place)))
-    whole = F.log10(_column_probability(joint, _column_middle(F.col("lv")), _column_middle(F.col("lw")), floor))
-    return known.union(other.select("row", whole.alias("part"))).groupBy("row").agg(F.sum("part").alias("part"))
+        number = TaskContext.get().partitionId() << 32
+        for part in parts_of(batches, CHUNK):
+            yield pd.DataFrame({"chunk": number, "row": part["row"], "doc_id": part["doc_id"], "text": part["text"]})
+            number += 1
 
+    chunks = staged(rows.mapInPandas(pack, "chunk long, row long, doc_id long, text string"), "chunks")
 
-def _rest_of_scores(scored: DataFrame, counts: DataFrame, ngrams: DataFrame, cut: int, floor: float) -> DataFrame:
-    """(row, part): what the n-grams under the cut add to each row's score."""
-    rest = None
-    for part in range(PASSES):
-        scored.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of steps that nothing refers to
-        more = staged(_slice_of_score(scored, counts, ngrams, cut, floor, part), "rest")
-        rest = more if rest is None else rest.union(more)
-    return rest.groupBy("row").agg(F.sum("part").alias("part"))
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for chunk, part in batch.groupby("chunk"):
+                for kind, keys in enumerate(_needed(*_tokens([utf8(t) for t in part["text"]]))):
+                    at = ((keys >> np.uint64(20)) % np.uint64(segments)).astype(np.int64)
+                    order = np.argsort(at, kind="stable")
+                    cuts = np.searchsorted(at[order], np.arange(segments + 1))
+                    some = np.flatnonzero(np.diff(cuts))
+                    yield pd.DataFrame({"segment": some, "chunk": chunk, "kind": kind, "keys": [_signed(keys[order[cuts[k] : cuts[k + 1]]]).tobytes() for k in some]})
+
+    def answer(key: tuple, asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+        found = Filter(np.frombuffer(bits["bits"].iloc[0], np.uint8), 1) if len(bits) else None
+        levels, totals = [], []
+        for kind, keys in zip(asked["kind"], asked["keys"], strict=True):
+            h = np.frombuffer(keys, np.int64).view(np.uint64)
+            levels.append((found.levels(h) if found else np.zeros(len(h))).astype("<i2").tobytes())
+            totals.append((found.totals(h) if found and kind == 0 else np.zeros(len(h) * (kind == 0))).astype("<f8").tobytes())
+        return pd.DataFrame({"chunk": asked["chunk"], "kind": asked["kind"], "keys": asked["keys"], "levels": levels, "totals": totals})
+
+    def score(key: tuple, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
+
+        def look_up(words: np.ndarray, grams: np.ndarray) -> tuple:
+            out = []
+            for kind in (0, 1):
+                own = found[found["kind"] == kind]
+                keys = np.frombuffer(b"".join(own["keys"]), np.int64).view(np.uint64)
+                order = np.argsort(keys)
+                out.append((keys[order], np.frombuffer(b"".join(own["levels"]), "<i2").astype(np.int32)[order], np.frombuffer(b"".join(own["totals"]), "<f8")[order] if kind == 0 else None))
+            return out[0], out[1][:2]
+
+        return pd.concat([_scores(p, shared.value, look_up, floor, base_floor) for _, p in part.groupby("chunk")], ignore_index=True)
+
+    asked = chunks.mapInPandas(ask, "segment int, chunk long, kind int, keys binary")
+    told = staged(asked.groupBy("segment").cogroup(made.groupBy("segment")).applyInPandas(answer, "chunk long, kind int, keys binary, levels binary, totals binary"), "levels")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(score, SCORED)
 
 
 def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs, learning from training.
 
-    Tokens are the words between ASCII white space, A-Z lower-cased, and an end for each text. Defined cases: a null text
-    is empty and has its end alone; repeated rows count and score each; with no training rows every count is 0, N is 0
-    and V is 0; an empty table gives no rows.
+    Tokens are the words between ASCII white space, A-Z lower-cased, and an end for each text. Defined cases: a null or
+    empty text has its end alone; repeated rows count and score each; n-grams of equal counts (ties) are treated alike; a
+    very long text is a part of its own in one task; other columns, however named, are not read; with no training rows
+    every count is 0, N is 0 and V is 0; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    learn = pick(training, text=text_col)
+    rows, learn = pick(docs, doc_id=id_col, text=text_col), pick(training, text=text_col)
     counts = staged(unigram_counts(learn), "unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, distinct, floor = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(_count_of(_level(F.col("n")))), F.lit(0.0))).first()
+    floor, base_floor = floor + ADD * (distinct + 1), total + ADD * (distinct + 1)
     head = _most_frequent(counts)
     top = head["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(top)
-    keys, values = top[order], head["n"].to_numpy(np.int64)[order]
-    ngrams = staged(counts.union(bigram_counts(learn)), "ngrams")
-    cut = filter_cut(ngrams)
-    table = build_filter(ngrams, cut)
-    shared = spark.sparkContext.broadcast((keys, values, table))
-    floor = total + ADD * (distinct + 1)
-    complete = distinct <= HEAD
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, values, table = shared.value
-        for part in parts_of(batches, CHUNK):
-            h, n = _tokens([utf8(t) for t in part["text"]])
-            starts = np.cumsum(n) - n
-            place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            c = np.where(keys[place] == h, values[place], 0) if len(keys) else np.zeros(len(h), np.int64)
-            own = np.repeat(np.arange(len(n)), n)
-            # tokens not among the most frequent ones: their counts come by the join
-            rare = np.flatnonzero(c == 0) if not complete else np.empty(0, np.int64)
-            known = np.where(c > 0, 1, 0)
-            logs = np.where(c > 0, np.log10((c + ADD) / floor), 0.0) if not complete else np.log10((c + ADD) / floor)
-            distinct_h, back = np.unique(h, return_inverse=True)
-            own_level = _levels(table, distinct_h)[back]
-            before_level = np.concatenate([[0], own_level[:-1]])
-            before_level[starts] = 0
-            # at a text's first word the word itself stands for the bigram, and counts nothing
-            grams = np.concatenate([h[:1], _pairs(h)])
-            grams[starts] = h[starts]
-            distinct_g, to = np.unique(grams, return_inverse=True)
-            joint_level = _levels(table, distinct_g)[to]
-            first = np.zeros(len(h), bool)
-            first[starts] = True
-            # a level up to the cut is a false positive: the n-gram is not in the filter
-            no_own, no_before = own_level <= cut, (before_level <= cut) & ~first
-            other = np.flatnonzero(no_own | no_before) if cut else np.empty(0, np.int64)
-            joint_level[(joint_level <= cut) & (cut > 0)] = 0
-            model = np.log10(_probability(_middle(joint_level), _middle(before_level), _middle(own_level), floor))
-            model[other] = 0.0
-            lacking = (joint_level == 0) & ~first & (cut > 0)
-            lacking[other] = False
-            seek = np.flatnonzero(lacking)
-            two = (before_level << 6 | own_level)[seek]
-            sought = {}
-            for part_ in range(PASSES):
-                mine = _signed(grams)[seek] % PASSES == part_
-                g, t, to_row = _signed(grams)[seek][mine], two[mine], np.searchsorted(own[seek][mine], np.arange(len(n) + 1))
-                sought[f"gram{part_}"] = [g[a:b] for a, b in zip(to_row, to_row[1:], strict=False)]
-                sought[f"two{part_}"] = [t[a:b] for a, b in zip(to_row, to_row[1:], strict=False)]
-            before_h = np.concatenate([h[:1], h[:-1]])[other]
-            terms = [
-                {"gram": g, "v": v, "w": w, "lv": a, "lw": b}
-                for g, v, w, a, b in zip(
-                    _signed(grams)[other].tolist(),
-                    _signed(before_h).tolist(),
-                    _signed(h)[other].tolist(),
-                    np.where(no_before, -1, before_level)[other].tolist(),
-                    np.where(no_own, -1, own_level)[other].tolist(),
-                    strict=True,
-                )
-            ]
-            other_cuts = np.searchsorted(own[other], np.arange(len(n) + 1))
-            r, k = _counted_pairs(own[rare], _signed(h)[rare])
-            cuts = np.searchsorted(r[0], np.arange(len(n) + 1))
-            yield pd.DataFrame(
-                {
-                    "row": part["row"],
-                    "doc_id": part["doc_id"],
-                    "n_tokens": n,
-                    "n_known": np.add.reduceat(known, starts),
-                    "base": np.add.reduceat(logs, starts),
-                    "score": np.add.reduceat(model, starts),
-                    "rare": [r[1][a:b] for a, b in zip(cuts, cuts[1:], strict=False)],
-                    "times": [k[a:b] for a, b in zip(cuts, cuts[1:], strict=False)],
-                    **sought,
-                    "others": [terms[a:b] for a, b in zip(other_cuts, other_cuts[1:], strict=False)],
-                }
-            )
-
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>, "
-    schema += "".join(f"gram{i} array<long>, two{i} array<int>, " for i in range(PASSES)) + "others array<struct<gram: long, v: long, w: long, lv: int, lw: int>>"
-    scored = staged(rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema), "scored")
+    known = (top[order], head["n"].to_numpy(np.int64)[order], distinct <= HEAD)
+    entries = staged(filter_entries(counts, staged(bigram_counts(learn), "bigrams")), "entries")
+    held = entries.agg(F.coalesce(F.sum("level"), F.lit(0)) + F.count_if(F.col("path") >= 0) * PATH).first()[0]
+    segments = max(1, -(-int(held * BITS_EACH) // (8 * SEGMENT_BYTES)))
+    size = max(64, -(-int(held * BITS_EACH) // (8 * segments)))
+    made = staged(build_filter(entries, segments, size), "filter")
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if held and segments * size <= FILTER_BYTES:
+        found = _broadcast_scores(numbered, known, made, segments, floor, base_floor)
+    else:
+        found = _segment_scores(numbered, known, made, segments, floor, base_floor)
+    scored = staged(found, "scored")
     others = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
     found = others.join(counts, F.col("token") == F.col("h"), "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    log = F.log10((F.col("c") + ADD) / F.lit(floor)) * F.col("times")
+    log = F.log10((F.col("c") + ADD) / F.lit(base_floor)) * F.col("times")
     sums = found.groupBy(F.col("row").alias("r")).agg(F.sum(log).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("more"))
     out = scored.select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(sums, F.col("row") == F.col("r"), "left")
-    score = F.col("score")
-    if cut:
-        rest = _rest_of_scores(scored, counts, ngrams, cut, floor).withColumnRenamed("row", "s")
-        out = out.join(rest, F.col("row") == F.col("s"), "left")
-        score = score + F.coalesce("part", F.lit(0.0))
     base = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op9_log_frequency_bloom(spark, sf_dir):
