@@ -1,23 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter, and an exact unigram base.
 
-An n-gram's count is quantised to a level: counts up to EXACT are levels of their own, above these there are FINE levels
-for each doubling. The filter holds the pairs (n-gram, 1), ..., (n-gram, level); a lookup probes level after level until
-one is missing, so no n-gram is lost and false positives can only raise a count, rarely by more than one level.
+An n-gram's count is quantised: counts up to EXACT are kept, larger ones to the nearest power of STEP, one part in 2,000.
+The filter holds the pairs (n-gram, 1), ..., (n-gram, min(count, EXACT + 1)); a lookup probes one after another until one
+is missing. For larger counts it also holds the power's PATH bits as a path from the root of a binary tree: a lookup
+probes both ways at each step, and false ways soon end. No n-gram is lost, and false positives rarely raise a count.
 
-Scores are of a normalised model. With q the count that a level stands for, T(v) the sum of q(v w) over all w, and S that
-of q(w) over the V words:
+Scores are of a normalised model. With q the quantised counts, S the sum of q(w) over the V words:
 
     P(w)     = (q(w) + 0.1) / (S + 0.1 (V + 1))
-    P(w | v) = SHARE q(v w) / T(v) + (1 - SHARE) P(w)
+    P(w | v) = SHARE q(v w) / q(v) + (1 - SHARE) P(w)
 
-and P(w) alone at a text's first word or after an unknown one, so the masses over all words and one unknown word add up to
-1, but for false positives. T(v) is q(v) where v occurs up to EXACT times; above, the filter holds its logarithm, to one
-part in 2,000, as a path of PATH bits from the root of a binary tree: a lookup probes both ways at each step, and false
-ways soon end.
+and P(w) alone at a text's first word or after an unknown one. The bigrams of v occur as often as v does, so the masses
+over all words and one unknown word add up to 1 within the quantisation, but for false positives.
 
 The filter's size follows the number of its entries. It is built in segments by tasks; an n-gram's probes stay in the
 segment that its hash names. Up to FILTER_BYTES, all segments are broadcast to the workers. A larger filter stays in its
-segments: texts are packed into chunks, each chunk's distinct n-grams go to the segments in one shuffle, and the levels
+segments: texts are packed into chunks, each chunk's distinct n-grams go to the segments in one shuffle, and their counts
 come back to the chunk in another. Both ways give the same scores.
 
 The base score needs each token's exact count: those of up to HEAD most frequent tokens go to the workers, the others'
@@ -33,10 +31,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, mix, parts_of, pick, staged, utf8
+from .common import discard, hashed, mix, parts_of, pick, staged, utf8
 
 FILTER_BYTES, SEGMENT_BYTES, PROBES, BITS_EACH = 96 << 20, 4 << 20, 6, 14.0
-EXACT, FINE, PATH, STEP = 8, 4, 16, 1.001
+EXACT, PATH, STEP = 8, 16, 1.001
 SHARE, ADD, HEAD = 0.4, 0.1, 300_000
 END = b"\n"  # no word holds a line feed
 CHUNK = 1_500_000
@@ -94,7 +92,7 @@ def _most_frequent(counts: DataFrame) -> pd.DataFrame:
 
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
-    """text -> (h, v, n): the count of each bigram; v is the hash of its first token."""
+    """text -> (h, n): the count of each bigram."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_of(batches, CHUNK):
@@ -102,31 +100,17 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
             if len(h) > 1:
                 use = np.ones(len(h) - 1, bool)
                 use[(np.cumsum(n) - 1)[:-1]] = False  # no bigram over a text's end
-                keys, first, counts = np.unique(_pairs(h)[use], return_index=True, return_counts=True)
-                yield pd.DataFrame({"h": _signed(keys), "v": _signed(h[:-1][use][first]), "n": counts})
+                yield _counted(_pairs(h)[use])
 
-    return docs.select("text").mapInPandas(run, "h long, v long, n long").groupBy("h", "v").agg(F.sum("n").alias("n"))
-
-
-def _level(n: Column) -> Column:
-    return F.when(n <= EXACT, n).otherwise(F.floor(F.log2(n / EXACT) * FINE + 1e-9) + EXACT + 1).cast("int")
-
-
-def _count_of(level: Column) -> Column:
-    return F.when(level <= EXACT, level.cast("double")).otherwise(F.pow(F.lit(2.0), (level - EXACT - 1) / FINE) * (EXACT * (1 + 2 ** (1 / FINE)) / 2))
+    return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def counts_of(level: np.ndarray) -> np.ndarray:
-    """The counts that levels stand for: themselves, or the middle of the counts that share a level; 0 for level 0."""
-    return np.where(level <= EXACT, level, 2.0 ** ((level - EXACT - 1) / FINE) * (EXACT * (1 + 2 ** (1 / FINE)) / 2))
+def _power(n: Column) -> Column:
+    return F.round(F.log(n) / float(np.log(STEP)))
 
 
-def filter_entries(unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
-    """(h, level, path): the levels of all n-grams, and the paths of the sums over bigrams of frequent first tokens."""
-    own = unigrams.select("h", _level(F.col("n")).alias("level")).union(bigrams.select("h", _level(F.col("n")).alias("level")))
-    sums = bigrams.groupBy(F.col("v").alias("h")).agg(F.sum(_count_of(_level(F.col("n")))).alias("t"), F.sum("n").alias("n")).where(F.col("n") > EXACT)
-    path = F.round(F.log(F.col("t")) / float(np.log(STEP))).cast("int")
-    return own.select("h", "level", F.lit(-1).alias("path")).union(sums.select("h", F.lit(0), path))
+def quantised(n: Column) -> Column:
+    return F.when(n <= EXACT, n.cast("double")).otherwise(F.pow(F.lit(STEP), _power(n)))
 
 
 def _places(h: np.ndarray, salt: np.ndarray | int, bits: int) -> Iterator[np.ndarray]:
@@ -142,28 +126,29 @@ def _branches(path: np.ndarray, depth: int) -> np.ndarray:
     return (np.uint64(1) << np.uint64(40)) + (np.uint64(depth) << np.uint64(20)) + (path.astype(np.uint64) >> np.uint64(PATH - depth))
 
 
-def build_segment(h: np.ndarray, level: np.ndarray, path: np.ndarray, size: int) -> np.ndarray:
-    """The bytes of a segment."""
+def build_segment(h: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The bytes of a segment that holds n-grams and their counts."""
     bits = np.zeros(size * 8, bool)
-    for k in range(1, int(level.max(initial=0)) + 1):
-        for at in _places(h[level >= k], k, size * 8):
+    for k in range(1, EXACT + 2):
+        for at in _places(h[n >= k], k, size * 8):
             bits[at] = True
-    h, path = h[path >= 0], path[path >= 0]
+    h, n = h[n > EXACT], n[n > EXACT]
+    path = np.round(np.log(n) / np.log(STEP)).astype(np.int64)
     for depth in range(1, PATH + 1):
         for at in _places(h, _branches(path, depth), size * 8):
             bits[at] = True
     return np.packbits(bits, bitorder="little")
 
 
-def build_filter(entries: DataFrame, segments: int, size: int) -> DataFrame:
-    """(segment, bits) of an (h, level, path) table; a segment is the work of a task."""
+def build_filter(counts: DataFrame, segments: int, size: int) -> DataFrame:
+    """(segment, bits) of an (h, n) table; a segment is the work of a task."""
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        made = build_segment(rows["h"].to_numpy().view(np.uint64), rows["level"].to_numpy(), rows["path"].to_numpy(), size)
+        made = build_segment(rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy(), size)
         return pd.DataFrame({"segment": [key[0]], "bits": [made.tobytes()]})
 
     segment = F.pmod(F.shiftrightunsigned("h", 20), F.lit(segments)).cast("int").alias("segment")
-    return entries.select(segment, "h", "level", "path").groupBy("segment").applyInPandas(fill, "segment int, bits binary")
+    return counts.select(segment, "h", "n").groupBy("segment").applyInPandas(fill, "segment int, bits binary")
 
 
 class Filter:
@@ -173,29 +158,29 @@ class Filter:
         self.table, self.segments, self.size = table, segments, len(table) // segments
 
     def holds(self, h: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+        bits, left = np.uint64(self.size * 8), np.arange(len(h))
+        x = mix(h + np.asarray(salt, np.uint64) * _K2)
+        y = mix(x ^ _K1) | np.uint64(1)
         base = ((h >> np.uint64(20)) % np.uint64(self.segments)).astype(np.int64) * self.size
-        left, salt = np.arange(len(h)), np.broadcast_to(np.asarray(salt, np.uint64), len(h))
-        for i in range(0, PROBES, 2):  # most of what is missing is missed by the first two probes
-            some = list(_places(h[left], salt[left], self.size * 8))[i : i + 2]
-            hit = np.ones(len(left), bool)
-            for at in some:
-                hit &= (self.table[base[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-            left = left[hit]
+        for i in range(PROBES):
+            at = ((x + np.uint64(i) * y) % bits).astype(np.int64)
+            hit = np.flatnonzero((self.table[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
+            if len(hit) < len(left):
+                left, x, y, base = left[hit], x[hit], y[hit], base[hit]
         out = np.zeros(len(h), bool)
         out[left] = True
         return out
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        level, left = np.zeros(len(h), np.int32), np.arange(len(h))
-        for k in range(1, EXACT + 64 * FINE):
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """The quantised counts, 0 for n-grams that the filter lacks."""
+        out, left = np.zeros(len(h)), np.arange(len(h))
+        for k in range(1, EXACT + 2):
             left = left[self.holds(h[left], k)]
-            if not len(left):
-                break
-            level[left] = k
-        return level
+            out[left] = k
+        out[left] = np.maximum(self._powers(h[left]), EXACT)
+        return out
 
-    def totals(self, h: np.ndarray) -> np.ndarray:
-        """The sums that the filter holds for first tokens, 0 where it has none."""
+    def _powers(self, h: np.ndarray) -> np.ndarray:
         at, path = np.arange(len(h)), np.zeros(len(h), np.int64)
         for depth in range(1, PATH + 1):
             at, path = np.repeat(at, 2), np.repeat(path, 2)
@@ -203,15 +188,15 @@ class Filter:
             kept = self.holds(h[at], _branches(path, depth))
             at, path = at[kept], path[kept]
         out = np.zeros(len(h))
-        out[at[::-1]] = STEP ** path[::-1]  # of several ways to the end, which are false but for one, the first
+        out[at[::-1]] = STEP ** path[::-1]  # of several ways that reach the end, of which one is true, the first
         return out
 
 
-def probabilities(pair: np.ndarray, before: np.ndarray, total: np.ndarray, own: np.ndarray, floor: float) -> np.ndarray:
-    """P(w | v) from q(v w), q(v), T(v) and q(w); where q(v) is 0, P(w). floor: S + 0.1 (V + 1)."""
+def probabilities(pair: np.ndarray, before: np.ndarray, own: np.ndarray, floor: float) -> np.ndarray:
+    """P(w | v) from q(v w), q(v) and q(w); where q(v) is 0, P(w). floor: S + 0.1 (V + 1)."""
     single = (own + ADD) / floor
-    seen = np.where(own > 0, np.minimum(pair, total), 0.0)  # a bigram of an unknown word is a false positive
-    return np.where((before > 0) & (total > 0), SHARE * seen / np.maximum(total, 1.0) + (1 - SHARE) * single, single)
+    seen = np.where(own > 0, np.minimum(pair, before), 0.0)  # a bigram of an unknown word is a false positive
+    return np.where(before > 0, SHARE * seen / np.maximum(before, 1.0) + (1 - SHARE) * single, single)
 
 
 def _needed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,18 +207,16 @@ def _needed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _model_logs(h: np.ndarray, n: np.ndarray, words: tuple, grams: tuple, floor: float) -> np.ndarray:
-    """log10 of the model's probability of each token. words: hashes, levels, totals; grams: hashes, levels."""
-    place = np.searchsorted(words[0], h)
-    own = counts_of(words[1])[place]
-    total = np.where(words[2] > 0, words[2], np.where(words[1] <= EXACT, words[1], counts_of(words[1])))[place]
-    before, context = np.concatenate([[0.0], own[:-1]]), np.concatenate([[0.0], total[:-1]])
+    """log10 of the model's probability of each token. words, grams: sorted hashes, and their quantised counts."""
+    own = words[1][np.searchsorted(words[0], h)]
+    before = np.concatenate([[0.0], own[:-1]])
     before[np.cumsum(n) - n] = 0.0
     pair = np.zeros(len(h))
     if len(grams[0]):
         pairs = _pairs(h)
         at = np.minimum(np.searchsorted(grams[0], pairs), len(grams[0]) - 1)
-        pair[1:] = np.where(grams[0][at] == pairs, counts_of(grams[1])[at], 0.0)
-    return np.log10(probabilities(pair, before, context, own, floor))
+        pair[1:] = np.where(grams[0][at] == pairs, grams[1][at], 0.0)
+    return np.log10(probabilities(pair, before, own, floor))
 
 
 SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
@@ -266,13 +249,13 @@ def _broadcast_scores(rows: DataFrame, known: tuple, made: DataFrame, segments:
         own, table = shared.value
         found = Filter(table, segments)
         for part in parts_of(batches, CHUNK):
-            yield _scores(part, own, lambda words, grams: ((words, found.levels(words), found.totals(words)), (grams, found.levels(grams))), floor, base_floor)
+            yield _scores(part, own, lambda *asked: [(keys, found.counts(keys)) for keys in asked], floor, base_floor)
 
     return rows.mapInPandas(run, SCORED)
 
 
 def _segment_scores(rows: DataFrame, known: tuple, made: DataFrame, segments: int, floor: float, base_floor: float) -> DataFrame:
-    """The same scores with the filter in its segments: n-grams of chunks of texts go there, levels come back."""
+    """The same scores with the filter in its segments: n-grams of chunks of texts go there, counts come back."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,30 +280,29 @@ def _segment_scores(rows: DataFrame, known: tuple, made: DataFrame, segments: in
 
     def answer(key: tuple, asked: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         found = Filter(np.frombuffer(bits["bits"].iloc[0], np.uint8), 1) if len(bits) else None
-        levels, totals = [], []
-        for kind, keys in zip(asked["kind"], asked["keys"], strict=True):
+        counts = []
+        for keys in asked["keys"]:
             h = np.frombuffer(keys, np.int64).view(np.uint64)
-            levels.append((found.levels(h) if found else np.zeros(len(h))).astype("<i2").tobytes())
-            totals.append((found.totals(h) if found and kind == 0 else np.zeros(len(h) * (kind == 0))).astype("<f8").tobytes())
-        return pd.DataFrame({"chunk": asked["chunk"], "kind": asked["kind"], "keys": asked["keys"], "levels": levels, "totals": totals})
+            counts.append((found.counts(h) if found else np.zeros(len(h))).astype("<f4").tobytes())
+        return asked[["chunk", "kind", "keys"]].assign(counts=counts)
 
     def score(key: tuple, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
 
-        def look_up(words: np.ndarray, grams: np.ndarray) -> tuple:
+        def look_up(*asked: np.ndarray) -> list[tuple]:
             out = []
-            for kind in (0, 1):
+            for kind in range(len(asked)):
                 own = found[found["kind"] == kind]
                 keys = np.frombuffer(b"".join(own["keys"]), np.int64).view(np.uint64)
                 order = np.argsort(keys)
-                out.append((keys[order], np.frombuffer(b"".join(own["levels"]), "<i2").astype(np.int32)[order], np.frombuffer(b"".join(own["totals"]), "<f8")[order] if kind == 0 else None))
-            return out[0], out[1][:2]
+                out.append((keys[order], np.frombuffer(b"".join(own["counts"]), "<f4").astype(float)[order]))
+            return out
 
         return pd.concat([_scores(p, shared.value, look_up, floor, base_floor) for _, p in part.groupby("chunk")], ignore_index=True)
 
     asked = chunks.mapInPandas(ask, "segment int, chunk long, kind int, keys binary")
-    told = staged(asked.groupBy("segment").cogroup(made.groupBy("segment")).applyInPandas(answer, "chunk long, kind int, keys binary, levels binary, totals binary"), "levels")
+    told = staged(asked.groupBy("segment").cogroup(made.groupBy("segment")).applyInPandas(answer, "chunk long, kind int, keys binary, counts binary"), "answers")
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(score, SCORED)
 
 
@@ -334,17 +316,21 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     """
     rows, learn = pick(docs, doc_id=id_col, text=text_col), pick(training, text=text_col)
     counts = staged(unigram_counts(learn), "unigrams")
-    total, distinct, floor = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(_count_of(_level(F.col("n")))), F.lit(0.0))).first()
+    total, distinct, floor = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(quantised(F.col("n"))), F.lit(0.0))).first()
     floor, base_floor = floor + ADD * (distinct + 1), total + ADD * (distinct + 1)
     head = _most_frequent(counts)
     top = head["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(top)
     known = (top[order], head["n"].to_numpy(np.int64)[order], distinct <= HEAD)
-    entries = staged(filter_entries(counts, staged(bigram_counts(learn), "bigrams")), "entries")
-    held = entries.agg(F.coalesce(F.sum("level"), F.lit(0)) + F.count_if(F.col("path") >= 0) * PATH).first()[0]
+    grams = staged(bigram_counts(learn), "bigrams")
+    docs.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of steps that nothing refers to
+    entries = counts.union(grams)
+    held = entries.agg(F.coalesce(F.sum(F.when(F.col("n") <= EXACT, F.col("n")).otherwise(EXACT + 1 + PATH)), F.lit(0))).first()[0]
     segments = max(1, -(-int(held * BITS_EACH) // (8 * SEGMENT_BYTES)))
     size = max(64, -(-int(held * BITS_EACH) // (8 * segments)))
     made = staged(build_filter(entries, segments, size), "filter")
+    discard(grams)
+    docs.sparkSession._jvm.System.gc()
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     if held and segments * size <= FILTER_BYTES:
         found = _broadcast_scores(numbered, known, made, segments, floor, base_floor)
