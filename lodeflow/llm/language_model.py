@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, hashed, mix, parts_of, pick, staged, utf8
 
-FILTER_BYTES, SEGMENT_BYTES, PROBES, BITS_EACH = 96 << 20, 4 << 20, 6, 14.0
+FILTER_BYTES, SEGMENT_BYTES, PROBES, BITS_EACH = 160 << 20, 4 << 20, 5, 11.0
 EXACT, PATH, STEP = 8, 16, 1.001
 SHARE, ADD, HEAD = 0.4, 0.1, 300_000
 END = b"\n"  # no word holds a line feed
@@ -199,24 +199,24 @@ def probabilities(pair: np.ndarray, before: np.ndarray, own: np.ndarray, floor:
     return np.where(before > 0, SHARE * seen / np.maximum(before, 1.0) + (1 - SHARE) * single, single)
 
 
+def _inside(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where tokens in a row, of texts with n tokens each, have a token of their text before them."""
+    out = np.ones(len(h), bool)
+    out[np.cumsum(n) - n] = False
+    return out
+
+
 def _needed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens and the distinct bigrams of texts, given all tokens in a row and each text's number of them."""
-    use = np.ones(max(len(h) - 1, 0), bool)
-    use[(np.cumsum(n) - 1)[:-1]] = False
-    return np.unique(h), np.unique(_pairs(h)[use])
+    """The distinct tokens and the distinct bigrams of texts."""
+    return np.unique(h), np.unique(_pairs(h)[_inside(h, n)[1:]])
 
 
-def _model_logs(h: np.ndarray, n: np.ndarray, words: tuple, grams: tuple, floor: float) -> np.ndarray:
-    """log10 of the model's probability of each token. words, grams: sorted hashes, and their quantised counts."""
-    own = words[1][np.searchsorted(words[0], h)]
-    before = np.concatenate([[0.0], own[:-1]])
-    before[np.cumsum(n) - n] = 0.0
-    pair = np.zeros(len(h))
-    if len(grams[0]):
-        pairs = _pairs(h)
-        at = np.minimum(np.searchsorted(grams[0], pairs), len(grams[0]) - 1)
-        pair[1:] = np.where(grams[0][at] == pairs, grams[1][at], 0.0)
-    return np.log10(probabilities(pair, before, own, floor))
+def _model_logs(h: np.ndarray, n: np.ndarray, own: np.ndarray, pair: np.ndarray, floor: float) -> np.ndarray:
+    """log10 of the model's probability of each token, from q of each token and of the bigrams inside texts."""
+    inside, before, joint = _inside(h, n), np.zeros(len(h)), np.zeros(len(h))
+    before[inside] = own[:-1][inside[1:]]
+    joint[inside] = pair
+    return np.log10(probabilities(joint, before, own, floor))
 
 
 SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
@@ -235,7 +235,7 @@ def _scores(part: pd.DataFrame, known: tuple, look_up: Callable, floor: float, b
     r, k = _counted_pairs(own[rare], _signed(h)[rare])
     cuts = np.searchsorted(r[0], np.arange(len(n) + 1))
     each = lambda x: [x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    model = _model_logs(h, n, *look_up(*_needed(h, n)), floor)
+    model = _model_logs(h, n, *look_up(h, _pairs(h)[_inside(h, n)[1:]]), floor)
     sums = lambda x: np.add.reduceat(x, starts)
     return pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "n_tokens": n, "n_known": sums((c > 0).astype(np.int64)), "base": sums(logs), "score": sums(model), "rare": each(r[1]), "times": each(k)})
 
@@ -243,13 +243,23 @@ def _scores(part: pd.DataFrame, known: tuple, look_up: Callable, floor: float, b
 def _broadcast_scores(rows: DataFrame, known: tuple, made: DataFrame, segments: int, floor: float, base_floor: float) -> DataFrame:
     """Scores with the whole filter on each worker; FILTER_BYTES at most pass through the driver."""
     table = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sorted(made.collect(), key=lambda r: r["segment"])])
-    shared = rows.sparkSession.sparkContext.broadcast((known, table))
+    shared = rows.sparkSession.sparkContext.broadcast((known, table, {}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, table = shared.value
-        found = Filter(table, segments)
+        own, table, kept = shared.value
+        found, keys = Filter(table, segments), own[0]
+        if "counts" not in kept:  # what the filter gives the most frequent tokens is looked up once in each worker
+            kept["counts"] = found.counts(keys)
+
+        def look_up(h: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            words = np.where(known, kept["counts"][at] if len(keys) else 0.0, 0.0)
+            words[~known] = found.counts(h[~known])
+            return words, found.counts(pairs)
+
         for part in parts_of(batches, CHUNK):
-            yield _scores(part, own, lambda *asked: [(keys, found.counts(keys)) for keys in asked], floor, base_floor)
+            yield _scores(part, own, look_up, floor, base_floor)
 
     return rows.mapInPandas(run, SCORED)
 
@@ -290,13 +300,14 @@ def _segment_scores(rows: DataFrame, known: tuple, made: DataFrame, segments: in
         if not len(part):
             return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
 
-        def look_up(*asked: np.ndarray) -> list[tuple]:
+        def look_up(*asked: np.ndarray) -> list[np.ndarray]:
             out = []
-            for kind in range(len(asked)):
+            for kind, wanted in enumerate(asked):
                 own = found[found["kind"] == kind]
                 keys = np.frombuffer(b"".join(own["keys"]), np.int64).view(np.uint64)
                 order = np.argsort(keys)
-                out.append((keys[order], np.frombuffer(b"".join(own["counts"]), "<f4").astype(float)[order]))
+                counts = np.frombuffer(b"".join(own["counts"]), "<f4").astype(float)[order]
+                out.append(counts[np.searchsorted(keys[order], wanted)])
             return out
 
         return pd.concat([_scores(p, shared.value, look_up, floor, base_floor) for _, p in part.groupby("chunk")], ignore_index=True)
