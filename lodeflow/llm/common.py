@@ -53,7 +53,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodeflow_path = path
     return out

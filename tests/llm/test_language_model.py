@@ -36,16 +36,16 @@ def test_filter(spark):
     draw = np.random.default_rng(5)
     h = np.unique(draw.integers(-(2**63), 2**63 - 1, 20_000))
     n = draw.zipf(1.6, len(h)).clip(1, 100_000)
-    bits = lm.BITS_EACH * sum(int(c) if c <= 8 else 9 + lm.PATH for c in n)
+    bits = lm.BITS_EACH * sum(int(c).bit_length() + min(int(c).bit_length() - 1, lm.BITS) for c in n)
     counts = spark.createDataFrame(list(zip(h.tolist(), n.tolist(), strict=True)), "h long, n long")
     made = sorted(lm.build_filter(counts, 3, int(bits / 24) + 1).collect(), key=lambda r: r["segment"])
     found = lm.Filter(np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in made]), 3)
     seen = found.counts(h.view(np.uint64))
     exact = np.array([q(int(c)) for c in n])
-    assert (seen > exact - 1e-6).mean() > 0.995 and (np.abs(seen - exact) > 1e-6).mean() < 0.01  # few are changed
+    assert (seen > 0).all() and (np.abs(seen - exact) > 1e-6).mean() < 0.06  # few are changed
     assert np.abs(exact / n - 1).max() < 0.0006
     other = draw.integers(0, 2**63 - 1, 20_000).astype(np.uint64)
-    assert (found.counts(other) > 0).mean() < 0.004
+    assert (found.counts(other) > 0).mean() < 0.02
 
 
 def test_edges(spark, edge, empty):
@@ -58,7 +58,8 @@ def test_edges(spark, edge, empty):
 
 
 def q(c):
-    return float(c) if c <= 8 else 1.001 ** round(math.log(c) / math.log(1.001))
+    step = 1 << max(c.bit_length() - 11, 0)
+    return float(c) if step == 1 else (c // step + 0.5) * step
 
 
 class Model:
