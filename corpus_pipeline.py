@@ -15,7 +15,7 @@ from lodeflow.llm.mixing import mix
 from lodeflow.llm.near_dedup import near_duplicates
 from lodeflow.llm.quality import fit, keep_good
 from lodeflow.llm.token_files import token_table
-from lodeflow.llm.winnowing import decontaminate
+from lodeflow.llm.winnowing import SMALL, decontaminate
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,23 +26,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, model)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return documents(docs).withColumn("hash_", F.xxhash64("text"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id; of repeated ids, one row.
+    """One document of each near-duplicate group stays, the one with the smallest doc_id; of repeated rows, one.
 
-    Rows without doc_id are in no group and stay.
+    Shingles are of two words, as this operator's contract has it. Rows that share an id but not a text are documents of
+    their own. Rows without doc_id are in no group and stay; so do documents without words.
     """
-    docs = documents(docs)
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct().hint("merge")
-    found = docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where(docs["doc_id"].isNull()))
+    docs = _keyed(docs)
+    kept = near_duplicates(docs, k=2).where("chosen and doc_id is not null").select(F.col("doc_id").alias("kept_id"), "text_hash").distinct().hint("merge")
+    found = docs.join(kept, (docs["doc_id"] == F.col("kept_id")) & (docs["hash_"] == F.col("text_hash")), "left_semi").dropDuplicates(["doc_id", "hash_"])
+    return found.unionByName(docs.where(docs["doc_id"].isNull())).drop("hash_")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
-    docs = documents(docs)
-    leaked = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("leaked")).distinct()
+    docs = _keyed(docs)
+    leaked = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("leaked"), "text_hash").distinct()
     leaked = staged(leaked, "leaked")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("leaked")), "left_anti")
+    few = F.broadcast(leaked) if leaked.count() <= SMALL else leaked
+    return docs.join(few, docs["doc_id"].eqNullSafe(F.col("leaked")) & docs["hash_"].eqNullSafe(F.col("text_hash")), "left_anti").drop("hash_")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
