@@ -1,10 +1,11 @@
 """Personal data: patterns for the base spans, and a character BiLSTM with CRF transitions, trained in numpy, for more.
 
-The tagger learns from labelled spans: what the patterns find in a bounded sample of windows (SAMPLE windows at most).
-It reads windows of WIDTH characters, STEP apart, over the stretches of a text that hold a digit, an at sign or a plus,
-with CONTEXT characters around; nothing else can hold a span of these kinds. Each window is decoded by Viterbi; every
-character then takes its tag from the window in which it stands nearest to the middle, over the whole text, and spans
-are read off that one tagging. Spans that overlap a base span give way to it.
+The tagger learns from labelled spans of two sources: what the patterns find in a bounded sample of windows (SAMPLE
+windows at most), and MADE windows of invented text in which such data stands in spellings that the patterns miss (spelled
+out at signs, other separators, no plus) among numbers that are none of these. It reads windows of WIDTH characters, STEP
+apart, over the stretches of a text that hold a digit, an at sign, a plus or the word "at", with CONTEXT characters
+around. Each window is decoded by Viterbi; every character then takes its tag from the window in which it stands nearest
+to the middle, over the whole text, and spans are read off that one tagging. Spans that overlap a base span give way.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ PATTERNS = (
     re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 WIDTH, STEP, CONTEXT = 64, 32, 24
-HIDDEN, EMBEDDED, ROUNDS, BATCH, RATE, SAMPLE = 16, 8, 160, 48, 0.02, 4000
-TRIGGER = re.compile("[0-9@+]")
+HIDDEN, EMBEDDED, ROUNDS, BATCH, RATE, SAMPLE, MADE = 16, 8, 300, 48, 0.02, 3000, 2500
+TRIGGER = re.compile(r"[0-9@+]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 #: Character classes: 0 stands for what lies outside the text.
-CLASSES = ["", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *"@.+-() %_,:/=\"'#$&*!\n"]
+CLASSES = ["", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *"abcdefghijklmnopqrstuvwxyz", *"@.+-() %_,:/=\"'#$&*!\n[]"]
 OTHER = len(CLASSES)
 _CLASS = np.full(256, OTHER, np.int64)
 for _k, _chars in enumerate(CLASSES):
@@ -55,16 +56,78 @@ def _accepted(kind: int, match: str) -> bool:
     return 16 <= len(digits) <= 19 and _luhn(digits) if kind == 2 else 8 <= len(digits) <= 15
 
 
+#: For scans in linear time: an address is sought from its at sign, a dotted number from the start of its digits alone.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the first pattern. At signs stand in neither part of an address, so each has a run of its own before it."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+            done = found.end()
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) in code points, by kind, then start. A match that fails its check is dropped, without another try."""
-    out = []
-    for kind, pattern in enumerate(PATTERNS):
-        if kind == 0 and "@" not in text or kind == 3 and "+" not in text:
-            continue
-        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _accepted(kind, m[0])]
+    """(kind, start, end) in code points, by kind, then start. A match that fails its check is dropped, without another try.
+
+    Time is linear in the text's length, whatever it holds.
+    """
+    out = [(0, a, b) for a, b in _addresses(text)]
+    for kind, pattern in ((1, _DOTTED), (2, PATTERNS[2]), (3, PATTERNS[3])):
+        if kind != 3 or "+" in text:
+            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _accepted(kind, m[0])]
     return out
 
 
+def _spelling(draw: np.random.Generator) -> tuple[int, str]:
+    """A kind, and an invented value of it in a spelling that the patterns miss; or -1 and a number that is of no kind."""
+    pick = lambda *xs: xs[draw.integers(len(xs))]
+    digits = lambda n: "".join(map(str, draw.integers(0, 10, n)))
+    word = lambda a, b: "".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(a, b)))
+    kind = int(draw.integers(-2, 4))
+    if kind == 0:
+        at, dot = pick((" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" @ ", "."), (" AT ", " DOT "), (" at ", "."))
+        name = word(3, 9) + pick("", ".", "_") + word(2, 7) + pick("", digits(2))
+        return 0, f"{name}{at}{word(3, 10)}{dot}{pick('com', 'org', 'net', 'de', 'info')}"
+    if kind == 1:
+        return 1, pick(" . ", "[.]", ", ", "-", "(.)").join(str(x) for x in draw.integers(1, 256, 4))
+    if kind == 2:
+        return 2, pick(".", "/", "_", " - ", "  ").join(digits(4) for _ in range(4))
+    if kind == 3:
+        mark = pick("-", ".", " ", "/")
+        return 3, pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}{mark}{digits(3)}{mark}{digits(4)}", f"00{digits(2)} {digits(3)} {digits(7)}", f"0{digits(2)}{mark}{digits(7)}", f"0{digits(4)}/{digits(6)}")
+    year = str(draw.integers(1950, 2040))
+    return -1, pick(f"{year}-0{draw.integers(1, 10)}-{digits(2)}", f"{digits(1)}/{digits(2)}/{year}", year, f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)},{digits(3)}.{digits(2)}", digits(int(draw.integers(1, 8))), f"v{digits(1)}.{digits(2)}.{digits(1)}", f"#{digits(5)}", f"{word(2, 5)}{digits(3)}", f"at {word(3, 9)}", f"{digits(2)} at {word(2, 6)} {word(3, 7)}")
+
+
+def made_windows(n: int = MADE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of invented words around invented values, with their tags."""
+    draw = np.random.default_rng(seed)
+    chars, tags = [], []
+    for _ in range(n):
+        text, spans = "", []
+        while len(text) < WIDTH + 20:
+            text += "".join("".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(1, 9))) + " ,."[0 if draw.random() < 0.9 else draw.integers(1, 3)] * 1 + " " * (draw.random() < 0.1) for _ in range(draw.integers(1, 5)))
+            text += "" if text.endswith(" ") else " "
+            kind, value = _spelling(draw)
+            if kind >= 0:
+                spans.append((kind, len(text), len(text) + len(value)))
+            text += value + " ,.;"[draw.integers(0, 4)] + " "
+        start = int(draw.integers(0, len(text) - WIDTH + 1))
+        chars.append(classes_of(text, [start])[0])
+        tags.append(tags_of(len(text), spans)[start : start + WIDTH])
+    return np.array(chars, np.int64), np.array(tags, np.int64)
+
+
 def windows(text: str) -> list[int]:
     """Where windows begin: over each stretch around triggers, STEP apart."""
     out: list[int] = []
@@ -249,17 +312,19 @@ def reconcile(n: int, starts: list[int], tags: np.ndarray) -> list[tuple[int, in
 
 
 def _plausible(kind: int, value: str) -> bool:
-    """What a span of the kind can't do without."""
+    """What a span of the kind can't do without, however it is spelled."""
     digits = sum(c in "0123456789" for c in value)
-    return value == value.strip() and ("@" in value and len(value) > 5 if kind == 0 else value.count(".") == 3 and digits > 3 if kind == 1 else 13 <= digits <= 19 if kind == 2 else 8 <= digits <= 15)
+    if value != value.strip() or "\n" in value:
+        return False
+    return ("@" in value or bool(TRIGGER.search(value))) and len(value) > 6 if kind == 0 else 4 <= digits <= 12 if kind == 1 else 13 <= digits <= 19 if kind == 2 else 8 <= digits <= 15
 
 
 def labelled_windows(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Windows with the patterns' tags: up to `most` of them, those with the least hashes, half with spans, half without."""
-    rows = pick(docs, text=text_col).where(F.col("text").rlike("[0-9@+]"))
+    rows = pick(docs, text=text_col).where(F.col("text").rlike("[0-9@+]|[Aa][Tt]"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts_of(batches, 2_000_000):
             out = []
             for text in batch["text"]:
                 starts = windows(text)
@@ -284,10 +349,18 @@ def labelled_windows(docs: DataFrame, text_col: str = "text", most: int = SAMPLE
     return both[0], both[1]
 
 
+def fit(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
+    """A model that has learnt from the patterns' spans in docs and from invented windows."""
+    both = zip(labelled_windows(docs, text_col), made_windows(), strict=True)
+    return train(*[np.concatenate(x) for x in both])
+
+
 def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kinds, starts, ends, base) for each row: all spans by kind, then start; base marks the patterns' own.
 
-    A null text is empty and has none; repeated rows each get a result; an empty table gives none.
+    Defined cases: a null or empty text has none; repeated rows each get a result; of added spans that overlap (ties), the
+    tagging has one; a very long text is a part of its own, scanned in linear time; other columns, however named, are not
+    read; an empty table gives none.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     small = {k: v.astype(np.float32) for k, v in model.items()}
@@ -331,7 +404,7 @@ def op7_bilstm_crf_personal_data(spark, sf_dir):
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    found = find_personal_data(docs, train(*labelled_windows(docs)))
+    found = find_personal_data(docs, fit(docs))
     spans = F.arrays_zip("kinds", "starts", "ends", "base")
     named = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string"))), ",")
     base = F.filter(spans, lambda s: s["base"])

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -105,6 +106,39 @@ def test_edges(edge, empty):
     assert pd_.find_personal_data(empty, pd_.train(*pd_.labelled_windows(empty))).count() == 0
 
 
+def test_scans_take_linear_time():
+    for text in ("7" * 2_000_000, "1." * 1_000_000, "a" * 1_000_000 + "@" + "b" * 1_000_000, "a@" * 700_000, "+1" + "(" * 1_000_000, "1 " * 1_000_000):
+        begun = time.process_time()
+        pd_.base_spans(text)
+        pd_.windows(text)
+        assert time.process_time() - begun < 10
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_scans_against_the_plain_patterns(seed):
+    draw = np.random.default_rng(seed)
+    for _ in range(3000):
+        text = "".join(draw.choice(list("aZ_%.@-+()  12 90"), draw.integers(0, 30)))
+        assert [f"{pd_.KINDS[k]}:{a}:{b}" for k, a, b in pd_.base_spans(text)] == brute(text)
+
+
+def test_spellings_that_the_patterns_miss(spark, data):
+    """Invented values of another draw: most are found, and numbers of no kind are mostly left alone."""
+    model = pd_.fit(spark.read.parquet(f"{data}/documents.parquet"))
+    draw = np.random.default_rng(99)
+    found, wanted, false, other = 0, 0, 0, 0
+    rows = [pd_._spelling(draw) for _ in range(600)]
+    rows = [(i, k, f"please see the note {v} for more of the same") for i, (k, v) in enumerate(rows)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pd_.find_personal_data(docs, model).collect()}
+    for i, kind, text in rows:
+        middle = 20 + (len(text) - 45) // 2
+        hit = any(a <= middle < b for a, b in zip(got[i]["starts"], got[i]["ends"], strict=True))
+        wanted, found, other, false = wanted + (kind >= 0), found + (kind >= 0 and hit), other + (kind < 0), false + (kind < 0 and bool(got[i]["starts"]))
+    print(found / wanted, false / other)
+    assert found / wanted > 0.75 and false / other < 0.15
+
+
 def test_last_window_reaches_the_context():
     from lodeflow.llm.personal_data import CONTEXT, WIDTH, windows
 
