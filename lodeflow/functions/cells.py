@@ -49,9 +49,10 @@ def _radix(t: Column) -> Column:
 
 def text_number(c: Column) -> Column:
     """Text as a number: NaN if it is none, 0 for blank text, null for null."""
+    plain = F.when(c.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"), c.try_cast("double"))
     t = trim(c)
     value = F.when(t == "", 0.0).when(t.rlike(DECIMAL), t.try_cast("double")).when(t.rlike(RADIX), _radix(t)).otherwise(float("nan"))
-    return F.when(c.isNotNull(), value)
+    return F.when(c.isNotNull(), F.coalesce(plain, value))
 
 
 def number(c: Column, kind: T.DataType) -> Column:
@@ -89,6 +90,23 @@ def text_kind(c: Column) -> Column:
     )
 
 
+def cell_key(c: Column, kind: T.DataType, cells: bool = False) -> Column:
+    """(kind, value) of a cell, null for a missing one: what makes two cells equal. A number never equals its own text.
+
+    With cells, a text column holds CSV cells, each of the kind that it reads as: 1 and 1.0 are one number there.
+    """
+    if isinstance(kind, T.NumericType):
+        name, value = F.lit("number"), c.cast("double").cast("string")
+    elif isinstance(kind, T.StringType) and cells:
+        own = text_kind(c)
+        name = F.when(own == "string", F.lit("text")).when(own != "null", own)
+        value = F.when(own == "number", (F.trim(c).try_cast("double") + 0.0).cast("string")).when(own == "boolean", F.lower(c)).otherwise(c)
+    else:
+        name = F.lit("boolean" if isinstance(kind, T.BooleanType) else "text" if isinstance(kind, T.StringType) else kind.simpleString())
+        value = c.cast("string")
+    return F.when(name.isNotNull() & c.isNotNull(), F.struct(name.alias("kind"), value.alias("value")))
+
+
 def label(c: Column, kind: T.DataType) -> Column:
     """A key as shown on a chart: null as text, whole doubles without a fraction."""
     shown = c.cast("string")

@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeflow.functions.cells import label, number
+from lodeflow.functions.cells import label, number, text_kind
 
 GROUPS = 20
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    """Columns offered as measures: those with some number. Typed numeric columns with a value; one aggregate."""
-    kinds = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    if not kinds:
+def numeric_columns(df: DataFrame, cells: bool = False) -> list[str]:
+    """Columns offered as measures: those with some number. Numeric columns with a value, and with cells, text columns in
+    which some cell reads as a number; one aggregate."""
+    some = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.NumericType):
+            some.append((f.name, F.col(f.name).isNotNull()))
+        elif cells and isinstance(f.dataType, T.StringType):
+            some.append((f.name, text_kind(F.col(f.name)) == "number"))
+    if not some:
         return []
-    row = df.agg(*[F.max(F.col(c).isNotNull()).alias(f"m{i}") for i, c in enumerate(kinds)]).first()
-    return [c for i, c in enumerate(kinds) if row[i]]
+    row = df.agg(*[F.max(has).alias(f"m{i}") for i, (_, has) in enumerate(some)]).first()
+    return [c for i, (c, _) in enumerate(some) if row[i]]
 
 
 def group_sum(df: DataFrame, x: str, y: str, top: int = GROUPS, order: str | None = None) -> DataFrame:

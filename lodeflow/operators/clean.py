@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeflow.functions import cells
+from lodeflow.functions import cells as readings
+from lodeflow.functions.cells import cell_key
+from lodeflow.functions.cells import text_kind as cell_kind
 from lodeflow.sources import store
 
 OPERATIONS = ("trim", "normalize_case", "fix_types", "dedupe", "fill_missing")
@@ -32,7 +34,7 @@ def profile(df: DataFrame) -> dict[str, tuple[int, int, int]]:
     votes = []
     for c in texts:
         full = F.col(c) != ""
-        votes += [F.count_if(full), F.count_if(full & ~F.isnan(cells.text_number(F.col(c)))), F.count_if(full & cells.text_date(F.col(c)).isNotNull())]
+        votes += [F.count_if(full), F.count_if(full & ~F.isnan(readings.text_number(F.col(c)))), F.count_if(full & readings.text_date(F.col(c)).isNotNull())]
     row = df.agg(*[v.alias(f"v{i}") for i, v in enumerate(votes)]).first()
     return {c: (row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(texts)}
 
@@ -40,9 +42,9 @@ def profile(df: DataFrame) -> dict[str, tuple[int, int, int]]:
 def _fixed(c: Column, votes: tuple[int, int, int], null_dates: str) -> Column:
     n, numbers, dates = votes
     if n and numbers / n > VOTE:
-        return F.when(c != "", cells.text_number(c))
+        return F.when(c != "", readings.text_number(c))
     if n and dates / n > VOTE:
-        shown = F.coalesce(cells.text_date(c), c)
+        shown = F.coalesce(readings.text_date(c), c)
         return F.coalesce(shown, F.lit("1970-01-01")) if null_dates == "epoch" else shown
     return c
 
@@ -69,18 +71,20 @@ def _key(c: str, kind: T.DataType) -> Column:
     return F.col(c)
 
 
-def dedupe(df: DataFrame, keep: str = "first", subset: list[str] | None = None, order: str | None = None) -> DataFrame:
-    """Distinct rows; NaN, infinities and null count as the same.
+def dedupe(df: DataFrame, keep: str = "first", subset: list[str] | None = None, order: str | None = None, cells: bool = False) -> DataFrame:
+    """Distinct rows; NaN, infinities and null count as the same. With cells, so do CSV cells that read alike (1 and 1.0).
 
     Extensions: keep "last" or "none" (drop every repeated row), a subset of columns as the key, an order column that
     says which row is first. Without it rows are in the order they are read.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     columns = subset or df.columns
-    loose = any(isinstance(kinds[c], (T.DoubleType, T.FloatType)) for c in columns)
+    loose = any(isinstance(kinds[c], (T.DoubleType, T.FloatType)) or cells and isinstance(kinds[c], T.StringType) for c in columns)
     if keep == "first" and not loose and not subset and order is None:
         return df.dropDuplicates()
-    keys = [_key(c, kinds[c]).alias(f"key{i}_") for i, c in enumerate(columns)]
+    own = lambda c: text_key(F.col(c)) if cells and isinstance(kinds[c], T.StringType) else _key(c, kinds[c])
+    text_key = lambda c: cell_key(c, T.StringType(), True)
+    keys = [own(c).alias(f"key{i}_") for i, c in enumerate(columns)]
     names = [f"key{i}_" for i in range(len(columns))]
     rows = df.select(*keys, F.struct(*df.columns).alias("row_"), (F.col(order) if order else F.monotonically_increasing_id()).alias("ord_"))
     if keep == "none":
@@ -90,43 +94,53 @@ def dedupe(df: DataFrame, keep: str = "first", subset: list[str] | None = None,
     return rows.groupBy(*names).agg(pick("row_", "ord_").alias("row_")).select("row_.*")
 
 
-def fill_missing(df: DataFrame) -> DataFrame:
+def fill_missing(df: DataFrame, cells: bool = False) -> DataFrame:
     """Null becomes 0 in numeric columns, NaN stays; elsewhere null becomes empty text.
 
-    In a typed frame a numeric column is one of a numeric type. Columns of other types than text become text.
+    In a typed frame a numeric column is one of a numeric type. With cells, a text column is numeric too if some cell of it
+    reads as a number, and empty cells are missing ones; finding that out is one aggregate. Columns of other types than
+    text become text.
     """
+    texts = _texts(df) if cells else []
+    found = df.agg(*[F.coalesce(F.bool_or(cell_kind(F.col(c)) == "number"), F.lit(False)).alias(f"m{i}") for i, c in enumerate(texts)]).first() if texts else []
+    mixed = {c for c, m in zip(texts, found, strict=True) if m}
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.NumericType):
             out.append(F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name))
+        elif f.name in mixed:
+            out.append(F.coalesce(F.nullif(F.col(f.name), F.lit("")), F.lit("0")).alias(f.name))
         else:
             out.append(F.coalesce(F.col(f.name).cast("string"), F.lit("")).alias(f.name))
     return df.select(*out)
 
 
-def clean(df: DataFrame, operations: Iterable[str], null_dates: str = "keep") -> DataFrame:
-    """Apply the chosen operations in their fixed order, however they are listed. Names may differ by case alone."""
+def clean(df: DataFrame, operations: Iterable[str], null_dates: str = "keep", cells: bool = False) -> DataFrame:
+    """Apply the chosen operations in their fixed order, however they are listed. Names may differ by case alone.
+
+    cells: text columns hold CSV cells, each of its own kind (see dedupe and fill_missing).
+    """
     chosen = set(operations)
     if not chosen or chosen - set(OPERATIONS):
         raise ValueError(f"operations must be some of {OPERATIONS}")
     names = df.columns
     out = df.toDF(*[f"c{i}" for i in range(len(names))])
     if "trim" in chosen:
-        out = _over_texts(out, cells.trim)
+        out = _over_texts(out, readings.trim)
     if "normalize_case" in chosen:
-        out = _over_texts(out, cells.title_case)
+        out = _over_texts(out, readings.title_case)
     if "fix_types" in chosen:
         out = fix_types(out, null_dates)
     if "dedupe" in chosen:
-        out = dedupe(out)
+        out = dedupe(out, cells=cells)
     if "fill_missing" in chosen:
-        out = fill_missing(out)
+        out = fill_missing(out, cells)
     return out.toDF(*names)
 
 
 def prepare(spark: SparkSession, root: str, layer: str, name: str, operations: Iterable[str]) -> str:
     """Clean a dataset into Silver with its metadata; returns the new dataset's name. Cells are typed one by one first."""
-    out = store.write_silver(clean(store.read_dataset(spark, root, layer, name), operations), root, name)
+    out = store.write_silver(clean(store.read_dataset(spark, root, layer, name), operations, cells=True), root, name)
     known = store.load_metadata(spark, root, layer, name)
     record = {"display_name": f"{known.get('display_name') or name} (cleaned)", "owner": "Workspace", "archived": False}
     if known.get("division_override"):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeflow.functions.cells import label
+from lodeflow.functions.cells import cell_key, label
 from lodeflow.sources import store
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
@@ -39,12 +39,22 @@ def _kind(kind: T.DataType) -> str:
     return "boolean" if isinstance(kind, T.BooleanType) else "text" if isinstance(kind, T.StringType) else kind.simpleString()
 
 
-def _same_key(ka: Column, ta: T.DataType, kb: Column, tb: T.DataType) -> Column:
+def _numbers(*kinds: T.DataType) -> str:
+    """The type in which numbers of these types compare: exact unless one of them is floating."""
+    if any(isinstance(k, (T.DoubleType, T.FloatType)) for k in kinds):
+        return "double"
+    scale = max(k.scale if isinstance(k, T.DecimalType) else 0 for k in kinds)
+    return f"decimal(38,{min(scale, 18)})"
+
+
+def _same_key(ka: Column, ta: T.DataType, kb: Column, tb: T.DataType, cells: bool) -> Column:
     """Null matches null; values match within one kind only, never by conversion."""
+    if cells and (isinstance(ta, T.StringType) or isinstance(tb, T.StringType)):
+        return cell_key(ka, ta, True).eqNullSafe(cell_key(kb, tb, True))
     if ta == tb:
         return ka.eqNullSafe(kb)
     if _kind(ta) == _kind(tb) == "number":
-        return ka.cast("double").eqNullSafe(kb.cast("double"))
+        return ka.cast(_numbers(ta, tb)).eqNullSafe(kb.cast(_numbers(ta, tb)))
     mark = lambda k, t: F.when(k.isNotNull(), F.lit(_kind(t)))
     return mark(ka, ta).eqNullSafe(mark(kb, tb)) & ka.cast("string").eqNullSafe(kb.cast("string"))
 
@@ -53,15 +63,16 @@ def _either(first: Column, t1: T.DataType, second: Column, t2: T.DataType) -> Co
     if t1 == t2:
         return F.coalesce(first, second)
     if _kind(t1) == _kind(t2) == "number":
-        return F.coalesce(first.cast("double"), second.cast("double"))
+        return F.coalesce(first.cast(_numbers(t1, t2)), second.cast(_numbers(t1, t2)))
     return F.coalesce(first.cast("string"), second.cast("string"))
 
 
-def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None, right_collision: str = "own") -> DataFrame:
+def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None, right_collision: str = "own", cells: bool = False) -> DataFrame:
     """Join a and b on one column (by default the first shared one).
 
     Output: a's columns in order, then b's but the key, with _b on a clash; the key has b's value on right-only rows.
     right_collision="left_slot" puts b's clashing value of a right-only row into a's column instead of its own.
+    cells: text keys are CSV cells, each of the kind that it reads as: the number 1 matches 1.0, and never the text "1".
     """
     if how not in JOINS:
         raise ValueError(f"how must be one of {tuple(JOINS)}")
@@ -72,7 +83,7 @@ def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None,
     right = b.toDF(*[f"b{i}" for i in range(len(bn))])
     ka, kb = an.index(key), bn.index(key)
     ta, tb = [f.dataType for f in a.schema.fields], [f.dataType for f in b.schema.fields]
-    joined = left.join(right, _same_key(F.col(f"a{ka}"), ta[ka], F.col(f"b{kb}"), tb[kb]), JOINS[how])
+    joined = left.join(right, _same_key(F.col(f"a{ka}"), ta[ka], F.col(f"b{kb}"), tb[kb], cells), JOINS[how])
     slots = {c: bn.index(c) for c in an if c in bn and c != key} if right_collision == "left_slot" else {}
     only_right = F.col("pa").isNull()
     out = []
@@ -112,4 +123,4 @@ def merge_datasets(spark: SparkSession, root: str, first: tuple[str, str], secon
     """Merge two stored datasets, each given as (layer, name); they must differ."""
     if not first or not second or first == second:
         raise ValueError("choose two different datasets")
-    return merge(store.read_dataset(spark, root, *first), store.read_dataset(spark, root, *second), how)
+    return merge(store.read_dataset(spark, root, *first), store.read_dataset(spark, root, *second), how, cells=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,12 +86,12 @@ def chart_text_measure(spark, sf_dir):
 def _merge(how: str):
     def run(spark, sf_dir):
         docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-        labels = read(spark, sf_dir, "labels").where("doc_id % 5 <> 0").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1_000_000_000))
+        labels = read(spark, sf_dir, "labels").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1_000_000_000))
         return merge.merge(docs, labels, how)
 
     run.__name__ = f"merge_{how}"
     kind = {"outer": "FULL", "right": "RIGHT", "left": "LEFT", "inner": "INNER"}[how]
-    return query(f"""WITH b AS (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1000000000 END AS doc_id, quality, toxic FROM labels WHERE doc_id % 5 <> 0)
+    return query(f"""WITH b AS (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1000000000 END AS doc_id, quality, toxic FROM labels)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, lang, source, n_chars, quality, toxic FROM documents a {kind} JOIN b ON a.doc_id = b.doc_id""")(run)
 
 
@@ -107,12 +108,13 @@ def merge_null_keys(spark, sf_dir):
     return merge.merge(a, b, "outer")
 
 
-_SIDES = """WITH a AS (SELECT o_custkey AS k, o_orderkey, o_orderpriority AS note FROM orders WHERE o_custkey % 3 <> 0), b AS (SELECT c_custkey AS k, c_mktsegment AS note FROM customer)
+_SIDES = """WITH a AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS k, o_orderkey, o_orderpriority AS note FROM orders), b AS (SELECT c_custkey AS k, c_mktsegment AS note FROM customer)
 """
 
 
 def _sides(spark, sf_dir):
-    a = read(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("k"), "o_orderkey", F.col("o_orderpriority").alias("note"))
+    k = F.col("o_custkey")
+    a = read(spark, sf_dir, "orders").select(F.when(k % 3 == 0, k + 1_000_000_000).otherwise(k).alias("k"), "o_orderkey", F.col("o_orderpriority").alias("note"))
     return a, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("note"))
 
 
@@ -157,12 +159,10 @@ def clean_title_case(spark, sf_dir):
     return clean.clean(rows, ["normalize_case"])
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'NaN'::DOUBLE ELSE round(o_totalprice, 2) END AS often, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS rarely FROM orders WHERE o_orderkey BETWEEN 1 AND (SELECT max(o_orderkey) // 10 * 10 FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'NaN'::DOUBLE ELSE round(o_totalprice, 2) END AS often, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS rarely FROM orders")
 def clean_fix_numeric(spark, sf_dir):
     """Nine tenths numbers: the rest becomes NaN. Exactly four fifths: text stays."""
-    orders = read(spark, sf_dir, "orders")
-    whole = orders.agg((F.floor(F.max("o_orderkey") / 10) * 10).alias("top"))
-    rows = orders.join(F.broadcast(whole), F.col("o_orderkey").between(1, F.col("top")))
+    rows = read(spark, sf_dir, "orders")
     often = F.when(F.col("o_orderkey") % 10 == 0, "n/a").otherwise(F.round("o_totalprice", 2).cast("string"))
     rarely = F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("o_custkey").cast("string"))
     return clean.clean(rows.select("o_orderkey", often.alias("often"), rarely.alias("rarely")), ["fix_types"])
@@ -265,7 +265,7 @@ def stats_recent(spark, sf_dir):
 @query(r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'dataset') AS stub, regexp_replace(url, '(?i)\.html$', '') AS stem, 'x' || page_id AS last FROM pages")
 def names_sanitize(spark, sf_dir):
     rows = read(spark, sf_dir, "pages")
-    stem = F.regexp_replace(names.without_csv(F.regexp_replace("url", r"(?i)\.html\z", ".CSV")), "", "")
+    stem = names.without_csv(F.regexp_replace("url", r"(?i)\.html\z", ".CSV"))
     return rows.select("page_id", names.sanitize(F.col("url")).alias("stub"), stem.alias("stem"), names.last_segment(F.concat(F.lit("a__b__x"), F.col("page_id").cast("string"))).alias("last"))
 
 
@@ -308,10 +308,10 @@ def preview_counts(spark, sf_dir):
 
 
 @query("""SELECT CAST(l.k AS VARCHAR) AS k, CAST(o_orderkey AS VARCHAR) AS o_orderkey, coalesce(c_mktsegment, '') AS c_mktsegment FROM (SELECT o_custkey AS k, o_orderkey FROM orders) l
-LEFT JOIN (SELECT c_custkey AS k, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) r ON l.k = r.k ORDER BY l.k, l.o_orderkey LIMIT 15""")
+LEFT JOIN (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 1000000000 END AS k, c_mktsegment FROM customer) r ON l.k = r.k ORDER BY l.k, l.o_orderkey LIMIT 15""")
 def merge_preview(spark, sf_dir):
     left = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
-    right = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    right = read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 1_000_000_000).alias("k"), "c_mktsegment")
     return merge.preview(merge.merge(left, right, "left"), ["k", "o_orderkey"])
 
 
@@ -338,3 +338,77 @@ def catalog_divisions(spark, sf_dir):
 def clean_keep_last(spark, sf_dir):
     """Extension: of each nation's customers the last one stays."""
     return clean.dedupe(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "last", ["c_nationkey"], "c_custkey")
+
+
+#: A column as a CSV file may have it: numbers in two spellings, texts, empty cells.
+_MIXED_SQL = "CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN o_custkey || '.0' WHEN 2 THEN 'c' || o_custkey ELSE '' END"
+
+
+def _mixed():
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    return F.when(k == 0, c).when(k == 1, F.concat(c, F.lit(".0"))).when(k == 2, F.concat(F.lit("c"), c)).otherwise("")
+
+
+@query(f"SELECT o_orderkey, coalesce(nullif({_MIXED_SQL}, ''), '0') AS mixed, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS plain FROM orders")
+def clean_fill_mixed(spark, sf_dir):
+    """A text column with some number is numeric: its empty cells become 0; one without becomes empty text."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", _mixed().alias("mixed"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("plain"))
+    return clean.clean(rows, ["fill_missing"], cells=True)
+
+
+@query(f"SELECT DISTINCT CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_custkey AS VARCHAR) ELSE nullif({_MIXED_SQL}, '') END AS cell, o_orderstatus FROM orders")
+def clean_dedupe_mixed(spark, sf_dir):
+    """1 and 1.0 are one number; which of the spellings stays is not compared."""
+    out = clean.clean(read(spark, sf_dir, "orders").select(_mixed().alias("cell"), "o_orderstatus"), ["dedupe"], cells=True)
+    return out.withColumn("cell", F.nullif(F.regexp_replace("cell", r"\.0\z", ""), F.lit("")))
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_custkey AS VARCHAR) ELSE nullif({_MIXED_SQL}, '') END AS k FROM orders),
+b AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_name FROM customer)
+SELECT o_orderkey, a.k, c_name FROM a LEFT JOIN b ON a.k = b.k""")
+def merge_mixed_kinds(spark, sf_dir):
+    """Number cells of a mixed column match a numeric key, whatever their spelling; its texts match nothing there."""
+    a = read(spark, sf_dir, "orders").select("o_orderkey", _mixed().alias("k"))
+    b = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    out = merge.merge(a, b, "left", on="k", cells=True)
+    return out.withColumn("k", F.nullif(F.regexp_replace("k", r"\.0\z", ""), F.lit("")))
+
+
+@query("SELECT unnest(['o_orderkey', 'mixed']) AS measure")
+def chart_measures_mixed(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", _mixed().alias("mixed"), "o_orderstatus")
+    return spark.createDataFrame([(c,) for c in chart.numeric_columns(rows, cells=True)], "measure string")
+
+
+def _lake(spark) -> str:
+    from uuid import uuid4
+
+    place = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodeflow-')}").rstrip("/")
+    return f"{place}/lake-{uuid4().hex}"
+
+
+@query("SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'a \"b\", c' ELSE ' d ' END AS note FROM customer")
+def csv_round_trip(spark, sf_dir):
+    """Written as a cleaned dataset, read by layer and name: quotes, commas and spaces stay, nulls are nothing."""
+    root, k = _lake(spark), F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(k % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.when(k % 2 == 0, 'a "b", c').otherwise(" d ").alias("note"))
+    name = store.write_silver(rows, root, "customers")
+    return store.read_dataset(spark, root, "Silver", name)
+
+
+@query("SELECT 'Silver' AS layer, 'orders_cleaned' AS name, count(*) AS rows, 3 AS columns, 'Active' AS status FROM orders UNION ALL SELECT 'Silver', 'none_cleaned', 0, 2, 'Error'")
+def catalog_counts(spark, sf_dir):
+    """The catalog of a lake with a dataset of all orders and one that has a header only."""
+    root = _lake(spark)
+    store.write_silver(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), root, "orders")
+    store.put_text(spark, names.path_of(root, "Silver", "none_cleaned"), "a,b\n")
+    return catalog.catalog(spark, root).select("layer", "name", "rows", "columns", "status")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def download_csv(spark, sf_dir):
+    """A cleaned dataset in several parts, downloaded as one text with one header."""
+    root = _lake(spark)
+    name = store.write_silver(read(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(3), root, "nation")
+    path = store.download(spark, root, "Silver", name, f"{root}/out")
+    return store.read_csv(spark, path, typed=False)

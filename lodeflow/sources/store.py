@@ -139,9 +139,29 @@ def archive(spark: SparkSession, root: str, layer: str, name: str) -> None:
 
 
 def download(spark: SparkSession, root: str, layer: str, name: str, folder: str) -> str:
-    """Copy a dataset's text out as <last segment>.csv."""
-    target = f"{folder.rstrip('/')}/{name.split('__')[-1]}.csv"
-    copy_file(spark, names.path_of(root, layer, name), target)
+    """Copy a dataset's text out as one file, <last segment>.csv; a folder of parts is put together under one header."""
+    source, target = names.path_of(root, layer, name), f"{folder.rstrip('/')}/{name.split('__')[-1]}.csv"
+    fs, p = _fs(spark, source)
+    if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
+        copy_file(spark, source, target)
+        return target
+    parts = sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-") and f.getLen())
+    out_fs, out_path = _fs(spark, target)
+    out = out_fs.create(out_path, True)
+    try:
+        for k, part in enumerate(parts):
+            part_fs, part_path = _fs(spark, part)
+            stream = part_fs.open(part_path)
+            try:
+                quoted, byte = False, stream.read() if k else -1
+                while byte >= 0 and (quoted or byte != 10):  # each part has the header; a quoted name may hold a line feed
+                    quoted ^= byte == 34
+                    byte = stream.read()
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
     return target
 
 
