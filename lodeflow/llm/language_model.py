@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, hashed, mix, parts_of, pick, staged, utf8
 
-FILTER_BYTES, SEGMENT_BYTES, PROBES, BITS_EACH = 112 << 20, 4 << 20, 5, 9.0
+FILTER_BYTES, SEGMENT_BYTES, PROBES, BITS_EACH = 112 << 20, 1 << 20, 5, 9.0
 BITS = 10
 SHARE, ADD, HEAD = 0.4, 0.1, 300_000
 END = b"\n"  # no word holds a line feed
@@ -254,12 +254,13 @@ def _scores(part: pd.DataFrame, known: tuple, look_up: Callable, floor: float, b
 
 def _broadcast_scores(rows: DataFrame, known: tuple, made: DataFrame, segments: int, floor: float, base_floor: float) -> DataFrame:
     """Scores with the whole filter on each worker; FILTER_BYTES at most pass through the driver."""
-    table = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sorted(made.collect(), key=lambda r: r["segment"])])
-    shared = rows.sparkSession.sparkContext.broadcast((known, table, {}))
+    # plain bytes: a worker then holds no second copy while it loads them
+    parts = {r["segment"]: bytes(r["bits"]) for r in made.toLocalIterator()}
+    shared = rows.sparkSession.sparkContext.broadcast((known, b"".join(parts.pop(k) for k in sorted(parts)), {}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, table, kept = shared.value
-        found, keys = Filter(table, segments), own[0]
+        found, keys = Filter(np.frombuffer(table, np.uint8), segments), own[0]
         if "counts" not in kept:  # what the filter gives the most frequent tokens is looked up once in each worker
             kept["counts"] = found.counts(keys)
 

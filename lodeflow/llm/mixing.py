@@ -49,7 +49,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
 
     Sources in code-point order, null last, have the weights in turn. Defined cases: a null or wordless text has size 0
     and is never taken; repeated rows are taken each for itself; a source without words has target 0; an empty table
-    gives empty results. Reruns agree: order depends on doc_id and seed alone.
+    gives empty results; a very long text is cut over as many blocks as it needs; documents of equal hashes (ties) go by doc_id,
+    size and row; other columns, however named, are not read. Reruns agree: order depends on doc_id and seed alone.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col, source=source_col)

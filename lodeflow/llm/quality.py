@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hashed, parts_of, pick, ship, utf8
+from .common import crc_mod, hashed, parts_of, pick, portions, ship, utf8
 
 PIECE, DICTIONARY, LEVEL = 512, 112 << 10, 3
 FEATURES = 15
@@ -113,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             part["text"] = [_pieces(t, excerpt) for t in part["text"]]
             yield part
 
-    taught = sample.mapInPandas(cut, sample.schema).toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    # of the rows that share an id, one goes to the driver
+    taught = sample.mapInPandas(cut, sample.schema).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("doc_id")
     good, bad = (taught[taught["label"] == k] for k in (1, 0))
     if len(good) < 4 or len(bad) < 4:
         p = min(max(taught["label"].mean() if len(taught) else 0.5, 0.01), 0.99)
@@ -130,9 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "x": list(x)})
 
     schema = sample.select("doc_id", "label", F.array(F.lit(0.0)).alias("x")).schema
-    measured = sample.mapInPandas(measure, schema).toPandas()
-    measured["key"] = [tuple(x) for x in measured["x"]]
-    measured = measured.sort_values(["doc_id", "key"]).drop_duplicates("doc_id")
+    measured = sample.mapInPandas(measure, schema).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     truth = measured["label"].to_numpy(float)
     centre, scale, w = _calibrate(np.stack(measured["x"].to_list()), truth)
     # the sample is balanced by class: move the intercept to the classes' shares among all labelled rows
@@ -152,7 +152,9 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def score_quality(docs: DataFrame, model: Compressors, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for each row. A null text is empty; repeated rows each get a score; an empty table gives none."""
+    """(doc_id, score) for each row. A null or empty text is scored as one without pieces; repeated rows and equal texts
+    (ties) have equal scores; a very long text is scored whole, in pieces; other columns, however named, are not read; an
+    empty table gives none."""
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,8 +172,9 @@ def keep_good(docs: DataFrame, model: Compressors, least: float = 0.3, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            sizes = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()
+            for span in portions(sizes, 2_000_000):
+                part = batch.slice(span.start, span.stop - span.start)
                 yield part.filter(pa.array(model.score([utf8(t) for t in part.column(at).to_pylist()]) >= least))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -32,7 +32,7 @@ def test_decisions(spark, data, steps):
     from test_near_dedup import brute
     from test_winnowing import brute as hits
 
-    groups = brute([(r["doc_id"], r["text"]) for r in steps[1].collect()], 5)
+    groups = brute([(r["doc_id"], r["text"]) for r in steps[1].collect()], 2)
     assert ids(steps[2]) == {i for i, (c, _) in groups.items() if c == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     found = hits([(r["doc_id"], r["text"]) for r in steps[2].collect()], items)
