@@ -26,6 +26,7 @@ def shown_date(c: Column) -> Column:
 
 
 def action_of(layer: Column) -> Column:
+    # What is shown for each layer.
     names = {"Bronze": "was uploaded", "Silver": "was cleaned in Prepare", "Gold": "was created in Merge"}
     out = F.lit("was updated")
     for k, v in names.items():
@@ -37,5 +38,13 @@ def megabytes(c: Column) -> Column:
     return c / 1024 / 1024
 
 
+def shown_megabytes(c: Column) -> Column:
+    return F.format_string("%.1f MB", megabytes(c))
+
+
+def kilobytes(c: Column) -> Column:
+    return F.format_string("%.0f KB", c / 1024)
+
+
 def thousands(c: Column) -> Column:
     return F.format_number(c, 0)

@@ -97,6 +97,25 @@ def catalog(spark: SparkSession, root: str, include_archived: bool = False) -> D
     return enrich(entries(files, root), store.metadata_table(spark, root), row_counts(spark, root, files), division_labels(spark), include_archived)
 
 
+class KeptCatalog:
+    """A catalog that is read once and reused until dropped, as after a clean or an upload; an empty one is read again."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.kept = spark, root, None
+
+    def get(self) -> DataFrame:
+        if self.kept is None or self.kept.isEmpty():
+            self.drop()
+            self.kept = catalog(self.spark, self.root).persist()
+            self.kept.count()  # all of it, as the files are now
+        return self.kept
+
+    def drop(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+        self.kept = None
+
+
 def search(df: DataFrame, term: str = "", layer: str = "", division: str = "") -> DataFrame:
     """Substring of name, display name or division, without regard to case; equal layer and division; empty passes all."""
     wanted = F.lower(F.lit(term.strip()))

@@ -29,6 +29,7 @@ def checks(header_line: Column, data_lines: Column, required: Column) -> Column:
         return F.struct(ok.alias("ok"), F.when(ok, good).otherwise(bad).alias("message"))
 
     listed = lambda a: F.array_join(a, ", ")
+    # The messages' words.
     three = F.array(
         check(F.size(repeated) == 0, F.lit("No duplicate columns."), F.concat(F.lit("Duplicate column(s): "), listed(repeated))),
         check(F.size(missing) == 0, F.concat(F.lit("All required columns present ("), listed(required), F.lit(").")), F.concat(F.lit("Missing required column(s): "), listed(missing))),

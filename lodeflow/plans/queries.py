@@ -380,7 +380,7 @@ def chart_measures_mixed(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in chart.numeric_columns(rows, cells=True)], "measure string")
 
 
-def _lake(spark) -> str:
+def fresh_lake(spark) -> str:
     from uuid import uuid4
 
     place = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodeflow-')}").rstrip("/")
@@ -390,7 +390,7 @@ def _lake(spark) -> str:
 @query("SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'a \"b\", c' ELSE ' d ' END AS note FROM customer")
 def csv_round_trip(spark, sf_dir):
     """Written as a cleaned dataset, read by layer and name: quotes, commas and spaces stay, nulls are nothing."""
-    root, k = _lake(spark), F.col("c_custkey")
+    root, k = fresh_lake(spark), F.col("c_custkey")
     rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(k % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.when(k % 2 == 0, 'a "b", c').otherwise(" d ").alias("note"))
     name = store.write_silver(rows, root, "customers")
     return store.read_dataset(spark, root, "Silver", name)
@@ -399,7 +399,7 @@ def csv_round_trip(spark, sf_dir):
 @query("SELECT 'Silver' AS layer, 'orders_cleaned' AS name, count(*) AS rows, 3 AS columns, 'Active' AS status FROM orders UNION ALL SELECT 'Silver', 'none_cleaned', 0, 2, 'Error'")
 def catalog_counts(spark, sf_dir):
     """The catalog of a lake with a dataset of all orders and one that has a header only."""
-    root = _lake(spark)
+    root = fresh_lake(spark)
     store.write_silver(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), root, "orders")
     store.put_text(spark, names.path_of(root, "Silver", "none_cleaned"), "a,b\n")
     return catalog.catalog(spark, root).select("layer", "name", "rows", "columns", "status")
@@ -408,7 +408,7 @@ def catalog_counts(spark, sf_dir):
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
 def download_csv(spark, sf_dir):
     """A cleaned dataset in several parts, downloaded as one text with one header."""
-    root = _lake(spark)
+    root = fresh_lake(spark)
     name = store.write_silver(read(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(3), root, "nation")
     path = store.download(spark, root, "Silver", name, f"{root}/out")
     return store.read_csv(spark, path, typed=False)
