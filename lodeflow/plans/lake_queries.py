@@ -189,7 +189,7 @@ def shown_dates(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", shown_date(then).alias("shown"))
 
 
-@query("SELECT doc_id, format('{:.1f} MB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) AS mb, format('{:.0f} KB', n_chars / 32.0 + 0.25) AS kb FROM documents")
+@query("SELECT doc_id, format('{:.1f} MB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) AS mb, format('{:.0f} KB', floor(n_chars / 32.0 + 0.75)) AS kb FROM documents")
 def shown_sizes(spark, sf_dir):
     """Sizes with one decimal in MB, with none in KB; halves go up."""
     n = F.col("n_chars")
