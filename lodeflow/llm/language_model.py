@@ -121,12 +121,17 @@ def entries(n: Column) -> Column:
     return _length(n) + 1 + F.least(_length(n), F.lit(BITS))
 
 
+def _place(x: np.ndarray, bits: int) -> np.ndarray:
+    """Bit numbers below bits from the upper half of hashes, without a division."""
+    return (((x >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)).view(np.int64)
+
+
 def _places(h: np.ndarray, salt: np.ndarray | int, bits: int) -> Iterator[np.ndarray]:
     """Bit numbers of the probes of salted n-grams within a segment, one probe after another."""
     x = mix(h + np.asarray(salt, np.uint64) * _K2)
     y = mix(x ^ _K1) | np.uint64(1)
     for i in range(PROBES):
-        yield ((x + np.uint64(i) * y) % np.uint64(bits)).astype(np.int64)
+        yield _place(x + np.uint64(i) * y, bits)
 
 
 def _branch(length: np.ndarray, depth: int, path: np.ndarray) -> np.ndarray:
@@ -168,12 +173,12 @@ class Filter:
         self.table, self.segments, self.size = table, segments, len(table) // segments
 
     def holds(self, h: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
-        bits, left = np.uint64(self.size * 8), np.arange(len(h))
+        left = np.arange(len(h))
         x = mix(h + np.asarray(salt, np.uint64) * _K2)
         y = mix(x ^ _K1) | np.uint64(1)
         base = ((h >> np.uint64(20)) % np.uint64(self.segments)).astype(np.int64) * self.size
         for i in range(PROBES):
-            at = ((x + np.uint64(i) * y) % bits).astype(np.int64)
+            at = _place(x + np.uint64(i) * y, self.size * 8)
             hit = np.flatnonzero((self.table[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
             if len(hit) < len(left):
                 left, x, y, base = left[hit], x[hit], y[hit], base[hit]
@@ -234,20 +239,32 @@ def _model_logs(h: np.ndarray, n: np.ndarray, own: np.ndarray, pair: np.ndarray,
 SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
 
 
+def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ordered keys have each hash, and whether they have it."""
+    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+    return at, keys[at] == h if len(keys) else np.zeros(len(h), bool)
+
+
 def _scores(part: pd.DataFrame, known: tuple, look_up: Callable, floor: float, base_floor: float) -> pd.DataFrame:
-    """SCORED of (row, doc_id, text). known: hashes and exact counts of the most frequent tokens, and whether these are all."""
+    """SCORED of (row, doc_id, text). known: hashes and exact counts of the most frequent tokens, and whether these are all.
+
+    look_up gives q of distinct tokens and of distinct bigrams, each in order: what a part repeats is probed once.
+    """
     keys, values, complete = known
     h, n = _tokens([utf8(t) for t in part["text"]])
     starts, own = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-    place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-    c = np.where(keys[place] == h, values[place], 0) if len(keys) else np.zeros(len(h), np.int64)
+    words, word = np.unique(h, return_inverse=True)
+    pairs, pair = np.unique(_pairs(h)[_inside(h, n)[1:]], return_inverse=True)
+    at, there = _found(keys, words)
+    c = (np.where(there, values[at], 0) if len(keys) else np.zeros(len(words), np.int64))[word]
     # tokens not among the most frequent ones: their counts come by the join
     rare = np.flatnonzero(c == 0) if not complete else np.empty(0, np.int64)
     logs = np.where((c > 0) | complete, np.log10((c + ADD) / base_floor), 0.0)
     r, k = _counted_pairs(own[rare], _signed(h)[rare])
     cuts = np.searchsorted(r[0], np.arange(len(n) + 1))
     each = lambda x: [x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    model = _model_logs(h, n, *look_up(h, _pairs(h)[_inside(h, n)[1:]]), floor)
+    of_words, of_pairs = look_up(words, pairs)
+    model = _model_logs(h, n, of_words[word], of_pairs[pair], floor)
     sums = lambda x: np.add.reduceat(x, starts)
     return pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "n_tokens": n, "n_known": sums((c > 0).astype(np.int64)), "base": sums(logs), "score": sums(model), "rare": each(r[1]), "times": each(k)})
 
@@ -265,8 +282,7 @@ def _broadcast_scores(rows: DataFrame, known: tuple, made: DataFrame, segments:
             kept["counts"] = found.counts(keys)
 
         def look_up(h: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            at, known = _found(keys, h)
             words = np.where(known, kept["counts"][at] if len(keys) else 0.0, 0.0)
             words[~known] = found.counts(h[~known])
             return words, found.counts(pairs)
@@ -317,11 +333,11 @@ def _segment_scores(rows: DataFrame, known: tuple, made: DataFrame, segments: in
             out = []
             for kind, wanted in enumerate(asked):
                 own = found[found["kind"] == kind].sort_values("segment")
-                keys = np.unique(wanted)  # as they were asked for, by segments
-                order = np.argsort(((keys >> np.uint64(20)) % np.uint64(segments)).astype(np.int64), kind="stable")
-                counts = np.empty(len(keys))
+                # as they were asked for, by segments
+                order = np.argsort(((wanted >> np.uint64(20)) % np.uint64(segments)).astype(np.int64), kind="stable")
+                counts = np.empty(len(wanted))
                 counts[order] = np.frombuffer(b"".join(own["counts"]), "<f4")
-                out.append(counts[np.searchsorted(keys, wanted)])
+                out.append(counts)
             return out
 
         return pd.concat([_scores(p, shared.value, look_up, floor, base_floor) for _, p in part.groupby("chunk")], ignore_index=True)
