@@ -26,6 +26,7 @@ come by a join with the table of all counts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -39,9 +40,23 @@ BITS = 10
 SHARE, ADD, HEAD = 0.4, 0.1, 300_000
 END = b"\n"  # no word holds a line feed
 CHUNK = 600_000
+#: Rows of an Arrow batch where texts go to workers; 10,000, which is usual, would hold a task's whole texts three times.
+BATCH_ROWS = 500
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@contextmanager
+def _small_batches(spark):
+    """Arrow batches of BATCH_ROWS rows for the steps that are written meanwhile; the session's own setting comes back."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, own)
+
+
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens in a row, each text's end included, and how many each text has."""
     words = [[*t.lower().split(), END] for t in texts]
@@ -357,14 +372,16 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     every count is 0, N is 0 and V is 0; an empty table gives no rows.
     """
     rows, learn = pick(docs, doc_id=id_col, text=text_col), pick(training, text=text_col)
-    counts = staged(unigram_counts(learn), "unigrams")
+    with _small_batches(docs.sparkSession):
+        counts = staged(unigram_counts(learn), "unigrams")
     total, distinct, floor = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(quantised(F.col("n"))), F.lit(0.0))).first()
     floor, base_floor = floor + ADD * (distinct + 1), total + ADD * (distinct + 1)
     head = _most_frequent(counts)
     top = head["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(top)
     known = (top[order], head["n"].to_numpy(np.int64)[order], distinct <= HEAD)
-    grams = staged(bigram_counts(learn), "bigrams")
+    with _small_batches(docs.sparkSession):
+        grams = staged(bigram_counts(learn), "bigrams")
     docs.sparkSession._jvm.System.gc()  # Spark deletes the shuffle files of steps that nothing refers to
     every = counts.union(grams)
     held = every.agg(F.coalesce(F.sum(entries(F.col("n"))), F.lit(0))).first()[0]
@@ -375,10 +392,10 @@ def score_documents(docs: DataFrame, training: DataFrame, id_col: str = "doc_id"
     docs.sparkSession._jvm.System.gc()
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     if held and segments * size <= FILTER_BYTES:
-        found = _broadcast_scores(numbered, known, made, segments, floor, base_floor)
+        with _small_batches(docs.sparkSession):
+            scored = staged(_broadcast_scores(numbered, known, made, segments, floor, base_floor), "scored")
     else:
-        found = _segment_scores(numbered, known, made, segments, floor, base_floor)
-    scored = staged(found, "scored")
+        scored = staged(_segment_scores(numbered, known, made, segments, floor, base_floor), "scored")
     others = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
     found = others.join(counts, F.col("token") == F.col("h"), "left").withColumn("c", F.coalesce("n", F.lit(0)))
     log = F.log10((F.col("c") + ADD) / F.lit(base_floor)) * F.col("times")
