@@ -7,6 +7,7 @@ from .mixing import op6_golden_ratio_mix
 from .near_dedup import OP8_SQL, op8_minmax_near_dedup
 from .personal_data import op7_bilstm_crf_personal_data
 from .quality import op1_zstd_quality
+from .runs import op12_suffix_automaton_runs
 from .secret_scan import op4_secret_ownership
 from .token_files import op10_rans_token_files
 from .winnowing import OP5_SQL, op5_winnowing_decontamination
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_golden_ratio_mix": op6_golden_ratio_mix,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op10_rans_token_files": op10_rans_token_files,
+    "op12_suffix_automaton_runs": op12_suffix_automaton_runs,
 }
 ORACLES = {
     "op3_host_reputation": OP3_SQL,
