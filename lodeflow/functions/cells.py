@@ -23,6 +23,8 @@ DATE_FORMATS = (
 )
 ISO = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?\z"
 ZONED = r"(Z|[+-][0-9]{2}:?[0-9]{2})\z"
+#: How a CSV cell spells booleans.
+TRUE, FALSE = ("true", "TRUE"), ("false", "FALSE")
 
 
 def trim(c: Column) -> Column:
@@ -55,10 +57,17 @@ def text_number(c: Column) -> Column:
     return F.when(c.isNotNull(), F.coalesce(plain, value))
 
 
-def number(c: Column, kind: T.DataType) -> Column:
-    """A cell of any simple type as a number: null counts 0, true 1, false 0, text as text_number reads it."""
+def cell_number(c: Column, cells: bool = False) -> Column:
+    """text_number of a text; with cells, true and false cells of a CSV file count 1 and 0."""
+    if not cells:
+        return text_number(c)
+    return F.when(c.isin(*TRUE), 1.0).when(c.isin(*FALSE), 0.0).otherwise(text_number(c))
+
+
+def number(c: Column, kind: T.DataType, cells: bool = False) -> Column:
+    """A cell of any simple type as a number: null counts 0, true 1, false 0, text as cell_number reads it."""
     if isinstance(kind, T.StringType):
-        value = text_number(c)
+        value = cell_number(c, cells)
     elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         value = F.unix_millis(c.cast("timestamp")).cast("double")
     else:
@@ -83,7 +92,7 @@ def text_kind(c: Column) -> Column:
     moment = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})\z"
     return (
         F.when(c.isNull() | (c == ""), F.lit("null"))
-        .when(c.isin("true", "TRUE", "false", "FALSE"), F.lit("boolean"))
+        .when(c.isin(*TRUE, *FALSE), F.lit("boolean"))
         .when(c.rlike(plain) & ~F.coalesce(big, F.lit(True)), F.lit("number"))
         .when(c.rlike(moment), F.lit("datetime"))
         .otherwise(F.lit("string"))
@@ -97,6 +106,9 @@ def cell_key(c: Column, kind: T.DataType, cells: bool = False) -> Column:
     """
     if isinstance(kind, T.NumericType):
         name, value = F.lit("number"), c.cast("double").cast("string")
+        if not isinstance(kind, (T.DoubleType, T.FloatType)):
+            # whole and decimal numbers that a double would round are keys of their own; no CSV cell is one
+            value = F.when(c.cast("double").try_cast("decimal(38,18)") == c.try_cast("decimal(38,18)"), value).otherwise(c.cast("string"))
     elif isinstance(kind, T.StringType) and cells:
         own = text_kind(c)
         name = F.when(own == "string", F.lit("text")).when(own != "null", own)

@@ -12,6 +12,7 @@ from lodeflow.functions import cells as readings
 from lodeflow.functions.cells import cell_key
 from lodeflow.functions.cells import text_kind as cell_kind
 from lodeflow.sources import store
+from lodeflow.sources.records import ROW
 
 OPERATIONS = ("trim", "normalize_case", "fix_types", "dedupe", "fill_missing")
 VOTE = 0.8
@@ -21,45 +22,56 @@ def _texts(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _over_texts(df: DataFrame, change) -> DataFrame:
+def _over_texts(df: DataFrame, change, cells: bool = False) -> DataFrame:
+    """Change texts; with cells, only those that read as nothing else."""
     texts = set(_texts(df))
-    return df.select(*[change(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns])
+    own = lambda c: F.when(cell_kind(c) == "string", change(c)).otherwise(c) if cells else change(c)
+    return df.select(*[own(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns])
 
 
-def profile(df: DataFrame) -> dict[str, tuple[int, int, int]]:
+def votes_of(df: DataFrame, cells: bool = False) -> DataFrame:
+    """One row: v0, v1, ...: for each text column in turn, cells that aren't missing, of these numbers, of these dates.
+
+    No number is a date, so only other texts are read as dates. The counts of parts of a dataset add up to those of the whole.
+    """
+    votes = []
+    for c in map(F.col, _texts(df)):
+        full, other = c != "", F.isnan(readings.cell_number(c, cells))
+        votes += [F.count_if(full), F.count_if(full & ~other), F.count_if(full & other & readings.text_date(c).isNotNull())]
+    return df.agg(*[v.alias(f"v{i}") for i, v in enumerate(votes)])
+
+
+def profile(df: DataFrame, cells: bool = False) -> dict[str, tuple[int, int, int]]:
     """For each text column: cells that aren't missing, of these numbers, of these dates. One aggregate, one row."""
     texts = _texts(df)
     if not texts:
         return {}
-    votes = []
-    for c in texts:
-        full = F.col(c) != ""
-        votes += [F.count_if(full), F.count_if(full & ~F.isnan(readings.text_number(F.col(c)))), F.count_if(full & readings.text_date(F.col(c)).isNotNull())]
-    row = df.agg(*[v.alias(f"v{i}") for i, v in enumerate(votes)]).first()
+    row = votes_of(df, cells).first()
     return {c: (row[3 * i], row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(texts)}
 
 
-def _fixed(c: Column, votes: tuple[int, int, int], null_dates: str) -> Column:
+def _fixed(c: Column, votes: tuple[int, int, int], null_dates: str, cells: bool = False) -> Column:
     n, numbers, dates = votes
     if n and numbers / n > VOTE:
-        return F.when(c != "", readings.text_number(c))
+        return F.when(c != "", readings.cell_number(c, cells))
     if n and dates / n > VOTE:
         shown = F.coalesce(readings.text_date(c), c)
         return F.coalesce(shown, F.lit("1970-01-01")) if null_dates == "epoch" else shown
     return c
 
 
-def fix_types(df: DataFrame, null_dates: str = "keep") -> DataFrame:
+def fix_types(df: DataFrame, null_dates: str = "keep", cells: bool = False, votes: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """Columns voted numeric (over 80 % of their cells) become doubles, failing cells NaN; else dates become yyyy-MM-dd.
 
-    The vote is an action. Booleans are numbers here: 1 and 0. null_dates="epoch" gives missing dates 1970-01-01.
+    The vote is an action, unless its counts are given. Booleans are numbers here: 1 and 0, with cells also those among
+    texts. null_dates="epoch" gives missing dates 1970-01-01.
     """
-    votes = profile(df)
+    votes = profile(df, cells) if votes is None else votes
     kinds = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in df.columns:
         if c in votes:
-            out.append(_fixed(F.col(c), votes[c], null_dates).alias(c))
+            out.append(_fixed(F.col(c), votes[c], null_dates, cells).alias(c))
         else:
             out.append(F.col(c).cast("double").alias(c) if isinstance(kinds[c], T.BooleanType) else F.col(c))
     return df.select(*out)
@@ -75,10 +87,11 @@ def dedupe(df: DataFrame, keep: str = "first", subset: list[str] | None = None,
     """Distinct rows; NaN, infinities and null count as the same. With cells, so do CSV cells that read alike (1 and 1.0).
 
     Extensions: keep "last" or "none" (drop every repeated row), a subset of columns as the key, an order column that
-    says which row is first. Without it rows are in the order they are read.
+    says which row is first. Without it that is the rows' places where df has them, else the order in which they are read.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    columns = subset or df.columns
+    columns = subset or [c for c in df.columns if c != ROW]
+    order = order or (ROW if ROW in df.columns else None)
     loose = any(isinstance(kinds[c], (T.DoubleType, T.FloatType)) or cells and isinstance(kinds[c], T.StringType) for c in columns)
     if keep == "first" and not loose and not subset and order is None:
         return df.dropDuplicates()
@@ -106,7 +119,9 @@ def fill_missing(df: DataFrame, cells: bool = False) -> DataFrame:
     mixed = {c for c, m in zip(texts, found, strict=True) if m}
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.NumericType):
+        if f.name == ROW:
+            out.append(F.col(ROW))
+        elif isinstance(f.dataType, T.NumericType):
             out.append(F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name))
         elif f.name in mixed:
             out.append(F.coalesce(F.nullif(F.col(f.name), F.lit("")), F.lit("0")).alias(f.name))
@@ -118,19 +133,20 @@ def fill_missing(df: DataFrame, cells: bool = False) -> DataFrame:
 def clean(df: DataFrame, operations: Iterable[str], null_dates: str = "keep", cells: bool = False) -> DataFrame:
     """Apply the chosen operations in their fixed order, however they are listed. Names may differ by case alone.
 
-    cells: text columns hold CSV cells, each of its own kind (see dedupe and fill_missing).
+    cells: text columns hold CSV cells, each of its own kind: only texts are cased, booleans count as numbers (see also
+    dedupe and fill_missing). Rows keep their places, if df has them.
     """
     chosen = set(operations)
     if not chosen or chosen - set(OPERATIONS):
         raise ValueError(f"operations must be some of {OPERATIONS}")
     names = df.columns
-    out = df.toDF(*[f"c{i}" for i in range(len(names))])
+    out = df.toDF(*[ROW if c == ROW else f"c{i}" for i, c in enumerate(names)])
     if "trim" in chosen:
         out = _over_texts(out, readings.trim)
     if "normalize_case" in chosen:
-        out = _over_texts(out, readings.title_case)
+        out = _over_texts(out, readings.title_case, cells)
     if "fix_types" in chosen:
-        out = fix_types(out, null_dates)
+        out = fix_types(out, null_dates, cells)
     if "dedupe" in chosen:
         out = dedupe(out, cells=cells)
     if "fill_missing" in chosen:
@@ -140,7 +156,7 @@ def clean(df: DataFrame, operations: Iterable[str], null_dates: str = "keep", ce
 
 def prepare(spark: SparkSession, root: str, layer: str, name: str, operations: Iterable[str]) -> str:
     """Clean a dataset into Silver with its metadata; returns the new dataset's name. Cells are typed one by one first."""
-    out = store.write_silver(clean(store.read_dataset(spark, root, layer, name), operations, cells=True), root, name)
+    out = store.write_silver(clean(store.read_dataset(spark, root, layer, name, ordered=True), operations, cells=True), root, name)
     known = store.load_metadata(spark, root, layer, name)
     record = {"display_name": f"{known.get('display_name') or name} (cleaned)", "owner": "Workspace", "archived": False}
     if known.get("division_override"):

@@ -10,14 +10,17 @@ from pyspark.sql import types as T
 
 from lodeflow.functions.cells import cell_key, label
 from lodeflow.sources import store
+from lodeflow.sources.records import ROW
 
+#: Names that two frames' places have during a merge.
+_PLACES = ("_place_a_", "_place_b_")
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
 
 def shared_column(a: DataFrame, b: DataFrame) -> str:
     """The first column of a that b has too, by exact name."""
     for c in a.columns:
-        if c in b.columns:
+        if c in b.columns and c != ROW:
             return c
     raise ValueError("the two datasets share no column")
 
@@ -39,12 +42,28 @@ def _kind(kind: T.DataType) -> str:
     return "boolean" if isinstance(kind, T.BooleanType) else "text" if isinstance(kind, T.StringType) else kind.simpleString()
 
 
-def _numbers(*kinds: T.DataType) -> str:
-    """The type in which numbers of these types compare: exact unless one of them is floating."""
-    if any(isinstance(k, (T.DoubleType, T.FloatType)) for k in kinds):
-        return "double"
-    scale = max(k.scale if isinstance(k, T.DecimalType) else 0 for k in kinds)
-    return f"decimal(38,{min(scale, 18)})"
+def _digits(kind: T.DataType) -> tuple[int, int]:
+    """Digits before and behind the point."""
+    return (kind.precision - kind.scale, kind.scale) if isinstance(kind, T.DecimalType) else (19, 0)
+
+
+def _as_numbers(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> tuple[Column, Column]:
+    """Both in a form in which equal numbers are equal: doubles if one is floating, else a decimal type that holds both, or,
+    where none does, their digits as text."""
+    if any(isinstance(k, (T.DoubleType, T.FloatType)) for k in (ta, tb)):
+        return a.cast("double"), b.cast("double")
+    whole, scale = map(max, zip(_digits(ta), _digits(tb), strict=True))
+    if whole + scale <= 38:
+        return tuple(c.cast(f"decimal({whole + scale},{scale})") for c in (a, b))
+
+    def digits(c: Column) -> Column:
+        t = c.cast("string")
+        sign, power = F.regexp_extract(t, r"\A-?", 0), F.regexp_extract(t, r"E-([0-9]+)\z", 1).try_cast("int")
+        small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), power - 1), F.regexp_replace(t, r"E.*|[.-]", ""))
+        plain = F.when(power.isNotNull(), small).otherwise(t)
+        return F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+\z", "")).otherwise(plain)
+
+    return digits(a), digits(b)
 
 
 def _same_key(ka: Column, ta: T.DataType, kb: Column, tb: T.DataType, cells: bool) -> Column:
@@ -54,7 +73,8 @@ def _same_key(ka: Column, ta: T.DataType, kb: Column, tb: T.DataType, cells: boo
     if ta == tb:
         return ka.eqNullSafe(kb)
     if _kind(ta) == _kind(tb) == "number":
-        return ka.cast(_numbers(ta, tb)).eqNullSafe(kb.cast(_numbers(ta, tb)))
+        x, y = _as_numbers(ka, ta, kb, tb)
+        return x.eqNullSafe(y)
     mark = lambda k, t: F.when(k.isNotNull(), F.lit(_kind(t)))
     return mark(ka, ta).eqNullSafe(mark(kb, tb)) & ka.cast("string").eqNullSafe(kb.cast("string"))
 
@@ -63,7 +83,7 @@ def _either(first: Column, t1: T.DataType, second: Column, t2: T.DataType) -> Co
     if t1 == t2:
         return F.coalesce(first, second)
     if _kind(t1) == _kind(t2) == "number":
-        return F.coalesce(first.cast(_numbers(t1, t2)), second.cast(_numbers(t1, t2)))
+        return F.coalesce(*_as_numbers(first, t1, second, t2))
     return F.coalesce(first.cast("string"), second.cast("string"))
 
 
@@ -73,12 +93,17 @@ def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None,
     Output: a's columns in order, then b's but the key, with _b on a clash; the key has b's value on right-only rows.
     right_collision="left_slot" puts b's clashing value of a right-only row into a's column instead of its own.
     cells: text keys are CSV cells, each of the kind that it reads as: the number 1 matches 1.0, and never the text "1".
+    Where both sides have their rows' places, so has the result: a's rows in order, each with b's in order, then b's alone.
     """
     if how not in JOINS:
         raise ValueError(f"how must be one of {tuple(JOINS)}")
     key = on or shared_column(a, b)
+    placed = ROW in a.columns and ROW in b.columns
+    if placed:
+        a, b = (x.withColumnRenamed(ROW, name) for x, name in ((a, _PLACES[0]), (b, _PLACES[1])))
+    a, b = (x.drop(ROW) for x in (a, b))
     an, bn = a.columns, b.columns
-    names = output_names(an, bn, key)
+    names = output_names([c for c in an if c not in _PLACES], [c for c in bn if c not in _PLACES], key)
     left = a.toDF(*[f"a{i}" for i in range(len(an))]).withColumn("pa", F.lit(True))
     right = b.toDF(*[f"b{i}" for i in range(len(bn))])
     ka, kb = an.index(key), bn.index(key)
@@ -88,6 +113,8 @@ def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None,
     only_right = F.col("pa").isNull()
     out = []
     for i, c in enumerate(an):
+        if c in _PLACES:
+            continue
         if i == ka:
             out.append(_either(F.col(f"a{i}"), ta[i], F.col(f"b{kb}"), tb[kb]))
         elif c in slots:
@@ -98,8 +125,12 @@ def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None,
         else:
             out.append(F.col(f"a{i}"))
     for j, c in enumerate(bn):
-        if j != kb:
+        if j != kb and c not in _PLACES:
             out.append(F.when(~only_right, F.col(f"b{j}")) if c in slots else F.col(f"b{j}"))
+    if placed:
+        one, two = F.col(f"a{an.index(_PLACES[0])}"), F.col(f"b{bn.index(_PLACES[1])}")
+        out.append(F.struct(only_right.alias("alone"), one.alias("left"), two.alias("right")))
+        names.append(ROW)
     return joined.select(*[c.alias(f"o{i}") for i, c in enumerate(out)]).toDF(*names)
 
 
@@ -108,9 +139,12 @@ def merge_all(frames: list[DataFrame], how: str = "inner") -> DataFrame:
     return reduce(lambda x, y: merge(x, y, how), frames)
 
 
-def preview(df: DataFrame, order: list[str], rows: int = 15) -> DataFrame:
-    """The first rows in an order, all cells as text, null as empty."""
-    shown = [F.when(F.col(f.name).isNull(), F.lit("")).otherwise(label(F.col(f.name), f.dataType)).alias(f.name) for f in df.schema.fields]
+def preview(df: DataFrame, order: list[str] | None = None, rows: int = 15) -> DataFrame:
+    """The first rows in an order, by default that of their places; all cells as text, null as empty."""
+    if order is None and ROW not in df.columns:
+        raise ValueError("a preview needs an order: rows have no places")
+    order = order or [ROW]
+    shown = [F.when(F.col(f.name).isNull(), F.lit("")).otherwise(label(F.col(f.name), f.dataType)).alias(f.name) for f in df.schema.fields if f.name != ROW]
     return df.orderBy(*order).limit(rows).select(*shown)
 
 
@@ -123,4 +157,9 @@ def merge_datasets(spark: SparkSession, root: str, first: tuple[str, str], secon
     """Merge two stored datasets, each given as (layer, name); they must differ."""
     if not first or not second or first == second:
         raise ValueError("choose two different datasets")
-    return merge(store.read_dataset(spark, root, *first), store.read_dataset(spark, root, *second), how, cells=True)
+    return merge(store.read_dataset(spark, root, *first, ordered=True), store.read_dataset(spark, root, *second, ordered=True), how, cells=True)
+
+
+def preview_dataset(spark: SparkSession, root: str, layer: str, name: str, rows: int = 15) -> DataFrame:
+    """The first rows of a stored dataset as its files have them."""
+    return preview(store.read_dataset(spark, root, layer, name, ordered=True), rows=rows)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from lodeflow.functions.display import action_of, either, thousands
 from lodeflow.operators import catalog, chart, clean, merge, validate
 from lodeflow.operators.contracts import contract_table
 from lodeflow.sources import names, store
+from lodeflow.sources.shared import shared_path
 from lodeflow.streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -381,10 +381,8 @@ def chart_measures_mixed(spark, sf_dir):
 
 
 def fresh_lake(spark) -> str:
-    from uuid import uuid4
-
-    place = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodeflow-')}").rstrip("/")
-    return f"{place}/lake-{uuid4().hex}"
+    """A new lake's root in the folder that driver and executors share; it goes when the driver's JVM ends."""
+    return shared_path(spark, "lake")
 
 
 @query("SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'a \"b\", c' ELSE ' d ' END AS note FROM customer")

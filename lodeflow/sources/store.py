@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.functions.cells import text_kind
 from lodeflow.sources import names
+from lodeflow.sources.records import ROW, records
 
 CSV_READ = {"header": True, "multiLine": True, "escape": '"', "inferSchema": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -64,20 +65,28 @@ def copy_file(spark: SparkSession, source: str, target: str) -> None:
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, spark._jsc.hadoopConfiguration())
 
 
-def read_csv(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, typed: bool = True, ordered: bool = False) -> DataFrame:
     """A CSV dataset. Typed: a column whose cells are all numbers (or all booleans, or date-times) gets that type.
 
-    That decision needs one pass over the data, as a single aggregate over all columns.
+    That decision needs one pass over the data, as a single aggregate over all columns. Ordered: files are read in blocks
+    by many tasks, and a column ROW has each row's place; else each file is one task's.
     """
-    df = spark.read.options(**CSV_READ).csv(path)
+    df = spark.read.options(**CSV_READ).csv(path)  # with ordered, only its header is read
+    if ordered:
+        found = df.columns
+        schema = ", ".join(f"c{i} string" for i in range(len(found)))
+        options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_READ.items() if k != "header"}
+        df = records(spark, path).select(ROW, F.from_csv("record", schema, options).alias("r")).select(ROW, "r.*").toDF(ROW, *found)
     return typed_cells(df) if typed else df
 
 
 def typed_cells(df: DataFrame) -> DataFrame:
-    cols = df.columns
-    plain = df.toDF(*[f"c{i}" for i in range(len(cols))])
+    cols = [c for c in df.columns if c != ROW]
     if not cols:
         return df
+    place = [ROW] if ROW in df.columns else []
+    plain = df.select(*place, *[df[c] for c in df.columns if c != ROW]) if place else df
+    plain = plain.toDF(*place, *[f"c{i}" for i in range(len(cols))])
     kinds = {"number": "double", "boolean": "boolean", "datetime": "timestamp"}
     tests = [F.count_if(text_kind(F.col(f"c{i}")) == k).alias(f"{k}{i}") for i in range(len(cols)) for k in kinds]
     full = [F.count_if(text_kind(F.col(f"c{i}")) != "null").alias(f"full{i}") for i in range(len(cols))]
@@ -86,16 +95,18 @@ def typed_cells(df: DataFrame) -> DataFrame:
     for i in range(len(cols)):
         kind = next((t for k, t in kinds.items() if seen[f"full{i}"] and seen[f"{k}{i}"] == seen[f"full{i}"]), None)
         out.append((F.nullif(F.trim(f"c{i}"), F.lit("")).try_cast(kind) if kind else F.col(f"c{i}")).alias(f"c{i}"))
-    return plain.select(*out).toDF(*cols)
+    return plain.select(*place, *out).toDF(*place, *cols)
 
 
-def read_dataset(spark: SparkSession, root: str, layer: str, name: str, typed: bool = True) -> DataFrame:
-    return read_csv(spark, names.path_of(root, layer, name), typed)
+def read_dataset(spark: SparkSession, root: str, layer: str, name: str, typed: bool = True, ordered: bool = False) -> DataFrame:
+    return read_csv(spark, names.path_of(root, layer, name), typed, ordered)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Cells as they are: no trimming, nulls and empty text both as nothing."""
-    df.select(*(columns or df.columns)).write.mode("overwrite").options(**CSV_WRITE).csv(path)
+    """Cells as they are: no trimming, nulls and empty text both as nothing. Rows that have places are written in order."""
+    chosen = columns or [c for c in df.columns if c != ROW]
+    rows = df.orderBy(ROW) if ROW in df.columns else df
+    rows.select(*chosen).write.mode("overwrite").options(**CSV_WRITE).csv(path)
 
 
 def write_silver(df: DataFrame, root: str, name: str) -> str:

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodeflow.plans.lake_queries import ORACLES, QUERIES
+from lodeflow.plans.registry import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
