@@ -14,6 +14,9 @@ from lodeflow.sources.records import ROW
 
 #: Names that two frames' places have during a merge.
 _PLACES = ("_place_a_", "_place_b_")
+#: Items that the sketch of frequent keys tracks; salts of a key at most, and so many that a key with all rows would come in
+#: PIECES pieces for each partition, which even out.
+SKETCH, MOST_SALTS, PIECES = 10_000, 10_000, 8
 JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
 
@@ -66,17 +69,17 @@ def _as_numbers(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> tuple[C
     return digits(a), digits(b)
 
 
-def _same_key(ka: Column, ta: T.DataType, kb: Column, tb: T.DataType, cells: bool) -> Column:
-    """Null matches null; values match within one kind only, never by conversion."""
+def _keys(ka: Column, ta: T.DataType, kb: Column, tb: T.DataType, cells: bool) -> tuple[Column, Column]:
+    """Both keys in a form in which the same keys are equal. Null matches null; values match within one kind only, never by
+    conversion."""
     if cells and (isinstance(ta, T.StringType) or isinstance(tb, T.StringType)):
-        return cell_key(ka, ta, True).eqNullSafe(cell_key(kb, tb, True))
+        return cell_key(ka, ta, True), cell_key(kb, tb, True)
     if ta == tb:
-        return ka.eqNullSafe(kb)
+        return ka, kb
     if _kind(ta) == _kind(tb) == "number":
-        x, y = _as_numbers(ka, ta, kb, tb)
-        return x.eqNullSafe(y)
-    mark = lambda k, t: F.when(k.isNotNull(), F.lit(_kind(t)))
-    return mark(ka, ta).eqNullSafe(mark(kb, tb)) & ka.cast("string").eqNullSafe(kb.cast("string"))
+        return _as_numbers(ka, ta, kb, tb)
+    own = lambda k, t: F.when(k.isNotNull(), F.struct(F.lit(_kind(t)).alias("kind"), k.cast("string").alias("value")))
+    return own(ka, ta), own(kb, tb)
 
 
 def _either(first: Column, t1: T.DataType, second: Column, t2: T.DataType) -> Column:
@@ -87,12 +90,54 @@ def _either(first: Column, t1: T.DataType, second: Column, t2: T.DataType) -> Co
     return F.coalesce(first.cast("string"), second.cast("string"))
 
 
-def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None, right_collision: str = "own", cells: bool = False) -> DataFrame:
+def heavy_keys(df: DataFrame, key: Column, share: float, most: int = SKETCH) -> dict[str, float]:
+    """key -> share of the rows, of the keys that more than the given share have, by a frequent-items sketch of bounded size.
+
+    The sketch's counts are estimates that it never puts under the true ones; no such key is missed as long as share is
+    over 1 / most. Keys are texts here, null among them. At most 1 / share rows reach the driver.
+    """
+    found = df.select(_named(key).alias("k")).agg(F.count("*").alias("n"), F.call_function("approx_top_k", F.col("k"), F.lit(int(1 / share) + 1), F.lit(most)).alias("top")).first()
+    return {r["item"]: r["count"] / found["n"] for r in found["top"] or [] if r["count"] > share * found["n"]}
+
+
+def _named(key: Column) -> Column:
+    """A key of any type as a text."""
+    return F.to_json(F.struct(key.alias("k")))
+
+
+def spread(left: DataFrame, right: DataFrame, ka: Column, kb: Column, share: float) -> tuple[DataFrame, DataFrame]:
+    """left and right with columns salt_ and copied_, such that rows which a join on (key, salt_) brings together are those
+    which a join on the key does.
+
+    A heavy key's rows get salts in turn on the side that has more of them; on the other side each row is copied to all
+    salts. A copy without a partner is none of the result: the side with the salts has the key, so each row copied has
+    partners under some salt.
+    """
+    shares = [heavy_keys(df, k, share) for df, k in ((left, ka), (right, kb))]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = []
+    for k in {**shares[0], **shares[1]}:
+        own = [s.get(k, 0.0) for s in shares]
+        rows.append((k, int(own[0] < own[1]), max(2, min(MOST_SALTS, round(PIECES * parts * max(own))))))
+    known = left.sparkSession.createDataFrame(rows, "heavy_ string, side_ int, salts_ int")  # at most 2 / share rows
+    out = []
+    for side, (df, key) in enumerate(((left, ka), (right, kb))):
+        joined = df.withColumn("named_", _named(key)).join(F.broadcast(known), F.col("named_") == F.col("heavy_"), "left")
+        turn = F.array((F.monotonically_increasing_id() % F.col("salts_")).cast("int"))
+        salts = F.when(F.col("heavy_").isNull(), F.array(F.lit(0))).when(F.col("side_") == side, turn).otherwise(F.sequence(F.lit(0), F.col("salts_") - 1))
+        copied = F.coalesce(F.col("side_") != side, F.lit(False))
+        out.append(joined.select(*[df[c] for c in df.columns], copied.alias("copied_"), F.explode(salts).alias("salt_")))
+    return out[0], out[1]
+
+
+def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None, right_collision: str = "own", cells: bool = False, heavy: float | None = None) -> DataFrame:
     """Join a and b on one column (by default the first shared one).
 
     Output: a's columns in order, then b's but the key, with _b on a clash; the key has b's value on right-only rows.
     right_collision="left_slot" puts b's clashing value of a right-only row into a's column instead of its own.
     cells: text keys are CSV cells, each of the kind that it reads as: the number 1 matches 1.0, and never the text "1".
+    heavy: the share of a side's rows from which on a key, null too, is spread over many tasks; finding such keys reads both
+    key columns once more. Without it such keys are left to the adaptive plan, which can't split full outer joins.
     Where both sides have their rows' places, so has the result: a's rows in order, each with b's in order, then b's alone.
     """
     if how not in JOINS:
@@ -108,7 +153,15 @@ def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None,
     right = b.toDF(*[f"b{i}" for i in range(len(bn))])
     ka, kb = an.index(key), bn.index(key)
     ta, tb = [f.dataType for f in a.schema.fields], [f.dataType for f in b.schema.fields]
-    joined = left.join(right, _same_key(F.col(f"a{ka}"), ta[ka], F.col(f"b{kb}"), tb[kb], cells), JOINS[how])
+    xa, xb = _keys(F.col(f"a{ka}"), ta[ka], F.col(f"b{kb}"), tb[kb], cells)
+    if heavy:
+        left, right = spread(left.withColumn("xa", xa), right.withColumn("xb", xb), F.col("xa"), F.col("xb"), heavy)
+        left, right = (df.withColumnsRenamed({"salt_": f"salt{s}", "copied_": f"copied{s}"}) for df, s in ((left, "a"), (right, "b")))
+        joined = left.join(right, F.col("xa").eqNullSafe(F.col("xb")) & (F.col("salta") == F.col("saltb")), JOINS[how])
+        alone = (F.col("salta").isNull() & F.col("copiedb")) | (F.col("saltb").isNull() & F.col("copieda"))
+        joined = joined.where(~F.coalesce(alone, F.lit(False)))
+    else:
+        joined = left.join(right, xa.eqNullSafe(xb), JOINS[how])
     slots = {c: bn.index(c) for c in an if c in bn and c != key} if right_collision == "left_slot" else {}
     only_right = F.col("pa").isNull()
     out = []

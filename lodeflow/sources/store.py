@@ -25,7 +25,8 @@ def object_store(endpoint: str, path_style: bool = True) -> dict[str, str]:
     return {"spark.hadoop.fs.s3a.endpoint": endpoint, "spark.hadoop.fs.s3a.path.style.access": str(path_style).lower(), "spark.hadoop.fs.s3a.aws.credentials.provider": "software.amazon.awssdk.auth.credentials.EnvironmentVariableCredentialsProvider"}
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """A path's Hadoop file system, and the path as that names it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
@@ -33,7 +34,7 @@ def _fs(spark: SparkSession, path: str):
 def reachable(spark: SparkSession, root: str) -> bool:
     """Whether the root answers; any failure counts as no."""
     try:
-        fs, p = _fs(spark, root)
+        fs, p = file_system(spark, root)
         return bool(fs.exists(p))
     except Exception:  # noqa: BLE001 - the answer to a connection test
         return False
@@ -49,7 +50,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     out = fs.create(p, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
@@ -59,8 +60,8 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 def copy_file(spark: SparkSession, source: str, target: str) -> None:
     """Byte for byte."""
-    a, p = _fs(spark, source)
-    b, q = _fs(spark, target)
+    a, p = file_system(spark, source)
+    b, q = file_system(spark, target)
     b.mkdirs(q.getParent())
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, spark._jsc.hadoopConfiguration())
 
@@ -152,16 +153,16 @@ def archive(spark: SparkSession, root: str, layer: str, name: str) -> None:
 def download(spark: SparkSession, root: str, layer: str, name: str, folder: str) -> str:
     """Copy a dataset's text out as one file, <last segment>.csv; a folder of parts is put together under one header."""
     source, target = names.path_of(root, layer, name), f"{folder.rstrip('/')}/{name.split('__')[-1]}.csv"
-    fs, p = _fs(spark, source)
+    fs, p = file_system(spark, source)
     if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
         copy_file(spark, source, target)
         return target
     parts = sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-") and f.getLen())
-    out_fs, out_path = _fs(spark, target)
+    out_fs, out_path = file_system(spark, target)
     out = out_fs.create(out_path, True)
     try:
         for k, part in enumerate(parts):
-            part_fs, part_path = _fs(spark, part)
+            part_fs, part_path = file_system(spark, part)
             stream = part_fs.open(part_path)
             try:
                 quoted, byte = False, stream.read() if k else -1
@@ -178,7 +179,7 @@ def download(spark: SparkSession, root: str, layer: str, name: str, folder: str)
 
 def metadata_table(spark: SparkSession, root: str) -> DataFrame:
     """(layer, name, display_name, owner, division_override, archived) of all records; none if there is no folder."""
-    fs, p = _fs(spark, f"{root.rstrip('/')}/{names.METADATA}")
+    fs, p = file_system(spark, f"{root.rstrip('/')}/{names.METADATA}")
     if not fs.exists(p):
         return spark.createDataFrame([], f"layer string, name string, {METADATA_SCHEMA}")
     texts = spark.read.text(p.toString(), wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", METADATA_SCHEMA).alias("m"))
