@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.display import action_of, either, megabytes, shown_date, time_ago
 from lodeflow.operators.contracts import division_labels
 from lodeflow.sources import names, store
+from lodeflow.sources.records import file_counts
+
+#: Where a lake keeps its files' counts; files counted in one job; folders of counts before they are put into one.
+COUNTS, CHUNK, FOLDERS = "counts_v3", 5000, 40
+COUNTS_SCHEMA = "path string, modified timestamp, length bigint, rows bigint, columns int"
 
 
 def _dataset(path: Column, root: str) -> Column:
@@ -62,34 +70,79 @@ def enrich(found: DataFrame, metadata: DataFrame, counts: DataFrame, labels: Dat
 
 
 def row_counts(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """(layer, name, rows, columns) of the datasets: one pass over all CSV files, whatever their headers, one over Parquet.
+    """(layer, name, rows, columns) of the datasets. Counts of files are kept in the lake; only new and changed ones are read.
+
+    CSV records are counted in blocks, the header of each file left out; columns are those of the header. Parquet files of
+    the Gold layer are counted by their footers.
+    """
+    dataset = _dataset(F.col("path"), root)
+    known = files.where(dataset.isNotNull() & (F.col("length") > 0)).select("path", F.col("modificationTime").alias("modified"), "length")
+    counts = KeptCounts(spark, f"{root.rstrip('/')}/{COUNTS}")
+    counts.follow(known)
+    own = known.join(counts.read(), ["path", "modified", "length"])
+    return own.groupBy(dataset.alias("d")).agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns")).select("d.layer", "d.name", "rows", "columns")
+
 
-    CSV records are counted by file, the header of each left out; columns are those of the header line. Parquet files of
-    the Gold layer are counted likewise; their columns come from one footer of each dataset.
+class KeptCounts:
+    """Rows and columns of files, by path, time of change and length, in a folder of their own below the lake's root.
+
+    Each reader adds what it had to count as a folder of its own, so several can at once; many folders are put into one.
     """
-    known = files.where(_dataset(F.col("path"), root).isNotNull() & (F.col("length") > 0)).select("path")
-    paths = [r[0] for r in known.collect()]  # names of files
-    own = [_csv_counts(spark, root, [p for p in paths if "/data.parquet" not in p])]
-    tables = sorted({p.split("/data.parquet")[0] for p in paths if "/data.parquet" in p})
-    if tables:
-        at = F.col("_metadata.file_path").alias("path")
-        rows = spark.read.schema("none_ string").parquet(*[f"{t}/data.parquet" for t in tables]).select(at).groupBy(_dataset(F.col("path"), root).alias("d")).agg(F.count("*").alias("rows"))
-        widths = [(t.rsplit("/", 1)[-1], len(spark.read.parquet(f"{t}/data.parquet").columns)) for t in tables]
-        named = spark.createDataFrame(widths, "n string, columns int")
-        own.append(rows.select("d.layer", "d.name", "rows").join(F.broadcast(named), F.col("name") == F.col("n")).select("layer", "name", "rows", "columns"))
-    return store.union_all(own)
-
-
-def _csv_counts(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _folders(self) -> list[str]:
+        fs, p = store.file_system(self.spark, self.path)
+        if not fs.exists(p):
+            return []
+        found = [s.getPath().toString() for s in fs.listStatus(p)]
+        return [f for f in found if fs.exists(store.file_system(self.spark, f"{f}/_SUCCESS")[1])]
+
+    def read(self) -> DataFrame:
+        folders = self._folders()
+        if not folders:
+            return self.spark.createDataFrame([], COUNTS_SCHEMA)
+        return self.spark.read.schema(COUNTS_SCHEMA).parquet(*folders).groupBy("path", "modified", "length").agg(F.max("rows").alias("rows"), F.max("columns").alias("columns"))
+
+    def _add(self, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+
+    def follow(self, files: DataFrame) -> int:
+        """Count what is new among files (path, modified, length); how many files were read. CHUNK files are taken at once."""
+        changed = files.join(self.read(), ["path", "modified", "length"], "left_anti")
+        done, rows = 0, changed.toLocalIterator()
+        while chunk := list(islice(rows, CHUNK)):
+            done += len(chunk)
+            listed = self.spark.createDataFrame(chunk, files.schema)
+            counted = [_csv_counts(self.spark, [r["path"] for r in chunk if "/data.parquet" not in r["path"]]), _parquet_counts(self.spark, [r["path"] for r in chunk if "/data.parquet" in r["path"]])]
+            self._add(listed.join(store.union_all(counted), "path").select(*files.columns, "rows", "columns"))
+        if len(folders := self._folders()) > FOLDERS:
+            self._add(self.read().join(files, ["path", "modified", "length"], "left_semi"))
+            for f in folders:
+                fs, p = store.file_system(self.spark, f)
+                fs.delete(p, True)
+        return done
+
+
+def _csv_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
-        return spark.createDataFrame([], "layer string, name string, rows long, columns int")
-    at = F.col("_metadata.file_path").alias("path")
-    records = spark.read.options(**store.CSV_READ | {"header": False}).schema("c string").csv(paths).select(at, "c").groupBy("path").agg((F.count("*") - 1).alias("rows"))
-    lines = spark.read.option("lineSep", "\n").text(paths).select(at, "value", F.monotonically_increasing_id().alias("line"))
+        return spark.createDataFrame([], "path string, rows long, columns int")
     width = F.size(F.split("header", r',(?=(?:[^"]*"[^"]*")*[^"]*\z)', -1))
-    headers = lines.groupBy("path").agg(F.min_by("value", "line").alias("header")).select(F.col("path").alias("p"), width.alias("columns"))
-    each = records.join(headers, F.col("path") == F.col("p")).select(_dataset(F.col("path"), root).alias("d"), "rows", "columns")
-    return each.groupBy("d.layer", "d.name").agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
+    return file_counts(spark, paths).select("path", "rows", width.alias("columns"))
+
+
+def _parquet_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of each file; columns by one footer of each table."""
+    if not paths:
+        return spark.createDataFrame([], "path string, rows long, columns int")
+    at = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), r"\A([a-z0-9]+):/+", "$1:/")
+    rows = spark.read.schema("none_ string").parquet(*paths).select(at.alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
+    firsts = {p.rsplit("/", 1)[0]: p for p in paths}
+    widths = spark.createDataFrame([(t, len(spark.read.parquet(p).columns)) for t, p in firsts.items()], "t string, columns int")
+    named = spark.createDataFrame([(p, p.rsplit("/", 1)[0]) for p in paths], "path string, t string").join(F.broadcast(widths), "t")
+    plain = named.withColumn("p", F.regexp_replace("path", r"\A([a-z0-9]+):/+", "$1:/"))
+    return plain.join(rows.withColumnRenamed("path", "q"), F.col("p") == F.col("q"), "left").select("path", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), "columns")
 
 
 def catalog(spark: SparkSession, root: str, include_archived: bool = False) -> DataFrame:

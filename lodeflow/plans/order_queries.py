@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeflow.operators import chart, clean, merge
+from lodeflow.operators import catalog, chart, clean, merge
 from lodeflow.plans.queries import fresh_lake, query, read
 from lodeflow.sources import store
 from lodeflow.sources.records import ROW
@@ -116,3 +116,22 @@ def merge_wide_decimals(spark, sf_dir):
     c = F.col("c_custkey")
     wide = F.when(c % 2 == 0, c.cast("decimal(38,18)")).otherwise(F.concat(c.cast("string"), F.lit(".000000000000000001")).cast("decimal(38,18)"))
     return merge.merge(a, read(spark, sf_dir, "customer").select(wide.alias("k"), "c_custkey"), "outer")
+
+
+@query("""SELECT 'first' AS look, 2 AS datasets_read, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS rows UNION ALL SELECT 'again', 0, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer)
+UNION ALL SELECT 'after a change', 1, (SELECT count(*) FROM orders) + (SELECT count(*) FROM supplier)""")
+def catalog_follows(spark, sf_dir):
+    """Counts of two datasets; looked at again, nothing is read; after one is overwritten, only its files are."""
+    root = fresh_lake(spark)
+    kept = catalog.KeptCounts(spark, f"{root}/{catalog.COUNTS}")
+    store.write_silver(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), root, "orders")
+    store.write_silver(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), root, "second")
+    looks = []
+    for look in ("first", "again", "after a change"):
+        if look == "after a change":
+            store.write_silver(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), root, "second")
+        before = {tuple(r) for r in kept.read().select("path", "modified").collect()}
+        rows = catalog.catalog(spark, root).agg(F.sum("rows")).first()[0]
+        new = {tuple(r) for r in kept.read().select("path", "modified").collect()} - before
+        looks.append((look, len({p.rsplit("/", 1)[0] for p, _ in new}), rows))
+    return spark.createDataFrame(looks, "look string, datasets_read int, rows long")

@@ -137,7 +137,16 @@ def placed_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     A block's function is constant, identity or swap. How a block starts is what the last constant one before it says,
     turned as often as swaps came since. One row a block; those of one file pass through one task, and one row a file.
     """
-    found = blocks(spark, path)
+    rows = _resolved(blocks(spark, path))
+    names = _names(spark, path)
+    totals = rows.groupBy("file").agg(F.sum("n").alias("total")).join(names, "file")
+    base = F.coalesce(F.sum(F.greatest(F.col("total") - 1, F.lit(0))).over(Window.orderBy(*_file_order(F.col("path"))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select("file", base.alias("base"))
+    return rows.join(bases, "file").select("file", "block", "inside", "n", "before", "base", "header")
+
+
+def _resolved(found: DataFrame) -> DataFrame:
+    """Blocks with inside, n and before: how each starts, so how many records begin in it, and how many before it."""
     order = Window.partitionBy("file").orderBy("block")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     fixed = F.col("end0") == F.col("end1")
@@ -148,18 +157,18 @@ def placed_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     since = F.col("turned") - F.coalesce(F.col("known.swaps"), F.lit(0))
     rows = rows.withColumn("inside", F.coalesce(F.col("known.end0"), F.lit(False)) != (since % 2 == 1))
     rows = rows.withColumn("n", F.when(F.col("inside"), F.col("n1")).otherwise(F.col("n0")))
-    rows = rows.withColumn("before", F.coalesce(F.sum("n").over(past), F.lit(0)))
-    names = _names(spark, path)
-    totals = rows.groupBy("file").agg(F.sum("n").alias("total")).join(names, "file")
-    base = F.coalesce(F.sum(F.greatest(F.col("total") - 1, F.lit(0))).over(Window.orderBy(*_file_order(F.col("path"))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("file", base.alias("base"))
-    return rows.join(bases, "file").select("file", "block", "inside", "n", "before", "base", "header")
+    return rows.withColumn("before", F.coalesce(F.sum("n").over(past), F.lit(0)))
+
+
+def file_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, rows, header of each file: its records but the header, and the header's text. One pass, in blocks."""
+    each = _resolved(blocks(spark, path)).groupBy("file").agg(F.sum("n").alias("n"), F.max("header").alias("header"))
+    return each.join(_names(spark, path), "file").select("path", F.greatest(F.col("n") - 1, F.lit(0)).alias("rows"), "header")
 
 
 def _names(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, path of all files of a dataset; nothing is read."""
-    at = F.col("_metadata.file_path")
-    return spark.read.format("binaryFile").load(path).select(F.xxhash64(at).alias("file"), at.alias("path"))
+    return spark.read.format("binaryFile").load(path).select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), "path")
 
 
 def records(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -5,10 +5,9 @@ Object stores are reached by their Hadoop connectors; credentials come from the
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeflow.functions.cells import text_kind
@@ -17,6 +16,7 @@ from lodeflow.sources.records import ROW, records
 
 CSV_READ = {"header": True, "multiLine": True, "escape": '"', "inferSchema": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+METADATA_FIELDS = ("display_name", "owner", "division_override", "archived")
 METADATA_SCHEMA = "display_name string, owner string, division_override string, archived boolean"
 
 
@@ -127,27 +127,69 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str])
     df.write.mode("overwrite").jdbc(url, table, properties=properties)
 
 
+def metadata_log(spark: SparkSession, root: str):
+    """The log of changes to metadata records. `whole` entries replace a record, others set the fields that they name."""
+    from lodeflow.sources.log import Log
+
+    return Log(spark, f"{root.rstrip('/')}/{names.METADATA_LOG}", f"layer string, name string, whole boolean, {METADATA_SCHEMA}")
+
+
+def metadata_table(spark: SparkSession, root: str) -> DataFrame:
+    """(layer, name, display_name, owner, division_override, archived) of all records; none if there are none.
+
+    One JSON file each, as other programs write them, and all later changes by the log. Changes of one record by many
+    writers at once are all there; of one field the last one is.
+    """
+    fields = METADATA_FIELDS
+    none = spark.createDataFrame([], f"layer string, name string, whole boolean, {METADATA_SCHEMA}, at bigint, line bigint")
+    fs, p = file_system(spark, f"{root.rstrip('/')}/{names.METADATA}")
+    if fs.exists(p):
+        texts = spark.read.text(p.toString(), wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", METADATA_SCHEMA).alias("m"))
+        stem = F.regexp_replace(F.url_decode("file"), r"\.json\z", "")
+        plain = texts.select(F.substring_index(stem, "__", 1).alias("layer"), F.regexp_replace(stem, r"\A[^_]*__", "").alias("name"), F.lit(True).alias("whole"), "m.*")
+        none = none.unionByName(plain.withColumns({"at": F.lit(-2).cast("long"), "line": F.lit(0).cast("long")}))
+    return _records(none.unionByName(metadata_log(spark, root).read())).select("layer", "name", *fields)
+
+
+def _records(changes: DataFrame) -> DataFrame:
+    """What changes come to: of each record, the last one that is whole and the fields set since."""
+    from lodeflow.sources.log import last_of
+
+    order = F.struct("at", "line")
+    whole = F.max(F.when(F.col("whole"), order)).over(Window.partitionBy("layer", "name"))
+    since = changes.withColumn("from_", whole).where(F.col("from_").isNull() | (order >= F.col("from_")))
+    return last_of(since, ["layer", "name"], list(METADATA_FIELDS), F.max("whole").alias("whole"))
+
+
 def load_metadata(spark: SparkSession, root: str, layer: str, name: str) -> dict:
-    """A dataset's record, {} where there is none or it can't be read."""
-    try:
-        return json.loads(read_text(spark, names.metadata_path(root, layer, name)))
-    except Exception:  # noqa: BLE001 - absent and broken records count as empty
-        return {}
+    """A dataset's record, its fields that are set; {} where there is none or it can't be read."""
+    row = metadata_table(spark, root).where((F.col("layer") == layer) & (F.col("name") == name)).first()
+    return {c: row[c] for c in METADATA_FIELDS if row[c] is not None} if row else {}
+
+
+def _change(spark: SparkSession, root: str, layer: str, name: str, whole: bool, record: dict) -> None:
+    metadata_log(spark, root).append({"layer": layer, "name": name, "whole": whole} | {c: record[c] for c in METADATA_FIELDS if record.get(c) is not None})
 
 
 def save_metadata(spark: SparkSession, root: str, layer: str, name: str, record: dict) -> None:
-    put_text(spark, names.metadata_path(root, layer, name), json.dumps(record, indent=2))
+    """Replace a dataset's record."""
+    _change(spark, root, layer, name, True, record)
 
 
 def rename(spark: SparkSession, root: str, layer: str, name: str, display_name: str) -> None:
     shown = display_name.strip()
     if not shown:
         raise ValueError("a name can't be empty")
-    save_metadata(spark, root, layer, name, load_metadata(spark, root, layer, name) | {"display_name": shown})
+    _change(spark, root, layer, name, False, {"display_name": shown})
 
 
 def archive(spark: SparkSession, root: str, layer: str, name: str) -> None:
-    save_metadata(spark, root, layer, name, load_metadata(spark, root, layer, name) | {"archived": True})
+    _change(spark, root, layer, name, False, {"archived": True})
+
+
+def compact_metadata(spark: SparkSession, root: str) -> None:
+    """Put the log's entries into a snapshot."""
+    metadata_log(spark, root).compact(_records)
 
 
 def download(spark: SparkSession, root: str, layer: str, name: str, folder: str) -> str:
@@ -177,15 +219,5 @@ def download(spark: SparkSession, root: str, layer: str, name: str, folder: str)
     return target
 
 
-def metadata_table(spark: SparkSession, root: str) -> DataFrame:
-    """(layer, name, display_name, owner, division_override, archived) of all records; none if there is no folder."""
-    fs, p = file_system(spark, f"{root.rstrip('/')}/{names.METADATA}")
-    if not fs.exists(p):
-        return spark.createDataFrame([], f"layer string, name string, {METADATA_SCHEMA}")
-    texts = spark.read.text(p.toString(), wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", METADATA_SCHEMA).alias("m"))
-    stem = F.regexp_replace(F.url_decode("file"), r"\.json\z", "")
-    return texts.select(F.substring_index(stem, "__", 1).alias("layer"), F.regexp_replace(stem, r"\A[^_]*__", "").alias("name"), "m.*")
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
