@@ -41,10 +41,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFr
     return rows.withColumn("target", F.least(cap, F.max("level").over(every) * F.col("weight"))).drop("level")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block: int = 128, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block: int = 128, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix's documents and its schedule.
 
-    documents: row, doc_id, source, size, source_size, target, taken. schedule: slot, rank, source, doc_id, row, epoch,
+    documents: row, doc_id, source, size, source_size, target, taken, first_slot (null if nothing is taken), slots. row is
+    row_col, which must tell rows apart and be 64-bit, or a number of its own. schedule: slot, rank, source, doc_id, row, epoch,
     first_word, last_word (exclusive), one row for each piece of a document in a slot's block.
 
     Sources in code-point order, null last, have the weights in turn. Defined cases: a null or wordless text has size 0
@@ -53,9 +54,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     size and row; other columns, however named, are not read. Reruns agree: order depends on doc_id and seed alone.
     """
     spark = docs.sparkSession
-    rows = pick(docs, doc_id=id_col, text=text_col, source=source_col)
+    rows = pick(docs, doc_id=id_col, text=text_col, source=source_col, **({"row": row_col} if row_col else {}))
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = staged(rows.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    sized = staged(rows.select("doc_id", "source", size.alias("size"), (F.col("row") if row_col else F.monotonically_increasing_id()).alias("row")), "sizes")
     by_source = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, most), "sources")
     sources, n_docs, total = by_source.agg(F.count("*"), F.sum("docs"), F.sum("source_size")).first()
     few = F.broadcast if sources <= SMALL else lambda df: df
@@ -87,12 +88,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     pieces = pieces.withColumn("first_word", F.greatest(F.lit(0), bound(F.col("k")) - F.col("from"))).withColumn("last_word", F.least(F.col("size"), bound(F.col("k") + 1) - F.col("from"))).where("first_word < last_word")
     keyed = ranked.select("slot", F.col("sid").alias("s"), "rank")
     schedule = pieces.join(keyed, (F.col("sid") == F.col("s")) & (F.col("k") == F.col("rank"))).select("slot", "rank", "source", "doc_id", "row", "epoch", "first_word", "last_word")
-    used = schedule.select("row", (F.col("last_word") - F.col("first_word")).alias("words")).groupBy("row").agg(F.sum("words").alias("taken")).withColumnRenamed("row", "r")
-    documents = place.join(used, F.col("row") == F.col("r"), "left").select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    used = schedule.select("row", "slot", (F.col("last_word") - F.col("first_word")).alias("words")).groupBy("row")
+    used = used.agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.size(F.collect_set("slot")).alias("slots")).withColumnRenamed("row", "r")
+    documents = place.join(used, F.col("row") == F.col("r"), "left").select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("slots", F.lit(0)).cast("long").alias("slots"))
     return documents, schedule
 
 
 def op6_golden_ratio_mix(spark, sf_dir):
     from .common import table
 
-    return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots")

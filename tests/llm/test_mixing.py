@@ -40,14 +40,43 @@ def test_targets_and_takes(spark):
 def test_reruns_agree(spark, data):
     a, b = (sorted(map(tuple, op6_golden_ratio_mix(spark, data).collect())) for _ in "12")
     assert a == b
-    by = {}
-    for _, _, size, target, taken in a:
-        x = by.setdefault((size, target), [0])
-        x[0] += taken
-    assert all(abs(x[0] - target) <= 1 for (_, target), x in by.items())
-    # a second way: the words of each source, in hashed order, read round until the target
-    docs = {r["doc_id"]: (r["text"] or "", r["source"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    assert all(size == len([w for w in docs[i][0].encode().split()]) for i, size, *_ in a)
+
+
+def test_takes_of_the_driver_table(spark, data):
+    """A second way: the words of each source, documents in hashed order, read round until the target."""
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source", F.xxhash64("doc_id", F.lit(6)).alias("h")).collect()
+    size = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in rows}
+    got = {r["doc_id"]: r for r in op6_golden_ratio_mix(spark, data).collect()}
+    assert all(got[i]["size"] == size[i] for i in size)
+    sources = sorted({r["source"] for r in rows})
+    sizes = {s: sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources}
+    want = water(sizes, {s: (1, 2, 3)[k % 3] for k, s in enumerate(sources)})
+    for s in sources:
+        left = round(want[s])
+        own = sorted((r for r in rows if r["source"] == s), key=lambda r: (r["h"], r["doc_id"]))
+        taken = dict.fromkeys((r["doc_id"] for r in own), 0)
+        for _ in range(3):
+            for r in own:
+                n = min(left, size[r["doc_id"]])
+                taken[r["doc_id"]] += n
+                left -= n
+        assert {i: got[i]["taken"] for i in taken} == taken
+        assert all((got[i]["slots"] > 0) == (n > 0) == (got[i]["first_slot"] is not None) for i, n in taken.items())
+
+
+def test_every_prefix_is_near_the_targets(spark, data):
+    """The schedule's discrepancy: in each run of slots from the first, each source has its share, within a few slots."""
+    docs, schedule = mix(spark.read.parquet(f"{data}/documents.parquet"), block=32)
+    target = {r["source"]: r["target"] for r in docs.select("source", "target").distinct().collect()}
+    slots = [r["source"] for r in schedule.groupBy("slot").agg(F.first("source").alias("source")).orderBy("slot").collect()]
+    seen, most = dict.fromkeys(target, 0), 0.0
+    for n, s in enumerate(slots, 1):
+        seen[s] += 1
+        most = max(most, *(abs(seen[x] - n * t / sum(target.values())) for x, t in target.items()))
+    assert len(slots) > 1000 and most < 6
+    # and each slot's block has a slot's words
+    words = [r["w"] for r in schedule.groupBy("slot").agg(F.sum(F.col("last_word") - F.col("first_word")).alias("w")).collect()]
+    assert min(words) >= 30 and max(words) <= 34
 
 
 def test_golden_points(spark):

@@ -41,6 +41,15 @@ def test_decisions(spark, data, steps):
     good = steps[0].join(labels, "doc_id", "left_semi")
     assert len(ids(good) - ids(steps[1])) <= 0.05 * good.count()
     assert steps[4].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    # the mix: a document as often as its words are taken, in the schedule's order
+    from lodeflow.llm.mixing import mix
+
+    taken = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mix(steps[3])[0].where("size > 0").collect()}
+    found = [r["doc_id"] for r in steps[4].collect()]
+    assert {i: found.count(i) for i in set(found)} == {i: n for i, n in taken.items() if n}
+    first = {r["doc_id"]: r["first_slot"] for r in mix(steps[3])[0].where("taken > 0").collect()}
+    order = [first[i] for k, i in enumerate(found) if i not in found[:k]]
+    assert order == sorted(order)
     assert steps[5].count() == steps[4].count()
 
 
@@ -48,6 +57,19 @@ def test_run(spark, data, steps):
     assert sorted(map(tuple, cp.run(spark, data).collect())) == sorted(map(tuple, steps[-1].collect()))
 
 
+def test_rows_without_ids_are_mixed_each_for_itself(spark, data):
+    """Words of each source are near its target, also where rows share an id or have none."""
+    rows = [(None, f"{'w ' * (5 + i % 3)}", "en", "abc"[i % 3], 0) for i in range(40)] + [(7, f"v{i} " * 4, "en", "b", 0) for i in range(12)] + [(i, "x " * (1 + i % 9), "en", "c", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    from lodeflow.llm.mixing import mix
+
+    target = {r["source"]: r["target"] for r in mix(docs)[0].select("source", "target").distinct().collect()}
+    got = cp.mixing_stage(spark, docs, data)
+    words = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert all(abs(words[s] - t) <= 10 for s, t in target.items())
+    assert got.groupBy("doc_id", "text", "source").count().count() <= len(rows)
+
+
 @pytest.mark.parametrize("which", ["edge", "empty"])
 def test_edges(spark, data, request, which):
     docs = request.getfixturevalue(which)
