@@ -52,11 +52,18 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document occurs as often as the mix takes its words: taken / size, rounded; wordless documents go."""
-    docs = documents(docs)
-    taken = mix(docs)[0].where("size > 0").groupBy(F.col("doc_id").alias("own")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
-    columns = [docs[c] for c in docs.columns]
-    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("own"))).select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_")).drop("copy_")
+    """The documents in the order of the mix's schedule: each stands where the slot of its first block does.
+
+    A document is there once for each epoch in which the mix takes at least half of its words, so as often as taken / size,
+    rounded. Rows are told apart by their place in docs, which is read twice: it has to be a table of files, as between
+    stages. Wordless documents go; rows without doc_id, of a shared one and repeated ones are documents each for itself.
+    """
+    docs = documents(docs).withColumn("row_", F.monotonically_increasing_id())
+    schedule = mix(docs, row_col="row_")[1]
+    own = schedule.groupBy(F.col("row").alias("own_"), "epoch").agg(F.min("slot").alias("slot_"), F.sum(F.col("last_word") - F.col("first_word")).alias("words_"))
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    taken = docs.join(own, F.col("row_") == F.col("own_")).where(2 * F.col("words_") >= size)
+    return taken.orderBy("slot_", "row_", "epoch").select(*[docs[c] for c in docs.columns if c != "row_"])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
