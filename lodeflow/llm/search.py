@@ -214,7 +214,8 @@ def search(index: Index, items: DataFrame, k: int = TOP, id_col: str = "item_id"
     found: DataFrame | None = None
     for first in range(0, (-1 if most is None else most) + 1, block):
         own = asked.where(F.col("item").between(first, first + block - 1)).join(weights, F.col("term") == F.col("t"))
-        own = own.groupBy("t", "w").agg(F.collect_list("item").alias("items"))  # at most `block` items
+        # at most `block` items; written, so that Spark knows its size and sends it to all workers where it is small
+        own = staged(own.groupBy("t", "w").agg(F.collect_list("item").alias("items")), "asked")
         hits = index.postings.join(own, F.col("term") == F.col("t")).select("segment", "term", "places", "impacts", "tfs", "ids", "w", "items")
         heads = index.postings.where("term is null").select("segment", "term", "places", "impacts", "tfs", "ids", F.lit(None).cast("long").alias("w"), F.lit(None).cast("array<bigint>").alias("items"))
         best = staged(hits.union(heads).groupBy("segment").applyInPandas(lambda part: _best(part, k), "item bigint, doc_id bigint, score bigint"), "best")
