@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from lodeflow.operators import merge
+from lodeflow.operators import discover, merge
 from lodeflow.plans.queries import fresh_lake, query, read
-from lodeflow.sources.store import CSV_WRITE
+from lodeflow.sources.store import CSV_WRITE, put_text
 from lodeflow.streaming.flow import Flow
+from lodeflow.streaming.monitor import runs
 
 
 def _arrives(df, root, batch):
@@ -70,3 +72,31 @@ def merge_skewed_outer(spark, sf_dir):
     c = F.col("c_custkey")
     b = read(spark, sf_dir, "customer").select(F.when(c == 5, None).when(c == 6, 7).otherwise(c).alias("k"), "c_name")
     return merge.merge(a, b, "outer", heavy=0.05)
+
+
+@query("SELECT 'first' AS job, 'ended' AS state, 2 AS runs, 2 AS batches, count(*) AS orders_kept FROM orders UNION ALL SELECT 'second', 'ended', 2, 2, count(*) FROM orders UNION ALL SELECT 'third', 'failed', 1, 0, count(*) FROM orders")
+def job_monitor(spark, sf_dir):
+    """Extension: what the monitor has of two runs and of one that fails, each of two streams at most."""
+    root = fresh_lake(spark)
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(k.cast("string").alias("k"))
+    flow = Flow(spark, f"{root}/in/*", ["k"], f"{root}/out", ["trim", "dedupe"])
+    for batch, job in enumerate(("first", "second")):
+        _arrives(rows.where(k % 2 == batch), root, batch)
+        flow.run(f"{root}/jobs", job)
+    put_text(spark, f"{root}/broken/votes", "a file where the votes' folder should be")
+    try:
+        Flow(spark, f"{root}/in/*", ["k"], f"{root}/broken", ["dedupe"]).run(f"{root}/jobs", "third")
+    except StreamingQueryException:
+        pass
+    kept = flow.read().count()
+    seen = runs(spark, f"{root}/jobs").groupBy("job", "state").agg(F.count("*").cast("int").alias("runs"), F.sum("batches").cast("int").alias("batches"))
+    return seen.withColumn("orders_kept", F.lit(kept).cast("long"))
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderpriority, c_name, c_nationkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def merge_by_content(spark, sf_dir):
+    """Extension: four tables that share no column's name, joined by what their columns hold."""
+    tables = [read(spark, sf_dir, t) for t in ("orders", "region", "nation", "customer")]
+    out = discover.merge_by_content(tables)
+    return out.select("o_orderkey", "o_custkey", "o_orderpriority", "c_name", "c_nationkey", "n_name", "r_name")

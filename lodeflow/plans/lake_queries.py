@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.functions.display import kilobytes, shown_date, shown_megabytes
 from lodeflow.operators import catalog, chart, clean, merge, validate
-from lodeflow.operators.contracts import contract_of
+from lodeflow.operators.contracts import contract_table
 from lodeflow.plans.queries import ORACLES, QUERIES, fresh_lake, query, read
 from lodeflow.sources import names, store
 from lodeflow.streaming.incremental import progress, run_incremental
@@ -196,7 +196,7 @@ def shown_sizes(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", shown_megabytes(n * 1024).alias("mb"), kilobytes(n * 32 + 256).alias("kb"))
 
 
-@query("""SELECT c_custkey + 0.0::DOUBLE AS whole, c_acctbal::DOUBLE AS decimal_, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 2 = 0 END AS flag, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'x' END AS mixed, 'number' AS kind_even, 'string' AS kind_odd FROM customer""")
+@query("""SELECT c_custkey + 0.0::DOUBLE AS whole, c_acctbal::DOUBLE AS decimal_, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 2 = 0 END AS flag, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'x' END AS mixed, CASE WHEN c_custkey % 2 = 0 THEN 'number' ELSE 'string' END AS kind FROM customer""")
 def csv_typed(spark, sf_dir):
     """Columns of numbers and of booleans get their types, mixed ones stay cells of several kinds."""
     from lodeflow.functions.cells import text_kind
@@ -206,7 +206,7 @@ def csv_typed(spark, sf_dir):
     flag = F.when(k % 5 != 0, F.when(k % 2 == 0, "true").otherwise("FALSE"))
     rows = read(spark, sf_dir, "customer").select(k.alias("whole"), F.col("c_acctbal").alias("decimal_"), flag.alias("flag"), F.when(k % 2 == 0, k.cast("string")).otherwise("x").alias("mixed"))
     back = store.read_dataset(spark, root, "Silver", store.write_silver(rows, root, "typed"))
-    return back.withColumns({"kind_even": text_kind(F.when(F.col("mixed") != "x", F.col("mixed")).otherwise("1")), "kind_odd": text_kind(F.lit("x"))})
+    return back.withColumn("kind", text_kind(F.col("mixed")))
 
 
 @query("SELECT c_custkey % 2 AS batch, CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS segment FROM customer")
@@ -249,11 +249,11 @@ def catalog_kept(spark, sf_dir):
     return spark.createDataFrame(seen, "read_ string, datasets long")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) = 1")
+@query("SELECT o_orderkey, o_custkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderpriority) = 1")
 def clean_keep_none(spark, sf_dir):
-    """Extension: customers that share nation and segment with no other."""
-    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return clean.dedupe(rows, "none", ["c_nationkey", "c_mktsegment"]).select("c_custkey", "c_nationkey")
+    """Extension: orders that share customer and priority with no other."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return clean.dedupe(rows, "none", ["o_custkey", "o_orderpriority"]).select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT label, total FROM (SELECT o_orderstatus AS label, count(*) * 0.0 AS total, min(o_orderkey) AS first_ FROM orders GROUP BY 1)
@@ -272,8 +272,12 @@ def _first_window():
     return Window.partitionBy("o_custkey").orderBy("o_orderkey")
 
 
-@query("SELECT division_id, type_id, array_to_string(required, ',') AS required FROM (VALUES ('finance', 'invoice_summary', ['invoice_date', 'region', 'amount']), ('customer_service', 'satisfaction_survey', ['survey_date', 'customer_id', 'score']), ('finance', 'nothing', NULL)) t(division_id, type_id, required)")
+@query("""WITH c(division_id, type_id, required) AS (VALUES ('finance', 'invoice_summary', 'invoice_date,region,amount'), ('customer_service', 'satisfaction_survey', 'survey_date,customer_id,score')),
+a AS (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN 'customer_service' ELSE 'finance' END AS division_id, CASE n_nationkey % 3 WHEN 0 THEN 'invoice_summary' WHEN 1 THEN 'satisfaction_survey' ELSE 'nothing' END AS type_id FROM nation)
+SELECT n_nationkey, division_id, type_id, required FROM a LEFT JOIN c USING (division_id, type_id)""")
 def contract_lookup(spark, sf_dir):
-    asked = (("finance", "invoice_summary"), ("customer_service", "satisfaction_survey"), ("finance", "nothing"))
-    rows = [(*a, ",".join(c.required) if (c := contract_of(*a)) else None) for a in asked]
-    return spark.createDataFrame(rows, "division_id string, type_id string, required string")
+    """Each nation asks for a contract; a third of them for one that doesn't exist."""
+    k = F.col("n_nationkey") % 3
+    asked = read(spark, sf_dir, "nation").select("n_nationkey", F.when(k == 1, "customer_service").otherwise("finance").alias("division_id"), F.when(k == 0, "invoice_summary").when(k == 1, "satisfaction_survey").otherwise("nothing").alias("type_id"))
+    known = contract_table(spark).select("division_id", "type_id", F.array_join("required_columns", ",").alias("required"))
+    return asked.join(F.broadcast(known), ["division_id", "type_id"], "left").select("n_nationkey", "division_id", "type_id", "required")

@@ -204,10 +204,10 @@ def clean_pipeline(spark, sf_dir):
     return clean.clean(rows, ["fill_missing", "dedupe", "fix_types", "normalize_case", "trim"])
 
 
-_FILES = (("ok", "invoice_date,region,amount", 2), ("short", "invoice_date,region", 1), ("twice", "invoice_date,region,amount,region", 1), ("none", " invoice_date ,region,amount", 0), ("empty", "  ", 0))
+_HEADERS = ("invoice_date,region,amount", "invoice_date,region", "invoice_date,region,amount,region", " invoice_date ,region,amount", "  ")
 
 
-@query("""WITH f(file, header, n) AS (VALUES ('ok', 'invoice_date,region,amount', 2), ('short', 'invoice_date,region', 1), ('twice', 'invoice_date,region,amount,region', 1), ('none', ' invoice_date ,region,amount', 0), ('empty', '  ', 0)),
+@query(f"""WITH f AS (SELECT 'nation ' || c_nationkey AS file, {list(_HEADERS)!r}[c_nationkey % 5 + 1] AS header, CASE WHEN c_nationkey % 5 < 3 THEN count(*) ELSE 0 END AS n FROM customer GROUP BY c_nationkey),
 h AS (SELECT file, n, list_transform(string_split(header, ','), lambda x: trim(x)) AS hs, trim(header) = '' AS blank FROM f),
 c AS (SELECT file, blank, n, list_filter(['invoice_date', 'region', 'amount'], lambda r: NOT list_contains(hs, r)) AS missing, len(hs) - len(list_distinct(hs)) AS twice FROM h)
 SELECT file, 'File is empty.' AS message, false AS ok FROM c WHERE blank
@@ -215,10 +215,14 @@ UNION ALL SELECT file, CASE WHEN twice = 0 THEN 'No duplicate columns.' ELSE 'Du
 UNION ALL SELECT file, CASE WHEN len(missing) = 0 THEN 'All required columns present (invoice_date, region, amount).' ELSE 'Missing required column(s): ' || array_to_string(missing, ', ') END, len(missing) = 0 FROM c WHERE NOT blank
 UNION ALL SELECT file, CASE WHEN n > 0 THEN n || ' data row(s) found.' ELSE 'File has a header but no data rows.' END, n > 0 FROM c WHERE NOT blank""")
 def validate_contract(spark, sf_dir):
-    files = spark.createDataFrame(_FILES, "file string, header string, n int")
-    need = contract_table(spark).where("type_id = 'invoice_summary'").select("required_columns")
-    found = validate.checks(F.col("header"), F.col("n"), F.col("required_columns"))
-    return files.join(F.broadcast(need)).select("file", F.explode(found).alias("c")).select("file", "c.message", "c.ok")
+    """A file for each nation, with its customers as data lines and one of several headers."""
+    k = F.col("c_nationkey")
+    header = F.get(F.array(*map(F.lit, _HEADERS)), k % 5)
+    files = read(spark, sf_dir, "customer").groupBy(k).agg(F.count("*").alias("n"))
+    files = files.select(F.concat(F.lit("nation "), k.cast("string")).alias("file"), header.alias("header"), F.when(k % 5 < 3, F.col("n")).otherwise(0).alias("n"))
+    need = contract_table(spark).where("type_id = 'invoice_summary'").select("required_columns").first()[0]
+    found = validate.checks(F.col("header"), F.col("n"), F.array(*map(F.lit, need)))
+    return files.select("file", F.explode(found).alias("c")).select("file", "c.message", "c.ok")
 
 
 @query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(p_type), 'an') OR contains(lower(p_brand), 'an')
@@ -290,16 +294,17 @@ def stream_windowed_counts(spark, sf_dir):
     return out.withColumn("begins", F.col("begins").cast("timestamp_ntz"))
 
 
-@query(None)
+@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS dataset, true AS has_bytes")
 def file_listing(spark, sf_dir):
-    return store.listing(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    """The tables' own files: a table is a file or a folder of parts."""
+    table = F.regexp_extract("path", r"/([^/]+\.parquet)(/[^/]*)?\z", 1)
+    return store.listing(spark, sf_dir).groupBy(table.alias("dataset")).agg((F.sum("length") > 0).alias("has_bytes"))
 
 
-@query("SELECT layer, action FROM (VALUES ('Bronze', 'was uploaded'), ('Silver', 'was cleaned in Prepare'), ('Gold', 'was created in Merge'), ('x', 'was updated')) t(layer, action)")
+@query("""SELECT event_type, CASE event_type WHEN 'click' THEN 'was uploaded' WHEN 'view' THEN 'was cleaned in Prepare' WHEN 'signup' THEN 'was created in Merge' ELSE 'was updated' END AS action, count(*) AS n FROM events GROUP BY 1""")
 def activity_words(spark, sf_dir):
-    rows = spark.createDataFrame([("Bronze",), ("Silver",), ("Gold",), ("x",)], "layer string")
-    return rows.select("layer", action_of(F.col("layer")).alias("action"))
-
+    layer = F.when(F.col("event_type") == "click", "Bronze").when(F.col("event_type") == "view", "Silver").when(F.col("event_type") == "signup", "Gold").otherwise("x")
+    return read(spark, sf_dir, "events").groupBy("event_type", action_of(layer).alias("action")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT least(count(*), 15) AS shown, count(*) AS total, format('{:,}', count(*)) AS title FROM orders")

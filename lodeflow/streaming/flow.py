@@ -20,6 +20,7 @@ from lodeflow.operators.clean import OPERATIONS, _over_texts, dedupe, fill_missi
 from lodeflow.sources.records import ROW
 from lodeflow.sources.store import file_system
 from lodeflow.streaming.incremental import bronze_stream
+from lodeflow.streaming.monitor import JobMonitor
 
 #: The state of keys lives on the executors' disks, in changelogs in the checkpoint, not in their heaps.
 STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
@@ -114,8 +115,9 @@ class Flow:
             df = _over_texts(df, readings.trim)
         return _over_texts(df, readings.title_case, True) if "normalize_case" in self.operations else df
 
-    def run(self) -> None:
-        """Take the files that are new since the last run. The session's own settings stay as they are."""
+    def run(self, jobs: str | None = None, job: str = "flow") -> None:
+        """Take the files that are new since the last run. The session's own settings stay as they are. jobs: a folder that
+        keeps what the monitor sees, under the job's name."""
         own = self.spark.newSession()
         for k, v in STATE.items():
             own.conf.set(k, v)
@@ -133,9 +135,20 @@ class Flow:
         if "dedupe" in self.operations:
             # rows of equal texts stay equal whatever the types; 256 bits tell all others apart
             once = rows.withColumn("key_", F.unhex(F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(self.columns)])), 256))).dropDuplicates(["key_"])
-        for name, stream, each in (("count", rows, count), ("keep", once, keep)):
-            query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.target}/marks/{name}").trigger(availableNow=True).start()
-            query.awaitTermination()
+        monitor = JobMonitor(self.spark, jobs, job) if jobs else None
+        if monitor:
+            own.streams.addListener(monitor)
+        begun = []
+        try:
+            for name, stream, each in (("count", rows, count), ("keep", once, keep)):
+                query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.target}/marks/{name}").trigger(availableNow=True).start()
+                begun.append(str(query.runId))
+                query.awaitTermination()
+        finally:
+            if monitor:
+                for run in begun:
+                    monitor.wait(run)
+                own.streams.removeListener(monitor)
 
     def read(self) -> DataFrame:
         """The dataset, as clean() would make it of all files: types by all votes, of rows that are equal then the first. No rows
