@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.functions.display import action_of, either, megabytes, shown_date, time_ago
 from lodeflow.operators.contracts import division_labels
-from lodeflow.sources import names, store
+from lodeflow.sources import names, store, versions
 from lodeflow.sources.records import file_counts
 
 #: Where a lake keeps its files' counts; files counted in one job; folders of counts before they are put into one.
@@ -19,9 +19,10 @@ COUNTS_SCHEMA = "path string, modified timestamp, length bigint, rows bigint, co
 
 
 def _dataset(path: Column, root: str) -> Column:
-    """(layer, name, division_id) of a file below root; null for files that belong to no dataset.
+    """(layer, name, division_id, version) of a file below root; null for files that belong to no dataset.
 
-    Bronze: <division>/<type>/<stub>.csv. Silver and Gold: <name>/data.csv or data.parquet, a file or a folder of parts.
+    Bronze: <division>/<type>/<stub>.csv. Silver and Gold: <name>/data.csv or data.parquet, a file or a folder of parts;
+    versions of a Silver dataset lie in a folder beside that.
     """
     plain = lambda c: F.regexp_replace(c, r"\A[a-z0-9]+:/*", "/")
     base = F.concat(F.lit(r"\A\Q"), plain(F.lit(root.rstrip("/"))), F.lit(r"\E/"))
@@ -30,13 +31,24 @@ def _dataset(path: Column, root: str) -> Column:
     bronze = rel.startswith(f"{names.PREFIXES['Bronze']}/") & rel.endswith(".csv") & (F.size(parts) == 4)
     stub = F.regexp_replace(F.get(parts, F.lit(3)), r"\.csv\z", "")
     division = F.get(parts, F.lit(1))
-    out = F.when(bronze, F.struct(F.lit("Bronze").alias("layer"), F.concat_ws("__", division, F.get(parts, F.lit(2)), stub).alias("name"), division.alias("division_id")))
+    none = F.lit(None).cast("string")
+    out = F.when(bronze, F.struct(F.lit("Bronze").alias("layer"), F.concat_ws("__", division, F.get(parts, F.lit(2)), stub).alias("name"), division.alias("division_id"), none.alias("version")))
+    version = rf"\A{names.PREFIXES['Silver']}/(.+)/{names.VERSIONS}/([0-9a-f]{{32}})/data\.csv/part-[^/]*\z"
+    out = out.when(rel.rlike(version), F.struct(F.lit("Silver").alias("layer"), F.regexp_extract(rel, version, 1).alias("name"), none.alias("division_id"), F.regexp_extract(rel, version, 2).alias("version")))
     for layer in ("Silver", "Gold"):
         pattern = rf"\A{names.PREFIXES[layer]}/(.+)/data\.(csv|parquet)(/part-[^/]*)?\z"
-        out = out.when(rel.rlike(pattern), F.struct(F.lit(layer).alias("layer"), F.regexp_extract(rel, pattern, 1).alias("name"), F.lit(None).cast("string").alias("division_id")))
+        out = out.when(rel.rlike(pattern), F.struct(F.lit(layer).alias("layer"), F.regexp_extract(rel, pattern, 1).alias("name"), none.alias("division_id"), none.alias("version")))
     return out
 
 
+def visible(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """The listed files that belong to datasets as they are now: of one with versions, those of the current one only."""
+    known = files.withColumn("d", _dataset(F.col("path"), root)).where("d is not null")
+    now = versions.current(spark, root).select(F.col("layer").alias("vl"), F.col("name").alias("vn"), "folder")
+    own = known.join(now, (F.col("d.layer") == F.col("vl")) & (F.col("d.name") == F.col("vn")), "left")
+    return own.where(F.col("d.version").eqNullSafe(F.col("folder"))).select(*files.columns)
+
+
 def entries(files: DataFrame, root: str) -> DataFrame:
     """(layer, name, division_id, last_modified, size_bytes) of the datasets among listed files."""
     known = files.withColumn("d", _dataset(F.col("path"), root)).where("d is not null").select("d.*", "modificationTime", "length")
@@ -146,7 +158,7 @@ def _parquet_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def catalog(spark: SparkSession, root: str, include_archived: bool = False) -> DataFrame:
-    files = store.listing(spark, root)
+    files = visible(spark, root, store.listing(spark, root))
     return enrich(entries(files, root), store.metadata_table(spark, root), row_counts(spark, root, files), division_labels(spark), include_archived)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: The layers' prefixes.
 PREFIXES = {"Bronze": "bronze_v3", "Silver": "silver_v3", "Gold": "gold_v3"}
 METADATA, METADATA_LOG = "metadata_v3", "metadata_log_v3"
+VERSIONS, VERSIONS_LOG = "versions", "versions_log_v3"
 
 
 def sanitize(c: Column) -> Column:

@@ -5,6 +5,7 @@ Object stores are reached by their Hadoop connectors; credentials come from the
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -99,8 +100,15 @@ def typed_cells(df: DataFrame) -> DataFrame:
     return plain.select(*place, *out).toDF(*place, *cols)
 
 
-def read_dataset(spark: SparkSession, root: str, layer: str, name: str, typed: bool = True, ordered: bool = False) -> DataFrame:
-    return read_csv(spark, names.path_of(root, layer, name), typed, ordered)
+def dataset_path(spark: SparkSession, root: str, layer: str, name: str, version: int | None = None) -> str:
+    """Where a dataset's text is: of a cleaned one its current version, or the one that it had at a number of the log."""
+    from lodeflow.sources import versions
+
+    return versions.path_of(spark, root, layer, name, version)
+
+
+def read_dataset(spark: SparkSession, root: str, layer: str, name: str, typed: bool = True, ordered: bool = False, version: int | None = None) -> DataFrame:
+    return read_csv(spark, dataset_path(spark, root, layer, name, version), typed, ordered)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -110,10 +118,21 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     rows.select(*chosen).write.mode("overwrite").options(**CSV_WRITE).csv(path)
 
 
-def write_silver(df: DataFrame, root: str, name: str) -> str:
-    """Overwrite the cleaned dataset of a name; its own name is the sanitised last segment and _cleaned."""
-    out = f"{names.sanitized(name.split('__')[-1])}_cleaned"
-    write_csv(df, names.path_of(root, "Silver", out))
+def silver_name(name: str) -> str:
+    return f"{names.sanitized(name.split('__')[-1])}_cleaned"
+
+
+def write_silver(df: DataFrame, root: str, name: str, based_on: int | None = None) -> str:
+    """Overwrite the cleaned dataset of a name; its own name is the sanitised last segment and _cleaned.
+
+    The rows are written as a new version, which becomes the current one at once when it is whole; df may read the dataset
+    itself. With based_on, the version that df was made from, a later one of someone else is not replaced (versions.Conflict).
+    """
+    from lodeflow.sources import versions
+
+    out, folder = silver_name(name), uuid.uuid4().hex
+    write_csv(df, versions.folder_of(root, "Silver", out, folder))
+    versions.commit(df.sparkSession, root, "Silver", out, folder, based_on)
     return out
 
 
@@ -194,7 +213,7 @@ def compact_metadata(spark: SparkSession, root: str) -> None:
 
 def download(spark: SparkSession, root: str, layer: str, name: str, folder: str) -> str:
     """Copy a dataset's text out as one file, <last segment>.csv; a folder of parts is put together under one header."""
-    source, target = names.path_of(root, layer, name), f"{folder.rstrip('/')}/{name.split('__')[-1]}.csv"
+    source, target = dataset_path(spark, root, layer, name), f"{folder.rstrip('/')}/{name.split('__')[-1]}.csv"
     fs, p = file_system(spark, source)
     if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
         copy_file(spark, source, target)
