@@ -8,7 +8,7 @@ from lodeflow.functions.display import kilobytes, shown_date, shown_megabytes
 from lodeflow.operators import catalog, chart, clean, merge, validate
 from lodeflow.operators.contracts import contract_table
 from lodeflow.plans.queries import ORACLES, QUERIES, fresh_lake, query, read
-from lodeflow.sources import names, store
+from lodeflow.sources import names, store, versions
 from lodeflow.streaming.incremental import progress, run_incremental
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -281,3 +281,33 @@ def contract_lookup(spark, sf_dir):
     asked = read(spark, sf_dir, "nation").select("n_nationkey", F.when(k == 1, "customer_service").otherwise("finance").alias("division_id"), F.when(k == 0, "invoice_summary").when(k == 1, "satisfaction_survey").otherwise("nothing").alias("type_id"))
     known = contract_table(spark).select("division_id", "type_id", F.array_join("required_columns", ",").alias("required"))
     return asked.join(F.broadcast(known), ["division_id", "type_id"], "left").select("n_nationkey", "division_id", "type_id", "required")
+
+
+@query("""SELECT 'first' AS read_, o_orderstatus, count(*) AS rows FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 2
+UNION ALL SELECT 'second', o_orderstatus, count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'second by number', o_orderstatus, count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'last', 'x' || o_orderstatus, count(*) FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 2
+UNION ALL SELECT 'listed', 'orders_cleaned', count(*) FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'conflicts', NULL, 1""")
+def silver_versions(spark, sf_dir):
+    """A cleaned dataset written three times, the last time from itself: a reader of the first version keeps it while the
+    others are written, versions are read by number, the catalog counts the current one, a stale write is refused."""
+    root, orders = fresh_lake(spark), read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    by_status = lambda df, label: df.groupBy("o_orderstatus").agg(F.count("*").alias("rows")).select(F.lit(label).alias("read_"), "o_orderstatus", "rows")
+    name = store.write_silver(orders.where("o_orderkey % 2 = 0"), root, "orders")
+    first = store.read_dataset(spark, root, "Silver", name)
+    store.write_silver(orders, root, "orders")
+    number = versions.version(spark, root, "Silver", name)
+    second = store.read_dataset(spark, root, "Silver", name)
+    third = second.where(F.col("o_orderkey") % 3 == 0).withColumn("o_orderstatus", F.concat(F.lit("x"), "o_orderstatus"))
+    store.write_silver(third, root, "orders", based_on=number)
+    refused = 0
+    try:
+        store.write_silver(orders, root, "orders", based_on=number)
+    except versions.Conflict:
+        refused = 1
+    listed = catalog.catalog(spark, root).select(F.lit("listed"), "name", "rows")
+    shown = [by_status(first, "first"), by_status(second, "second"), by_status(store.read_dataset(spark, root, "Silver", name, version=number), "second by number"), by_status(store.read_dataset(spark, root, "Silver", name), "last"), listed]
+    for df in shown[1:]:
+        shown[0] = shown[0].union(df)
+    return shown[0].union(spark.createDataFrame([("conflicts", None, refused)], "read_ string, o_orderstatus string, rows long"))

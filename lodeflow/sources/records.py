@@ -171,6 +171,26 @@ def _names(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), "path")
 
 
+def lines_after(spark: SparkSession, paths: list[str], skip: int) -> DataFrame:
+    """line: the lines of files as they are, in the files' and their own order, but the first ones of each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = None, 0
+        for batch in batches:
+            for file, block, lines in _blocks_of(iter([batch])):
+                seen = seen if (file, block) == own else 0
+                own, first = (file, block), min(len(lines), max(0, skip - seen)) if block == 0 else 0
+                places = np.arange(seen + first, seen + len(lines))
+                seen += len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), file)), pa.array(np.full(len(places), block)), pa.array(places), lines.slice(first)], ["file", "block", "place", "line"])
+
+    ship(spark)
+    rows = _lines(spark, paths).mapInArrow(run, "file bigint, block bigint, place bigint, line string")
+    order = Window.orderBy(*_file_order(F.col("path")))
+    parts = _names(spark, paths).select(F.col("file").alias("f"), F.row_number().over(order).alias("part"))  # one row a file
+    return rows.join(F.broadcast(parts) if len(paths) <= SMALL else parts, F.col("file") == F.col("f")).orderBy("part", "block", "place").select("line")
+
+
 def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """_row_, record: the text of each record but each file's first, its header. Blank lines are no records.
 

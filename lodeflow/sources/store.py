@@ -212,13 +212,74 @@ def compact_metadata(spark: SparkSession, root: str) -> None:
 
 
 def download(spark: SparkSession, root: str, layer: str, name: str, folder: str) -> str:
-    """Copy a dataset's text out as one file, <last segment>.csv; a folder of parts is put together under one header."""
+    """Copy a dataset's text out as one file, <last segment>.csv; a folder of parts is put together under one header: by
+    tasks and the file system where that can link files (HDFS, local disks), else by a stream through the driver."""
     source, target = dataset_path(spark, root, layer, name), f"{folder.rstrip('/')}/{name.split('__')[-1]}.csv"
     fs, p = file_system(spark, source)
     if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
         copy_file(spark, source, target)
         return target
     parts = sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-") and f.getLen())
+    if len(parts) == 1:
+        copy_file(spark, parts[0], target)
+    elif not parts or not _joined(spark, parts, target):
+        _streamed(spark, parts, target)
+    return target
+
+
+def _skip_header(stream) -> bytes:
+    """Read a part's first line, its header; a quoted name may hold line feeds."""
+    out, quoted, byte = bytearray(), False, stream.read()
+    while byte >= 0:
+        out.append(byte)
+        if byte == 10 and not quoted:
+            break
+        quoted ^= byte == 34
+        byte = stream.read()
+    return bytes(out)
+
+
+def _joined(spark: SparkSession, parts: list[str], target: str) -> bool:
+    """Put parts together under one header without the driver: tasks write the parts' other lines, in their order, and the
+    file system links the pieces. False, and nothing done, where it can't link."""
+    fs, p = file_system(spark, target)
+    local = fs.getUri().getScheme() == "file"
+    plain = fs.getRawFileSystem() if local else fs  # files with checksums beside them can't be linked
+    if not plain.hasPathCapability(p, "fs.capability.paths.concat"):
+        return False
+    from lodeflow.sources.records import lines_after
+
+    part_fs, part_path = file_system(spark, parts[0])
+    stream = part_fs.open(part_path)
+    try:
+        header = _skip_header(stream)
+    finally:
+        stream.close()
+    folder = f"{target}.{uuid.uuid4().hex}"
+    lines_after(spark, parts, header.count(b"\n")).write.option("lineSep", "\n").option("compression", "none").text(folder)
+    head = file_system(spark, f"{folder}/head")[1]
+    out = plain.create(head, True)
+    try:
+        out.write(bytearray(header))
+    finally:
+        out.close()
+    pieces = sorted(f.getPath().toString() for f in fs.listStatus(file_system(spark, folder)[1]) if f.getPath().getName().startswith("part-") and f.getLen())
+    pieces = [file_system(spark, piece)[1] for piece in pieces]
+    whole = file_system(spark, f"{folder}/whole")[1] if local else head
+    sources = [head, *pieces] if local else pieces  # local files: into a new one; others: onto the first
+    if sources:
+        array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(sources))
+        for i, source in enumerate(sources):
+            array[i] = source
+        plain.concat(whole, array)
+    fs.delete(p, False)
+    plain.rename(whole, p)
+    fs.delete(file_system(spark, folder)[1], True)
+    return True
+
+
+def _streamed(spark: SparkSession, parts: list[str], target: str) -> None:
+    """The same through the driver, for stores that can't link files; a stream, nothing is held."""
     out_fs, out_path = file_system(spark, target)
     out = out_fs.create(out_path, True)
     try:
@@ -226,16 +287,13 @@ def download(spark: SparkSession, root: str, layer: str, name: str, folder: str)
             part_fs, part_path = file_system(spark, part)
             stream = part_fs.open(part_path)
             try:
-                quoted, byte = False, stream.read() if k else -1
-                while byte >= 0 and (quoted or byte != 10):  # each part has the header; a quoted name may hold a line feed
-                    quoted ^= byte == 34
-                    byte = stream.read()
+                if k:
+                    _skip_header(stream)
                 spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
             finally:
                 stream.close()
     finally:
         out.close()
-    return target
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -104,3 +104,30 @@ def test_incremental(spark, tmp_path):
     run_incremental(spark, str(folder), ["k", "v"], target, mark)
     run_incremental(spark, str(folder), ["k", "v"], target, mark)
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(target).collect()) == [("1", "x"), ("2", "y")]
+
+
+def test_download_of_parts(spark, tmp_path):
+    """Parts put together by tasks and the file system have the bytes that the stream gives; parts of many blocks too."""
+    root = f"file://{tmp_path}/lake"
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit('x\n"'), F.col("id").cast("string"))).when(F.col("id") % 3 == 1, F.concat(F.lit(" é,"), F.col("id").cast("string"))).otherwise(F.lit(None))
+    rows = spark.range(700).select("id", text.alias('two\nlines, "quoted"'), F.lit("k").alias("k")).repartition(5)
+    name = store.write_silver(rows, root, "a")
+    own = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = store.download(spark, root, "Silver", name, f"file://{tmp_path}/out")
+        again = store.download(spark, root, "Silver", name, f"file://{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", own[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", own[1])
+    fs, p = store.file_system(spark, store.dataset_path(spark, root, "Silver", name))
+    parts = sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+    store._streamed(spark, parts, f"file://{tmp_path}/streamed.csv")
+    assert len(parts) > 1 and got == again
+    assert (tmp_path / "out" / f"{name}.csv").read_bytes() == (tmp_path / "streamed.csv").read_bytes()
+    assert [f.name for f in (tmp_path / "out").iterdir() if not f.name.startswith(".")] == [f"{name}.csv"]
+    assert store.read_csv(spark, got).count() == 700
+    # only headers; one part
+    for k, rows in enumerate((rows.where("id < 0"), rows.where("id < 3").coalesce(1))):
+        assert store.read_csv(spark, store.download(spark, root, "Silver", store.write_silver(rows, root, f"few{k}"), f"file://{tmp_path}/out")).count() == 3 * k
