@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -82,3 +83,12 @@ def test_query(spark, data):
     for r, d in zip(out, docs, strict=True):
         counts, spans = base(d["text"])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == counts and r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_many_matches_in_a_text(spark):
+    """Places of 20,000 matches of each kind; the time grows with their number, not with its square."""
+    word = lambda k: f"{k:08d}"
+    texts = ["".join(f"é token={word(k)} {hashlib.md5(word(k).encode()).hexdigest()} " for k in range(n)) for n in (63, 64, 65, 129, 4000, 20_000)]
+    start = time.monotonic()
+    check(scan(spark, texts)[0], texts)
+    assert time.monotonic() - start < 60
