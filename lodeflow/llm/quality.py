@@ -4,9 +4,10 @@ A text is cut into pieces of PIECE bytes. Each is compressed under the good and
 normalised difference of the sizes, (bad - good) / (bad + good), over the text and over its pieces, and the compression
 ratios become a score by a logistic calibration fitted on labelled documents which the dictionaries have not seen.
 
-Labelled documents come as a bounded sample (the first PER_CLASS documents of each label by a hash of their id). The
-dictionaries learn from up to EXCERPT characters of each, as pieces chosen by a hash from anywhere in the text; the
-calibration uses the features of whole texts, computed inside tasks, and every document is scored whole.
+Labelled documents come as a bounded sample (the first PER_CLASS documents of each label by a hash of their id). All pieces
+of half of them are candidates for the dictionaries, and PIECES of each label are taken by a hash, from any place of any
+text alike; the calibration uses the features of the other half's whole texts, computed inside tasks. Every document is
+scored whole.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hashed, parts_of, pick, portions, ship, utf8
+from .common import crc_mod, parts_of, pick, portions, ship, utf8
 
 PIECE, DICTIONARY, LEVEL = 512, 112 << 10, 3
 FEATURES = 15
-PER_CLASS, EXCERPT = 1500, 8000
+PER_CLASS, PIECES = 1500, 12_000
 
 
 @dataclass
@@ -81,18 +82,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return centre, scale, w
 
 
-def _pieces(text: str, excerpt: int) -> str:
-    """The text, or of a longer one excerpt characters: stretches of PIECE, those of the least hashes, in their order."""
-    if len(text) <= excerpt:
-        return text
-    parts = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
-    order = np.argsort(hashed([b"%d %s" % (i, utf8(p)) for i, p in enumerate(parts)]), kind="stable")
-    return "".join(parts[i] for i in sorted(order[: max(1, excerpt // PIECE)]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, excerpt: int = EXCERPT) -> Compressors:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, pieces: int = PIECES) -> Compressors:
     """Dictionaries from half of a bounded sample of labelled documents, calibration on the other half.
 
+    Bounds: per_class documents of each label, pieces of PIECE bytes of each label. Null and empty texts have no pieces; of
+    rows that share an id the calibration takes one, the one with the least features (ties), and an id with two labels counts
+    as good; other columns are not read.
     Nothing learnt (no labelled rows, or of one class only): empty dictionaries are not possible, so a fixed neutral text
     stands in, and the score is the labels' mean (0.5 without any).
     """
@@ -109,30 +104,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chosen = top if chosen is None else chosen.union(top)
     sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
 
+    teaches = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_of(batches, 2_000_000):
-            part["text"] = [_pieces(t, excerpt) for t in part["text"]]
-            yield part
-
-    # of the rows that share an id, one goes to the driver
-    taught = sample.mapInPandas(cut, sample.schema).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).toPandas().sort_values("doc_id")
-    good, bad = (taught[taught["label"] == k] for k in (1, 0))
-    if len(good) < 4 or len(bad) < 4:
-        p = min(max(taught["label"].mean() if len(taught) else 0.5, 0.01), 0.99)
+            for label, text in zip(part["label"], part["text"], strict=True):
+                raw = utf8(text)
+                own = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+                yield pd.DataFrame({"label": np.full(len(own), label), "piece": own})
+
+    cuts = sample.where(teaches).mapInPandas(cut, sample.select("label", F.lit(b"").alias("piece")).schema)
+    own = F.xxhash64("piece", F.lit(3))
+    # top rows by a hash: each task sends pieces of them, at most
+    taken = {k: [bytes(r["piece"]) for r in cuts.where(F.col("label") == k).orderBy(own, "piece").limit(pieces).collect()] for k in (1, 0)}
+    sizes = dict(sample.where(~teaches).groupBy("label").agg(F.count_distinct("doc_id")).collect())
+    if any(not taken[k] or sizes.get(k, 0) < 2 for k in (0, 1)):
+        n = sum(counts.values())
+        p = min(max(counts.get(1, 0) / n if n else 0.5, 0.01), 0.99)
         return Compressors(b"neutral text ", b"neutral text ", np.zeros(FEATURES), np.ones(FEATURES), np.array([np.log(p / (1 - p)), *[0.0] * FEATURES]))
-    dictionaries = [_dictionary([utf8(t) for t in part["text"][::2]]) for part in (good, bad)]
-    held = pd.concat([good[1::2], bad[1::2]])["doc_id"].tolist()
-    shared = docs.sparkSession.sparkContext.broadcast((set(held), dictionaries))
+    dictionaries = [_dictionary(taken[k]) for k in (1, 0)]
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, found = shared.value
         for part in parts_of(batches, 2_000_000):
-            part = part[part["doc_id"].isin(ids)]
-            x = _features([utf8(t) for t in part["text"]], *found)
+            x = _features([utf8(t) for t in part["text"]], *shared.value)
             yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "x": list(x)})
 
     schema = sample.select("doc_id", "label", F.array(F.lit(0.0)).alias("x")).schema
-    measured = sample.mapInPandas(measure, schema).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
+    measured = sample.where(~teaches).mapInPandas(measure, schema).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     truth = measured["label"].to_numpy(float)
     centre, scale, w = _calibrate(np.stack(measured["x"].to_list()), truth)
     # the sample is balanced by class: move the intercept to the classes' shares among all labelled rows
@@ -140,11 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Compressors(*dictionaries, centre, scale, w)
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """DICTIONARY bytes of dictionary content: what zstandard's trainer finds, or the texts themselves if they are few."""
+def _dictionary(pieces: list[bytes]) -> bytes:
+    """DICTIONARY bytes of dictionary content: what zstandard's trainer finds, or the pieces themselves if they are few."""
     import zstandard
 
-    pieces = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY, [p for p in pieces if len(p) > 7]).as_bytes()
     except zstandard.ZstdError:
@@ -165,7 +163,10 @@ def score_quality(docs: DataFrame, model: Compressors, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, model: Compressors, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score is at least the given one; decided where the rows stand, without a shuffle."""
+    """The rows of docs, all columns, whose score is at least the given one; decided where the rows stand, without a shuffle.
+
+    Null and empty texts are scored as texts without pieces; repeated rows and ties are all kept or all go; a very long text
+    is scored whole; columns may share names; an empty table gives none."""
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -65,3 +65,34 @@ def test_learns_from_whole_texts(spark):
     df = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
     scores = {r["doc_id"]: r["score"] for r in score_quality(df, fit(df, df)).collect()}
     assert min(scores[i] for i, *_ in good) > 0.5 > max(scores[i] for i, *_ in bad)
+
+
+def test_all_of_a_long_text_teaches(spark):
+    """One document a class holds, behind a million characters, what tells the classes apart; no piece of it is out of reach."""
+    same = " ".join(f"plain opening {k % 50} line" for k in range(50_000))
+    good = [(i, (same if i == 0 else "") + " ".join(f"river stone meadow {i % 7} lantern {k}" for k in range(40)), 1) for i in range(30)]
+    bad = [(100 + i, (same if i == 0 else "") + " ".join(f"BUY!! NOW!! {k}$$$" for k in range(60)), 0) for i in range(30)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+    scores = {r["doc_id"]: r["score"] for r in score_quality(df, fit(df, df)).collect()}
+    assert min(scores[i] for i, *_ in good[1:]) > 0.5 > max(scores[i] for i, *_ in bad[1:])
+
+
+def test_dictionaries_matter(spark, larger):
+    """Without dictionaries that tell the classes apart, the same calibration orders held-out documents worse."""
+    from lodeflow.llm import quality
+    from lodeflow.llm.common import crc_mod
+
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    learned, held = (labels.where(crc_mod("doc_id", 5) != 0), labels.where(crc_mod("doc_id", 5) == 0).toPandas())
+    model = fit(docs, learned)
+    own = quality._dictionary
+    quality._dictionary = lambda pieces: b"neutral text "
+    try:
+        blind = fit(docs, learned)
+    finally:
+        quality._dictionary = own
+    assert blind.good == blind.bad == b"neutral text " and model.good != model.bad
+    found = [score_quality(docs, m).toPandas().merge(held, on="doc_id") for m in (model, blind)]
+    areas = [auc(f["score"].to_numpy(), f["quality"].to_numpy()) for f in found]
+    print(areas)
+    assert areas[0] > 0.9 and areas[0] >= areas[1]
