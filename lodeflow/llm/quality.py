@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, parts_of, pick, portions, ship, utf8
@@ -102,9 +102,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = min(1.0, (2 * per_class + 500) / max(1, counts.get(label, 0)))
         top = ids.where((F.col("label") == label) & (F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))).orderBy(h, "own").limit(per_class)
         chosen = top if chosen is None else chosen.union(top)
-    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    # each label's documents teach and calibrate in turn, in the order of their ids; at most per_class rows a window
+    chosen = chosen.withColumn("half", F.row_number().over(Window.partitionBy("label").orderBy("own")) % 2)
+    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("own")).select("doc_id", "label", "half", F.coalesce("text", F.lit("")).alias("text"))
 
-    teaches = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0
+    teaches = F.col("half") == 1
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_of(batches, 2_000_000):
