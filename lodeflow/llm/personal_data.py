@@ -1,24 +1,29 @@
 """Personal data: patterns for the base spans, and a character BiLSTM with CRF transitions, trained in numpy, for more.
 
 The tagger learns from labelled spans of two sources: what the patterns find in a bounded sample of windows (SAMPLE
-windows at most), and MADE windows of invented text in which such data stands in spellings that the patterns miss (spelled
-out at signs, other separators, no plus) among numbers that are none of these. It reads windows of WIDTH characters, STEP
-apart, over the stretches of a text that hold a digit, an at sign, a plus or the word "at", with CONTEXT characters
-around. Each window is decoded by Viterbi; every character then takes its tag from the window in which it stands nearest
-to the middle, over the whole text, and spans are read off that one tagging. Spans that overlap a base span give way.
+windows at most, of about POOL documents chosen by a hash of their text), and MADE windows of that sample's own text in
+which such data stands in spellings that the patterns miss: values which the patterns found, or invented ones with words
+of the corpus as names, amid dates, versions, licences, hexadecimal runs and the like, which are none. It reads windows of
+WIDTH characters, STEP apart, over the stretches of a text that hold a digit, an at sign, a plus or the word "at", with
+CONTEXT characters around; no span without one of these is plausible. Each window is decoded by Viterbi; every character
+then takes its tag from the window in which it stands nearest to the middle, over the whole text. Spans read off that one
+tagging grow to whole words and must be plausible for their kind (an address has an at and a dot, a card's digits pass the
+Luhn check, no number is the middle of a longer word). Spans that overlap a base span give way.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_of, pick, staged
+from .common import parts_of, pick
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -29,7 +34,7 @@ PATTERNS = (
     re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 WIDTH, STEP, CONTEXT = 64, 32, 24
-HIDDEN, EMBEDDED, ROUNDS, BATCH, RATE, SAMPLE, MADE = 16, 8, 300, 48, 0.02, 3000, 2500
+HIDDEN, EMBEDDED, ROUNDS, BATCH, RATE, POOL, SAMPLE, MADE = 16, 8, 400, 64, 0.02, 32_000, 3000, 3500
 TRIGGER = re.compile(r"[0-9@+]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 #: Character classes: 0 stands for what lies outside the text.
 CLASSES = ["", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *"abcdefghijklmnopqrstuvwxyz", *"@.+-() %_,:/=\"'#$&*!\n[]"]
@@ -56,6 +61,7 @@ def _accepted(kind: int, match: str) -> bool:
     return 16 <= len(digits) <= 19 and _luhn(digits) if kind == 2 else 8 <= len(digits) <= 15
 
 
+_DIGITS = frozenset("0123456789")
 #: For scans in linear time: an address is sought from its at sign, a dotted number from the start of its digits alone.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
@@ -88,38 +94,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _spelling(draw: np.random.Generator) -> tuple[int, str]:
-    """A kind, and an invented value of it in a spelling that the patterns miss; or -1 and a number that is of no kind."""
+def _written_apart(draw: np.random.Generator, kind: int, value: str) -> str:
+    """A value of a kind, as the patterns would match it, in another spelling that they miss."""
     pick = lambda *xs: xs[draw.integers(len(xs))]
+    if kind == 0:
+        at, dot = pick((" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" @ ", "."), (" AT ", " DOT "), (" at ", "."), ("{at}", "{dot}"), (" @ ", " . "))
+        name, _, host = value.partition("@")
+        return name + at + host.replace(".", dot)
+    digits = re.sub("[^0-9]", "", value)
+    if kind == 1:
+        return pick(" . ", "[.]", "(.)", " dot ", "[dot]", " .").join(value.split("."))
+    if kind == 2:
+        return pick(".", "/", "_", " - ", "  ").join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    mark, far, near = pick("-", ".", " ", "/"), digits[:-7], digits[-7:]
+    return pick(f"({far}) {near[:3]}-{near[3:]}", f"{far}{mark}{near[:3]}{mark}{near[3:]}", f"00{far} {near}", f"0{far}{mark}{near}", f"0{far}/{near}", f"({far}) {near[:3]} {near[3:]}")
+
+
+def _value(draw: np.random.Generator, kind: int, words: list[str]) -> str:
+    """An invented value of a kind; names are words of the corpus."""
+    pick = lambda *xs: xs[draw.integers(len(xs))]
+    word = lambda: words[draw.integers(len(words))]
     digits = lambda n: "".join(map(str, draw.integers(0, 10, n)))
-    word = lambda a, b: "".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(a, b)))
-    kind = int(draw.integers(-2, 4))
     if kind == 0:
-        at, dot = pick((" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" @ ", "."), (" AT ", " DOT "), (" at ", "."))
-        name = word(3, 9) + pick("", ".", "_") + word(2, 7) + pick("", digits(2))
-        return 0, f"{name}{at}{word(3, 10)}{dot}{pick('com', 'org', 'net', 'de', 'info')}"
+        return f"{word()}{pick('', '.', '_', '-')}{word()}{pick('', '', digits(2))}@{word()}{pick('', '-' + word())}.{pick('com', 'org', 'net', 'de', 'info', 'co.uk', 'edu', 'fr')}".lower()
     if kind == 1:
-        return 1, pick(" . ", "[.]", ", ", "-", "(.)").join(str(x) for x in draw.integers(1, 256, 4))
+        return ".".join(str(x) for x in draw.integers(0, 256, 4))
     if kind == 2:
-        return 2, pick(".", "/", "_", " - ", "  ").join(digits(4) for _ in range(4))
-    if kind == 3:
-        mark = pick("-", ".", " ", "/")
-        return 3, pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}{mark}{digits(3)}{mark}{digits(4)}", f"00{digits(2)} {digits(3)} {digits(7)}", f"0{digits(2)}{mark}{digits(7)}", f"0{digits(4)}/{digits(6)}")
-    year = str(draw.integers(1950, 2040))
-    return -1, pick(f"{year}-0{draw.integers(1, 10)}-{digits(2)}", f"{digits(1)}/{digits(2)}/{year}", year, f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)},{digits(3)}.{digits(2)}", digits(int(draw.integers(1, 8))), f"v{digits(1)}.{digits(2)}.{digits(1)}", f"#{digits(5)}", f"{word(2, 5)}{digits(3)}", f"at {word(3, 9)}", f"{digits(2)} at {word(2, 6)} {word(3, 7)}")
+        stem = digits(15)
+        return next(stem + c for c in "0123456789" if _luhn(stem + c))
+    return f"+{digits(int(draw.integers(9, 13)))}"
+
+
+_HEX = "0123456789abcdef"
+_WORDLIKE = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"
 
 
-def made_windows(n: int = MADE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of invented words around invented values, with their tags."""
+def _other(draw: np.random.Generator, words: list[str]) -> str:
+    """Something with digits, dots or the word "at" that is no personal data."""
+    pick = lambda *xs: xs[draw.integers(len(xs))]
+    word = lambda: words[draw.integers(len(words))]
+    digits = lambda n: "".join(map(str, draw.integers(0, 10, n)))
+    code = lambda alphabet, n: "".join(alphabet[c] for c in draw.integers(0, len(alphabet), n))
+    year, n = str(draw.integers(1950, 2040)), int(draw.integers(1, 8))
+    forms = (
+        lambda: f"{year}-0{draw.integers(1, 10)}-{digits(2)}",
+        lambda: f"{digits(1)}/{digits(2)}/{year}",
+        lambda: pick(year, f"{year}-{year}", f"({pick('c', 'C')}) {year}"),
+        lambda: f"{digits(2)}:{digits(2)}:{digits(2)}",
+        lambda: f"{digits(1)},{digits(3)}.{digits(2)}",
+        lambda: digits(n),
+        lambda: pick("v", "version ", "") + pick(f"{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(1)}.{digits(1)}"),
+        lambda: pick(f"#{digits(5)}", f"{word()}{digits(3)}", f"{digits(2)}.{digits(1)}%"),
+        lambda: pick(f"at {word()}", f"{digits(2)} at {word()} {word()}", f"{word()} at {word()}. {word().title()}"),
+        lambda: f"{word()} at {pick('www.', 'http://', 'www.')}{word()}.{pick('com', 'org', 'de')}",
+        lambda: f"Licensed under {pick('CC BY-NC', 'CC BY', 'CC BY-SA', 'GPL', 'Apache')} {digits(1)}.0",
+        lambda: code(_HEX, int(draw.integers(16, 50))),
+        lambda: code(_WORDLIKE[:36], int(draw.integers(12, 30))),
+        lambda: code(_WORDLIKE, int(draw.integers(12, 40))),
+        lambda: "-".join(code(_HEX, k) for k in (8, 4, 4, 4, 12)),
+        lambda: pick("key=", "id: ", "sha ") + code(_HEX, 24),
+        lambda: ", ".join(digits(2) for _ in range(n)),
+        lambda: pick(f"@{word()}", f"{word()}@", f"{digits(1)} + {digits(1)} = {digits(2)}"),
+    )
+    return forms[draw.integers(len(forms))]()
+
+
+def made_windows(sample: list[tuple[str, bytes]], n: int = MADE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the sample's own text, with values that the patterns find there, or invented ones, spelled otherwise, and with things that are none."""
     draw = np.random.default_rng(seed)
+    carriers = [w for w, t in sample if not any(t)] or ["and then we read the page again before it was late"]
+    words = sorted({w for c in carriers for w in re.findall("(?<![A-Za-z])[a-z]{3,10}(?![A-Za-z])", c)}) or ["page", "note", "reader"]
+    values: list[list[str]] = [[] for _ in KINDS]
+    for text, tags in sample:
+        for kind, a, b in reconcile(len(text), [0], np.frombuffer(tags, np.uint8)[None].astype(np.int64)):
+            if b < WIDTH and _accepted(kind, text[a:b]) and PATTERNS[kind].fullmatch(text[a:b]):
+                values[kind].append(text[a:b])
     chars, tags = [], []
     for _ in range(n):
         text, spans = "", []
         while len(text) < WIDTH + 20:
-            text += "".join("".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(1, 9))) + " ,."[0 if draw.random() < 0.9 else draw.integers(1, 3)] * 1 + " " * (draw.random() < 0.1) for _ in range(draw.integers(1, 5)))
-            text += "" if text.endswith(" ") else " "
-            kind, value = _spelling(draw)
-            if kind >= 0:
+            carrier = carriers[draw.integers(len(carriers))]
+            start = int(draw.integers(0, max(1, len(carrier) - 8)))
+            text += carrier[start : start + int(draw.integers(4, 40))].rstrip() + " "
+            kind = int(draw.integers(-4, len(KINDS)))
+            own = values[kind] if kind >= 0 else []
+            if kind < 0:
+                value = _other(draw, words)
+            else:
+                value = own[draw.integers(len(own))] if own and draw.random() < 0.5 else _value(draw, kind, words)
+                value = _written_apart(draw, kind, value)
                 spans.append((kind, len(text), len(text) + len(value)))
             text += value + " ,.;"[draw.integers(0, 4)] + " "
         start = int(draw.integers(0, len(text) - WIDTH + 1))
@@ -165,30 +228,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
-
-
 def new_model(seed: int = 7) -> dict[str, np.ndarray]:
     draw, h, d = np.random.default_rng(seed), HIDDEN, EMBEDDED
     model = {"e": draw.normal(0, 0.3, (OTHER + 1, d)), "o": draw.normal(0, 0.2, (2 * h, TAGS)), "ob": np.zeros(TAGS), "t": np.zeros((TAGS, TAGS)), "s": np.zeros(TAGS)}
-    for way in "fb":
-        model[f"w{way}"] = draw.normal(0, 0.25, (d + h, 4 * h))
-        model[f"b{way}"] = np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])
+    model["w"] = draw.normal(0, 0.25, (2, d + h, 4 * h))
+    model["b"] = np.tile(np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]), (2, 1))
     return model
 
 
+def _both_ways(x: np.ndarray) -> np.ndarray:
+    """(steps, rows, k) -> (steps, 2, rows, k): as it stands, and from its end."""
+    return np.stack([x, x[::-1]], 1)
+
+
 def _lstm(x: np.ndarray, w: np.ndarray, b: np.ndarray, keep: list | None) -> np.ndarray:
-    """Hidden states (steps, rows, HIDDEN) of inputs (steps, rows, EMBEDDED)."""
-    h = c = np.zeros((x.shape[1], HIDDEN), x.dtype)
-    out = np.empty((*x.shape[:2], HIDDEN), x.dtype)
-    wx, wh = w[:EMBEDDED], w[EMBEDDED:]
+    """Hidden states (steps, 2, rows, HIDDEN) of inputs (steps, 2, rows, EMBEDDED), one direction of each two."""
+    h = c = np.zeros((*x.shape[1:3], HIDDEN), x.dtype)
+    out = np.empty((*x.shape[:3], HIDDEN), x.dtype)
+    wx, wh = np.ascontiguousarray(w[:, :EMBEDDED]), np.ascontiguousarray(w[:, EMBEDDED:])
     for t in range(len(x)):
-        z = x[t] @ wx + h @ wh + b
-        gates = _sigmoid(z[:, : 3 * HIDDEN])
-        i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-        g = np.tanh(z[:, 3 * HIDDEN :])
+        z = x[t] @ wx + h @ wh + b[:, None]
+        gates = _sigmoid(z[..., : 3 * HIDDEN])
+        i, f, o = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
+        g = np.tanh(z[..., 3 * HIDDEN :])
         before, c = c, f * c + i * g
         u = np.tanh(c)
         if keep is not None:
@@ -199,68 +261,69 @@ def _lstm(x: np.ndarray, w: np.ndarray, b: np.ndarray, keep: list | None) -> np.
 
 
 def _lstm_back(x: np.ndarray, w: np.ndarray, kept: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    dw, db, dx = np.zeros_like(w), np.zeros(4 * HIDDEN), np.zeros_like(x)
-    dh = dc = np.zeros(dout.shape[1:])
+    """Slopes of w, b and x. The steps find those of the gates; the sums over all steps are one product each."""
+    dz = np.empty((*dout.shape[:3], 4 * HIDDEN), x.dtype)
+    dh = dc = np.zeros(dout.shape[1:], x.dtype)
+    back = w[:, EMBEDDED:].transpose(0, 2, 1)
     for t in reversed(range(len(x))):
-        i, f, o, g, before, u, last = kept[t]
+        i, f, o, g, before, u, _ = kept[t]
         dh = dh + dout[t]
         dc = dc + dh * o * (1 - u * u)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * u * o * (1 - o), dc * i * (1 - g * g)], 1)
-        joined = np.concatenate([x[t], last], 1)
-        dw += joined.T @ dz
-        db += dz.sum(0)
-        back = dz @ w.T
-        dx[t], dh, dc = back[:, :EMBEDDED], back[:, EMBEDDED:], dc * f
-    return dw, db, dx
+        dz[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * u * o * (1 - o), dc * i * (1 - g * g)], 2)
+        dh, dc = dz[t] @ back, dc * f
+    last = np.stack([k[6] for k in kept])
+    dw = np.concatenate([np.einsum("tdri,tdrj->dij", part, dz, optimize=True) for part in (x, last)], 1)
+    return dw, dz.sum((0, 2)), dz @ w[:, :EMBEDDED].transpose(0, 2, 1)
 
 
 def emissions(model: dict[str, np.ndarray], chars: np.ndarray, kept: dict | None = None) -> np.ndarray:
     """Tag scores (steps, rows, TAGS) of windows (rows, steps)."""
-    x = model["e"][chars.T]
-    kf, kb = ([], []) if kept is not None else (None, None)
-    hidden = np.concatenate([_lstm(x, model["wf"], model["bf"], kf), _lstm(x[::-1], model["wb"], model["bb"], kb)[::-1]], 2)
+    x = _both_ways(model["e"][chars.T])
+    steps: list | None = [] if kept is not None else None
+    two = _lstm(x, model["w"], model["b"], steps)
+    hidden = np.concatenate([two[:, 0], two[::-1, 1]], 2)
     if kept is not None:
-        kept.update(x=x, f=kf, b=kb, h=hidden)
+        kept.update(x=x, steps=steps, h=hidden)
     return hidden @ model["o"] + model["ob"]
 
 
 def _loss_and_slopes(model: dict[str, np.ndarray], chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """The CRF's mean negative log-likelihood of the tags, and its gradient, by forward and backward sums."""
+    """The CRF's mean negative log-likelihood of the tags, and its gradient, by forward and backward sums, scaled at each step."""
     kept: dict = {}
     e = emissions(model, chars, kept)
     steps, rows, _ = e.shape
     trans, y = np.where(_OPEN, model["t"], -1e4), tags.T
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = model["s"] + e[0]
-    for t in range(1, steps):
-        alpha[t] = _logsum(alpha[t - 1][:, :, None] + trans, 1) + e[t]
+    top = e.max(2, keepdims=True)
+    seen, step = np.exp(e - top), np.exp(trans)
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((steps, rows, 1), e.dtype)
+    for t in range(steps):
+        alpha[t] = seen[t] * (alpha[t - 1] @ step if t else np.exp(model["s"]))
+        scale[t] = alpha[t].sum(1, keepdims=True)
+        alpha[t] /= scale[t]
     for t in reversed(range(steps - 1)):
-        beta[t] = _logsum(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    total = _logsum(alpha[-1], 1)
+        beta[t] = (seen[t + 1] * beta[t + 1]) @ step.T / scale[t + 1]
+    total = (np.log(scale) + top).sum((0, 2))
     at, every = np.arange(steps)[:, None], np.arange(rows)[None, :]
     gold = e[at, every, y].sum(0) + model["s"][y[0]] + trans[y[:-1], y[1:]].sum(0)
-    de = np.exp(alpha + beta - total[:, None])
+    de = alpha * beta
     ds = de[0].sum(0)
-    dt = np.zeros_like(trans)
-    for t in range(1, steps):
-        dt += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - total[:, None, None]).sum(0)
+    dt = step * np.einsum("tri,trj->ij", alpha[:-1], seen[1:] * beta[1:] / scale[1:], optimize=True)
     de[at, every, y] -= 1
     np.subtract.at(ds, y[0], 1)
     np.subtract.at(dt, (y[:-1], y[1:]), 1)
     de, out = de / rows, {"s": ds / rows, "t": np.where(_OPEN, dt / rows, 0)}
-    hidden, x = kept["h"], kept["x"]
-    out["o"], out["ob"] = np.einsum("trh,trk->hk", hidden, de), de.sum((0, 1))
+    out["o"], out["ob"] = np.einsum("trh,trk->hk", kept["h"], de, optimize=True), de.sum((0, 1))
     dh = de @ model["o"].T
-    out["wf"], out["bf"], dxf = _lstm_back(x, model["wf"], kept["f"], dh[:, :, :HIDDEN])
-    out["wb"], out["bb"], dxb = _lstm_back(x[::-1], model["wb"], kept["b"], dh[::-1, :, HIDDEN:])
-    out["e"] = np.zeros_like(model["e"])
-    np.add.at(out["e"], chars.T, dxf + dxb[::-1])
+    dh = np.stack([dh[..., :HIDDEN], dh[::-1, :, HIDDEN:]], 1)
+    out["w"], out["b"], dx = _lstm_back(kept["x"], model["w"], kept["steps"], dh)
+    dx = (dx[:, 0] + dx[::-1, 1]).reshape(-1, EMBEDDED)
+    out["e"] = np.eye(OTHER + 1, dtype=dx.dtype)[chars.T.ravel()].T @ dx
     return float((total - gold).mean()), out
 
 
 def train(chars: np.ndarray, tags: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam over batches; without any window, a model that tags nothing."""
-    model = new_model(seed)
+    """Adam over batches, in single precision; without any window, a model that tags nothing."""
+    model = {k: v.astype(np.float32) for k, v in new_model(seed).items()}
     if not len(chars):
         model["ob"][0] = 50.0
         return model
@@ -311,53 +374,100 @@ def reconcile(n: int, starts: list[int], tags: np.ndarray) -> list[tuple[int, in
     return [(int(kind[a]) - 1, a + starts[0], b + starts[0]) for a, b in zip(cuts, cuts[1:], strict=False) if kind[a] > 0]
 
 
+_WRITTEN_OUT = re.compile(r"(@|(?<![A-Za-z])at(?![A-Za-z])).*(\.|(?<![A-Za-z])dot(?![A-Za-z]))[^A-Za-z0-9]*[A-Za-z]{2,}$", re.IGNORECASE | re.DOTALL)
+LONGEST = 254  # an address has no more characters
+_LETTERS = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
 def _plausible(kind: int, value: str) -> bool:
     """What a span of the kind can't do without, however it is spelled."""
-    digits = sum(c in "0123456789" for c in value)
-    if value != value.strip() or "\n" in value:
+    if len(value) > LONGEST or "\n" in value:
         return False
-    return ("@" in value or bool(TRIGGER.search(value))) and len(value) > 6 if kind == 0 else 4 <= digits <= 12 if kind == 1 else 13 <= digits <= 19 if kind == 2 else 8 <= digits <= 15
-
-
-def labelled_windows(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with the patterns' tags: up to `most` of them, those with the least hashes, half with spans, half without."""
-    rows = pick(docs, text=text_col).where(F.col("text").rlike("[0-9@+]|[Aa][Tt]"))
+    if kind == 0:
+        return bool(_WRITTEN_OUT.search(value))
+    groups = re.findall("[0-9]+", value)
+    digits = "".join(groups)
+    if kind == 1:
+        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    return 13 <= len(digits) <= 19 and _luhn(digits) if kind == 2 else 8 <= len(digits) <= 15 and sum(c in _LETTERS for c in value) == len(digits)
+
+
+def _settled(kind: int, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The span grown to whole words (numbers: to whole runs of digits), without white space and stops at its ends; None if it isn't plausible or is the middle of a longer word."""
+    grow = _LETTERS if kind == 0 else _DIGITS
+    while a > 0 and b - a <= LONGEST and text[a] in grow and text[a - 1] in grow:
+        a -= 1
+    while b < len(text) and b - a <= LONGEST and text[b - 1] in grow and text[b] in grow:
+        b += 1
+    while a < b and text[a] in " ,.;:\t":
+        a += 1
+    while a < b and text[b - 1] in " ,.;:\t":
+        b -= 1
+    cut = a < b and ((a > 0 and text[a] in _LETTERS and text[a - 1] in _LETTERS) or (b < len(text) and text[b - 1] in _LETTERS and text[b] in _LETTERS))
+    if kind and not cut:  # a group of a longer code, joined to letters by a dash
+        cut = (a > 1 and text[a - 1] in "-_" and text[a - 2] in _LETTERS) or (b + 1 < len(text) and text[b] in "-_" and text[b + 1] in _LETTERS)
+    return (a, b) if not cut and _plausible(kind, text[a:b]) else None
+
+
+def sampled_windows(docs: DataFrame, text_col: str = "text", most: int = SAMPLE, pool: int = POOL) -> list[tuple[str, bytes]]:
+    """(window, tags by the patterns): those with the least hashes, up to half of `most` with spans and half without.
+
+    They come from about `pool` documents, chosen by a hash of their text (all of them, if there are fewer). Each task
+    gives no more than it could be asked for, so what is shuffled doesn't grow with the windows of the corpus.
+    """
+    rows = pick(docs, text=text_col).where("text is not null")
+    share = min(1.0, pool / max(1, docs.count()))
+    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).where(F.col("text").rlike("[0-9@+]|[Aa][Tt]"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: tuple[dict, dict] = ({}, {})
         for batch in parts_of(batches, 2_000_000):
-            out = []
             for text in batch["text"]:
-                starts = windows(text)
-                if not starts:
-                    continue
-                chars, tags = classes_of(text, starts), tags_of(len(text) + WIDTH, base_spans(text))
-                out += [(bool(t.any()), c.tobytes(), t.astype(np.uint8).tobytes()) for c, t in ((c, tags[s : s + WIDTH]) for c, s in zip(chars, starts, strict=True))]
-            yield pd.DataFrame(out, columns=["full", "chars", "tags"])
-
-    found = rows.mapInPandas(run, "full boolean, chars binary, tags binary")
-    one = F.min(F.struct("tags", "full"))
-    found = staged(found.groupBy("chars").agg(one.alias("one")).select("chars", "one.*", F.xxhash64("chars").alias("h")), "windows")
-    sizes = dict(found.groupBy("full").count().collect())
-    parts = []
-    for v in (True, False):
-        # twice as many as wanted pass by their hashes, so that few rows leave each task
-        share = min(1.0, max(2 * most, 1000) / max(1, sizes.get(v, 0)))
-        some = found.where((F.col("full") == v) & (F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))))
-        parts.append(some.toPandas().sort_values(["h", "chars"])[: most // 2])
-    sample = pd.concat(parts, ignore_index=True)
-    both = [np.frombuffer(b"".join(sample[c]), np.uint8).reshape(-1, WIDTH).astype(np.int64) for c in ("chars", "tags")]
-    return both[0], both[1]
+                tags = tags_of(len(text) + WIDTH, base_spans(text))
+                for s in windows(text):
+                    own = tags[s : s + WIDTH]
+                    window = text[s : s + WIDTH]
+                    h = zlib.crc32(window.encode())
+                    kept[bool(own.any())].setdefault((h, window), own.astype(np.uint8).tobytes())
+                for k in (0, 1):
+                    if len(kept[k]) > 4 * most:
+                        least = heapq.nsmallest(most // 2, kept[k])
+                        some = {x: kept[k][x] for x in least}
+                        kept[k].clear()
+                        kept[k].update(some)
+        out = [(bool(k), *x, kept[k][x]) for k in (0, 1) for x in heapq.nsmallest(most // 2, kept[k])]
+        yield pd.DataFrame(out, columns=["full", "h", "window", "tags"])
+
+    found = rows.mapInPandas(run, "full boolean, h long, window string, tags binary")
+    found = found.groupBy("full", "h", "window").agg(F.min("tags").alias("tags"))
+    place = F.row_number().over(Window.partitionBy("full").orderBy("h", "window"))
+    rows = found.withColumn("place", place).where(F.col("place") <= most // 2).orderBy("full", "place").collect()
+    return [(r["window"], bytes(r["tags"])) for r in rows]
+
+
+def labelled_windows(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled windows' character classes and tags."""
+    return _coded(sampled_windows(docs, text_col, most))
+
+
+def _coded(sample: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    chars = [classes_of(w, [0])[0] for w, _ in sample]
+    tags = [np.frombuffer(t, np.uint8) for _, t in sample]
+    return np.array(chars, np.int64).reshape(-1, WIDTH), np.array(tags, np.int64).reshape(-1, WIDTH)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
-    """A model that has learnt from the patterns' spans in docs and from invented windows."""
-    both = zip(labelled_windows(docs, text_col), made_windows(), strict=True)
-    return train(*[np.concatenate(x) for x in both])
+    """A model that has learnt from the patterns' spans in docs and from other spellings of such data amid windows of docs."""
+    sample = sampled_windows(docs, text_col)
+    return train(*[np.concatenate(x) for x in zip(_coded(sample), made_windows(sample), strict=True)])
 
 
-def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", everywhere: bool = False) -> DataFrame:
     """(doc_id, kinds, starts, ends, base) for each row: all spans by kind, then start; base marks the patterns' own.
 
+    `everywhere` decodes all of each text, not only the stretches around digits, at signs, pluses and the word "at". No
+    span without one of these is plausible, so this changes spans only by other windows around them.
+
     Defined cases: a null or empty text has none; repeated rows each get a result; of added spans that overlap (ties), the
     tagging has one; a very long text is a part of its own, scanned in linear time; other columns, however named, are not
     read; an empty table gives none.
@@ -368,7 +478,7 @@ def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray], id_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts_of(batches, 2_000_000):
             own = ["" if t is None else t for t in part["text"]]
-            starts = [windows(t) for t in own]
+            starts = [list(range(0, len(t), STEP)) if everywhere else windows(t) for t in own]
             some = [k for k, s in enumerate(starts) if s]
             tags = np.empty((0, WIDTH), np.int64)
             if some:
@@ -379,7 +489,7 @@ def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray], id_col: st
             spans, at = [], 0
             for text, s in zip(own, starts, strict=True):
                 base = base_spans(text)
-                more = [x for x in _more(text, s, tags[at : at + len(s)]) if all(x[2] <= b[1] or x[1] >= b[2] for b in base)] if s else []
+                more = _more(text, s, tags[at : at + len(s)], base) if s else []
                 at += len(s)
                 spans.append(sorted([(*b, True) for b in base] + [(*m, False) for m in more]))
             yield pd.DataFrame({"doc_id": part["doc_id"], "kinds": [[KINDS[x[0]] for x in xs] for xs in spans], "starts": [[x[1] for x in xs] for xs in spans], "ends": [[x[2] for x in xs] for xs in spans], "base": [[x[3] for x in xs] for xs in spans]})
@@ -387,15 +497,21 @@ def find_personal_data(docs: DataFrame, model: dict[str, np.ndarray], id_col: st
     return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(run, "doc_id long, kinds array<string>, starts array<long>, ends array<long>, base array<boolean>")
 
 
-def _more(text: str, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """The tagger's plausible spans; stretches of windows that don't touch are reconciled apart."""
+def _more(text: str, starts: list[int], tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The tagger's spans that are plausible and clear of the base spans; stretches of windows that don't touch are reconciled apart."""
     if not tags.any():
         return []
+    taken = np.zeros(len(text), bool)
+    for _, a, b in base:
+        taken[a:b] = True
     out, first = [], 0
     for k in range(1, len(starts) + 1):
         if k == len(starts) or starts[k] >= starts[k - 1] + WIDTH:
-            if tags[first:k].any():
-                out += [x for x in reconcile(len(text), starts[first:k], tags[first:k]) if _plausible(x[0], text[x[1] : x[2]])]
+            for kind, a, b in reconcile(len(text), starts[first:k], tags[first:k]) if tags[first:k].any() else ():
+                found = _settled(kind, text, a, b)
+                if found and not taken[found[0] : found[1]].any():
+                    taken[found[0] : found[1]] = True
+                    out.append((kind, *found))
             first = k
     return out
 
