@@ -167,7 +167,8 @@ def made_windows(sample: list[tuple[str, bytes]], n: int = MADE, seed: int = 11)
     values: list[list[str]] = [[] for _ in KINDS]
     for text, tags in sample:
         for kind, a, b in reconcile(len(text), [0], np.frombuffer(tags, np.uint8)[None].astype(np.int64)):
-            if b < WIDTH and _accepted(kind, text[a:b]) and PATTERNS[kind].fullmatch(text[a:b]):
+            # whole values only: a window may cut one
+            if tags[a] % 2 and b < WIDTH and PATTERNS[kind].fullmatch(text[a:b]) and _accepted(kind, text[a:b]):
                 values[kind].append(text[a:b])
     chars, tags = [], []
     for _ in range(n):

@@ -196,3 +196,12 @@ def test_last_window_reaches_the_context():
     for at in range(25, 200):
         starts = windows("x" * 24 + "1" + "x" * (at - 25) + "1" + "x" * 100)
         assert any(a <= at and at + CONTEXT <= a + WIDTH for a in starts)
+
+
+def test_values_cut_by_windows():
+    """Windows that begin or end within a value give no value to respell."""
+    text = "x 10.20.30.40 y"
+    tags = pd_.tags_of(len(text) + pd_.WIDTH, pd_.base_spans(text)).astype(np.uint8)
+    for s in range(len(text)):
+        chars, made = pd_.made_windows([(text[s:], tags[s : s + pd_.WIDTH].tobytes()), ("nothing in these words", bytes(pd_.WIDTH))], n=20)
+        assert chars.shape == made.shape == (20, pd_.WIDTH)
