@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeflow.llm import near_dedup
 from lodeflow.llm.components import components
@@ -122,3 +123,17 @@ def test_words_split_and_case():
 def test_query(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     assert result(op8_minmax_near_dedup(spark, data)) == brute(rows, 2)
+
+
+def test_exact_misses_nothing(spark, monkeypatch, edge):
+    """With one band of four places, bucketing misses links; the exact way finds them all."""
+    whole = near_dedup.signatures
+    monkeypatch.setattr(near_dedup, "signatures", lambda docs, k: whole(docs, k).withColumn("bands", F.slice("bands", 1, 1)))
+    rows = copies(21, 20, 3, 14, 0.03) + copies(22, 60, 2, 60, 0.015)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2)
+    assert result(near_duplicates(df, k=2)) != want
+    assert result(near_duplicates(df, k=2, exact=True)) == want
+    plain = sorted(map(str, near_duplicates(edge, k=2).select("doc_id", "component_id", "kept").collect()))
+    assert sorted(map(str, near_duplicates(edge, k=2, exact=True).select("doc_id", "component_id", "kept").collect())) == plain
