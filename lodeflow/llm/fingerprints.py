@@ -1,4 +1,5 @@
-"""Document fingerprints by consistent weighted sampling, as DataFrame expressions.
+"""Document fingerprints by consistent weighted sampling, as DataFrame expressions; the joint estimate over BLOCKS blocks
+approximates generalised Jaccard similarity, while the plain collision rate of two fingerprints equals it with one block only.
 
 A document is its words with their counts as weights. Each of SAMPLES samples draws, for every word, two Gamma(2, 1)
 variates r and c and a uniform b which depend on the word and the sample alone; with weight w, t = floor(ln w / r + b),
@@ -9,7 +10,8 @@ Words are dealt into BLOCKS blocks by their hashes, and each block has SAMPLES s
 drawn SAMPLES times, once for each of its block's samples with its whole count as weight. A fingerprint also holds each
 block's sum of weights, W. The share s of a block's samples that agree estimates the block's similarity; as its sums of
 minima and maxima add up to W + W', its sum of maxima is (W + W') / (1 + s), and s times that is its sum of minima. Both
-are added over the blocks: the similarity of the whole, however unevenly the blocks weigh.
+are added over the blocks: the similarity of the whole, however unevenly the blocks weigh. blocks=1 draws every word for
+every sample: then the collision rate itself is the estimate, at so much more work.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def sample(word: Column, log_weight: Column, number: Column) -> Column:
     return F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(word, t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def fingerprint(texts: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+def fingerprint(texts: DataFrame, keys: list[str], facts: list[str], blocks: int = BLOCKS, samples: int = SAMPLES) -> DataFrame:
     """keys, facts, text -> keys, facts, block, weight, s0...: the samples of each text, a row for each block with words.
 
     Words are runs without white space, A-Z as they are; wordless texts have no rows. facts are columns that the keys
@@ -53,27 +55,27 @@ def fingerprint(texts: DataFrame, keys: list[str], facts: list[str]) -> DataFram
     """
     words = texts.select(*keys, *facts, F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("w")).where("w <> ''")
     counts = words.select(*keys, *facts, F.xxhash64("w").alias("word")).groupBy(*keys, *facts, "word").agg(F.count("*").alias("n"))
-    block = F.pmod(F.xxhash64("word", F.lit(0)), F.lit(BLOCKS)).cast("int")
+    block = F.pmod(F.xxhash64("word", F.lit(0)), F.lit(blocks)).cast("int")
     placed = counts.select(*keys, *facts, "word", "n", F.log("n").alias("lw"), block.alias("block"))
-    least = [F.min(sample(F.col("word"), F.col("lw"), F.lit(i))).alias(f"s{i}") for i in range(SAMPLES)]
+    least = [F.min(sample(F.col("word"), F.col("lw"), F.lit(i))).alias(f"s{i}") for i in range(samples)]
     return placed.groupBy(*keys, *facts, "block").agg(F.sum("n").alias("weight"), *least)
 
 
-def as_print(blocks: Column) -> Column:
+def as_print(found: Column, blocks: int = BLOCKS, samples: int = SAMPLES) -> Column:
     """An array of (block, weight, codes) as a fingerprint: struct of weights, one for each block, and codes of 16 bits,
-    SAMPLES for each; 0 and -1 where a block has no words."""
-    slots = F.transform(F.array(*map(F.lit, range(BLOCKS))), lambda g: F.get(F.filter(blocks, lambda b: b["block"] == g), F.lit(0)))
+    `samples` for each; 0 and -1 where a block has no words."""
+    slots = F.transform(F.array(*map(F.lit, range(blocks))), lambda g: F.get(F.filter(found, lambda b: b["block"] == g), F.lit(0)))
     weights = F.transform(slots, lambda b: F.coalesce(b["weight"], F.lit(0)))
-    codes = F.flatten(F.transform(slots, lambda b: F.coalesce(b["codes"], F.array_repeat(F.lit(-1), SAMPLES))))
+    codes = F.flatten(F.transform(slots, lambda b: F.coalesce(b["codes"], F.array_repeat(F.lit(-1), samples))))
     return F.struct(weights.alias("weights"), codes.alias("codes"))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, blocks: int = BLOCKS, samples: int = SAMPLES) -> Column:
     """The estimated generalised Jaccard similarity of two fingerprints; 1 for two empty ones, 0 for one."""
     least = most = F.lit(0.0)
-    for g in range(BLOCKS):
-        own, other = (F.slice(x["codes"], g * SAMPLES + 1, SAMPLES) for x in (a, b))
-        s = F.size(F.filter(F.zip_with(own, other, lambda x, y: (x == y) & (x >= 0)), lambda e: e)) / SAMPLES
+    for g in range(blocks):
+        own, other = (F.slice(x["codes"], g * samples + 1, samples) for x in (a, b))
+        s = F.size(F.filter(F.zip_with(own, other, lambda x, y: (x == y) & (x >= 0)), lambda e: e)) / samples
         top = (F.get(a["weights"], F.lit(g)) + F.get(b["weights"], F.lit(g))) / (1 + s)
         least, most = least + s * top, most + top
     return F.when(most == 0, 1.0).otherwise(F.least(least / most, F.lit(1.0)))
@@ -125,7 +127,7 @@ def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_next(rows, "near", ["place"], "text", "next").select("near", "place", "doc_id", "text", edited.alias("edited"))
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
 
     Defined cases: a null text is empty; empty and wordless texts have the empty fingerprint, which is wholly like another
@@ -138,16 +140,16 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     fact = F.concat_ws(",", F.char_length("text").cast("string"), F.sha2("edited", 256), F.col("doc_id").cast("string"))
     kinds = [(0, F.col("text"), F.lit(None).cast("string")), (1, F.col("edited"), F.lit(None).cast("string")), (2, F.lit("-"), fact)]
     each = texts.select("near", "place", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text"), f.alias("fact")) for k, t, f in kinds])).alias("t"))
-    prints = fingerprint(each.select("near", "place", "t.*"), ["near", "place", "kind"], ["fact"])
-    codes = F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(SAMPLES)])
-    own = lambda kind: as_print(F.collect_list(F.when(F.col("kind") == kind, F.struct("block", "weight", codes.alias("codes")))))
+    prints = fingerprint(each.select("near", "place", "t.*"), ["near", "place", "kind"], ["fact"], blocks, samples)
+    codes = F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(samples)])
+    own = lambda kind: as_print(F.collect_list(F.when(F.col("kind") == kind, F.struct("block", "weight", codes.alias("codes")))), blocks, samples)
     whole = prints.groupBy("near", "place").agg(own(0).alias("print"), own(1).alias("edited_print"), F.max("fact").alias("fact"))
     parts = F.split("fact", ",")
     doc_id = F.get(parts, F.lit(2)).cast(docs.schema[id_col].dataType if id_col in docs.columns else "long")
     facts = [doc_id.alias("doc_id"), F.get(parts, F.lit(0)).cast("long").alias("n_chars"), F.get(parts, F.lit(1)).alias("edited_sha256")]
     joined = staged(whole.select("near", "place", "print", "edited_print", *facts), "prints")
     out = with_next(joined, "near", ["place"], "print", "next_print")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print"), blocks, samples).alias("near_edited"), likeness(F.col("print"), F.col("next_print"), blocks, samples).alias("near_next"))
 
 
 def op2_weighted_sampling(spark, sf_dir):

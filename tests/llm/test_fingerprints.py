@@ -57,8 +57,8 @@ def test_edges(spark, edge, empty):
     assert fingerprint_edits(lone).first()["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
-def test_samples_agree_as_generalised_jaccard_says(spark, monkeypatch):
-    """Counts from 1 to 200. In one block of 512 samples, the rate of agreement; in 8 blocks of 16, the joint estimate."""
+def test_samples_agree_as_generalised_jaccard_says(spark):
+    """Counts from 1 to 200. In one block of 128 samples, the rate of agreement; in 8 blocks of 16, the joint estimate."""
     draw = np.random.default_rng(5)
     count = lambda: np.maximum(1, draw.geometric(0.03, 60)).clip(max=200)
     bags = [dict(zip(draw.choice(90, 60, replace=False).tolist(), count().tolist(), strict=True)) for _ in range(8)]
@@ -74,9 +74,7 @@ def test_samples_agree_as_generalised_jaccard_says(spark, monkeypatch):
     got = {(r["i"], r["j"]): r["s"] for r in both.select("i", "j", fingerprints.likeness(F.col("p"), F.col("q")).alias("s")).collect()}
     off = np.array([got[p] for p in pairs]) - truth
     assert np.sqrt((off**2).mean()) < 0.06 and abs(off.mean()) < 0.02
-    monkeypatch.setattr(fingerprints, "BLOCKS", 1)
-    monkeypatch.setattr(fingerprints, "SAMPLES", 128)
-    rates = {r["id"]: np.array([r[f"s{i}"] & 0xFFFFFFFF for i in range(128)]) for r in fingerprints.fingerprint(rows, ["id"], []).collect()}
+    rates = {r["id"]: np.array([r[f"s{i}"] & 0xFFFFFFFF for i in range(128)]) for r in fingerprints.fingerprint(rows, ["id"], [], blocks=1, samples=128).collect()}
     off = np.array([(rates[i] == rates[j]).mean() for i, j in pairs]) - truth
     assert np.abs(off).max() < 0.17 and abs(off.mean()) < 0.01
 
@@ -84,3 +82,15 @@ def test_samples_agree_as_generalised_jaccard_says(spark, monkeypatch):
 def test_no_python_in_the_plan(spark, data):
     plan = op2_weighted_sampling(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_one_block(spark):
+    """blocks=1: the rate at which the printed samples agree is the estimate, and near the generalised Jaccard similarity."""
+    draw = np.random.default_rng(8)
+    texts = [" ".join(f"w{w}" for w in draw.integers(0, 60, 120)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = fingerprint_edits(df, blocks=1, samples=64).orderBy("doc_id").collect()
+    codes = lambda p: [p.split("-")[1][k : k + 4] for k in range(0, 256, 4)]
+    for t, e, r in zip(texts, edited(texts), got, strict=True):
+        s = np.mean([x == y for x, y in zip(codes(r["fingerprint"]), codes(r["edited_fingerprint"]), strict=True)])
+        assert abs(r["near_edited"] - s) < 1e-9 and abs(s - jaccard(t, e)) < 0.3
