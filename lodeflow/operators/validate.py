@@ -43,15 +43,20 @@ def valid(found: Column) -> Column:
     return F.forall(found, lambda c: c["ok"])
 
 
+def header_and_count(lines: DataFrame) -> DataFrame:
+    """One row, header and n: the first of (block, line) and how many lines but one aren't blank. The first line is the first of the
+    block with the least number, wherever that block is read; lines of one block come in their order."""
+    placed = lines.select("line", F.struct("block", F.monotonically_increasing_id().alias("at")).alias("place"))
+    return placed.agg(F.min_by("line", "place").alias("header"), (F.count_if(trim(F.col("line")) != "") - 1).alias("n"))
+
+
 def validate_file(spark: SparkSession, path: str, division: str, kind: str) -> DataFrame:
     """(ok, message) for each check of one file; an unknown division or type gives one failing check."""
     contract = contract_of(division, kind)
     if contract is None:
         return spark.createDataFrame([(False, "Choose a division and dataset type first.")], "ok boolean, message string")
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r\\z", "").alias("line"))
-    first = lines.limit(1).agg(F.first("line").alias("header"))
-    full = lines.agg((F.count_if(trim(F.col("line")) != "") - 1).alias("n"))
-    both = first.join(full)
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r\\z", "").alias("line"))
+    both = header_and_count(lines)
     found = checks(F.col("header"), F.col("n"), F.array(*map(F.lit, contract.required)))
     return both.select(F.explode(found).alias("c")).select("c.ok", "c.message")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodeflow.functions.display import time_ago
 from lodeflow.operators import catalog
 from lodeflow.operators.clean import prepare
-from lodeflow.operators.validate import ingest, validate_file
+from lodeflow.operators.validate import header_and_count, ingest, validate_file
 from lodeflow.sources import names, store
 from lodeflow.streaming.incremental import progress, run_incremental
 
@@ -32,6 +32,13 @@ def test_validation(spark, tmp_path, text, bad):
     assert [r["message"] for r in out if not r["ok"]] == bad
 
 
+def test_header_is_the_first_blocks(spark):
+    """Blocks that come in any order: the header is the first line of the file, not of what is read first."""
+    lines = spark.createDataFrame([(70, "5,6"), (0, "a,b"), (0, "1,2"), (35, " "), (35, "3,4")], "block long, line string").coalesce(1)
+    assert tuple(header_and_count(lines).first()) == ("a,b", 3)
+    assert tuple(header_and_count(lines.limit(0)).first()) == (None, -1)
+
+
 def test_unknown_type(spark, tmp_path):
     out = validate_file(spark, write(tmp_path, "f.csv", "a\n1"), "finance", "nothing").collect()
     assert [r["ok"] for r in out] == [False]
