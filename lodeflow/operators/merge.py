@@ -59,14 +59,16 @@ def _as_numbers(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> tuple[C
     if whole + scale <= 38:
         return tuple(c.cast(f"decimal({whole + scale},{scale})") for c in (a, b))
 
-    def digits(c: Column) -> Column:
+    def digits(c: Column, kind: T.DataType) -> Column:
         t = c.cast("string")
+        if _digits(kind)[1] == 0:
+            return t
         sign, power = F.regexp_extract(t, r"\A-?", 0), F.regexp_extract(t, r"E-([0-9]+)\z", 1).try_cast("int")
         small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), power - 1), F.regexp_replace(t, r"E.*|[.-]", ""))
-        plain = F.when(power.isNotNull(), small).otherwise(t)
-        return F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+\z", "")).otherwise(plain)
+        plain = F.when(t.contains("E"), small).otherwise(t)
+        return F.when(plain.contains("."), F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))).otherwise(plain)
 
-    return digits(a), digits(b)
+    return digits(a, ta), digits(b, tb)
 
 
 def _keys(ka: Column, ta: T.DataType, kb: Column, tb: T.DataType, cells: bool) -> tuple[Column, Column]:
@@ -153,15 +155,20 @@ def merge(a: DataFrame, b: DataFrame, how: str = "inner", on: str | None = None,
     right = b.toDF(*[f"b{i}" for i in range(len(bn))])
     ka, kb = an.index(key), bn.index(key)
     ta, tb = [f.dataType for f in a.schema.fields], [f.dataType for f in b.schema.fields]
-    xa, xb = _keys(F.col(f"a{ka}"), ta[ka], F.col(f"b{kb}"), tb[kb], cells)
+    own = (F.col(f"a{ka}"), F.col(f"b{kb}"))
+    xa, xb = _keys(own[0], ta[ka], own[1], tb[kb], cells)
+    computed = xa is not own[0]
+    if heavy or computed:
+        # columns of their own: as expressions in the join, keys would be computed again wherever a sort compares them
+        left, right = left.withColumn("xa", xa), right.withColumn("xb", xb)
     if heavy:
-        left, right = spread(left.withColumn("xa", xa), right.withColumn("xb", xb), F.col("xa"), F.col("xb"), heavy)
+        left, right = spread(left, right, F.col("xa"), F.col("xb"), heavy)
         left, right = (df.withColumnsRenamed({"salt_": f"salt{s}", "copied_": f"copied{s}"}) for df, s in ((left, "a"), (right, "b")))
         joined = left.join(right, F.col("xa").eqNullSafe(F.col("xb")) & (F.col("salta") == F.col("saltb")), JOINS[how])
         alone = (F.col("salta").isNull() & F.col("copiedb")) | (F.col("saltb").isNull() & F.col("copieda"))
         joined = joined.where(~F.coalesce(alone, F.lit(False)))
     else:
-        joined = left.join(right, xa.eqNullSafe(xb), JOINS[how])
+        joined = left.join(right, F.col("xa").eqNullSafe(F.col("xb")) if computed else xa.eqNullSafe(xb), JOINS[how])
     slots = {c: bn.index(c) for c in an if c in bn and c != key} if right_collision == "left_slot" else {}
     only_right = F.col("pa").isNull()
     out = []

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodeflow.operators.merge import merge, output_names, preview, shared_column
 
@@ -59,6 +60,23 @@ def test_plans(sides):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_computed_keys_are_columns(spark):
+    """Keys that no decimal type holds together are computed once a row: neither sorts nor the join hold their expressions."""
+    big = "123456789012345678901234567890"
+    a = spark.createDataFrame([(big,), ("-7",), ("0",), ("100",), (None,)], "t string").select(F.col("t").cast("decimal(38,0)").alias("k"), F.col("t").alias("x"))
+    b = spark.createDataFrame([("-7.000",), ("0.0",), ("100.000000000000000001",), ("100",), ("0.000000000000000001",), (None,)], "t string").select(F.col("t").cast("decimal(38,18)").alias("k"), F.col("t").alias("y"))
+    out = merge(a, b, "outer")
+    got = {tuple(r) for r in out.collect()}
+    assert got == {(big, big, None), ("-7", "-7", "-7.000"), ("0", "0", "0.0"), ("100", "100", "100"), (None, None, None), ("100.000000000000000001", None, "100.000000000000000001"), ("0.000000000000000001", None, "0.000000000000000001")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merge(a, b, "outer")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "regexp" not in join and "trim" not in join and "cast" not in join, join
+
+
 def test_preview(spark):
     df = spark.createDataFrame([(i, None if i == 3 else 1.0 * i) for i in range(20)], "i int, x double")
     out = preview(df, ["i"]).collect()
