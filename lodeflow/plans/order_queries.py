@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodeflow.operators import catalog, chart, clean, merge
 from lodeflow.plans.queries import fresh_lake, query, read
 from lodeflow.sources import store
-from lodeflow.sources.records import ROW
+from lodeflow.sources.records import ROW, numbered
 
 
 def _placed(df, order):
@@ -70,15 +70,13 @@ b AS (SELECT row_number() OVER (ORDER BY c_custkey DESC) AS j, CASE WHEN c_custk
 SELECT row_number() OVER (ORDER BY i NULLS LAST, j NULLS FIRST) - 1 AS place, CAST(coalesce(a.k, b.k) AS DOUBLE) AS k, CAST(o_orderkey AS DOUBLE) AS o_orderkey, c_name FROM a FULL JOIN b ON a.k = b.k""")
 def merge_file_order(spark, sf_dir):
     """An outer merge of two CSV datasets: the first's rows in order, then those of the second that match none."""
-    from pyspark.sql import Window
-
     root = fresh_lake(spark)
     a = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", (-F.col("o_orderkey")).alias(ROW))
     k = F.col("c_custkey")
     b = read(spark, sf_dir, "customer").select(F.when(k % 2 == 0, k).otherwise(k + 1_000_000_000).alias("k"), "c_name", (-k).alias(ROW))
     one, two = (("Silver", store.write_silver(df, root, name)) for df, name in ((a, "a"), (b, "b")))
     out = merge.merge_datasets(spark, root, one, two, "outer")
-    return out.withColumn("place", (F.row_number().over(Window.orderBy(ROW)) - 1).cast("long")).drop(ROW)
+    return numbered(out, ROW, "place").drop(ROW)
 
 
 #: A column with booleans and numbers among others, as a CSV file may have it.

@@ -171,6 +171,18 @@ def _names(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), "path")
 
 
+def numbered(df: DataFrame, order: str | Column, out: str) -> DataFrame:
+    """df with each row's number from 0 in an order, without gaps. Rows are sorted over all tasks and written; how many stand
+    before a task's rows comes from the tasks' counts, one row each."""
+    own, at = "_part_", "_at_"
+    rows = staged(df.orderBy(order).withColumns({own: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "numbered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col(own).alias("part")).agg(F.count("*").alias("n"))
+    starts = counts.select(F.col("part").alias("_task_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before_"))
+    placed = rows.join(F.broadcast(starts), F.col(own) == F.col("_task_"))  # one row a task
+    return placed.select(*df.columns, (F.col("_before_") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(out))
+
+
 def lines_after(spark: SparkSession, paths: list[str], skip: int) -> DataFrame:
     """line: the lines of files as they are, in the files' and their own order, but the first ones of each file."""
 

@@ -117,3 +117,14 @@ def test_places_are_kept_and_no_data(spark):
     assert [r[ROW] for r in clean.dedupe(df.select(ROW, F.lit(1.0).alias("x"))).collect()] == [0]
     with pytest.raises(ValueError):
         merge.preview(df.drop(ROW))
+
+
+def test_numbered_over_many_tasks(spark):
+    """Numbers without gaps in an order, rows sorted by several tasks and none of them ranking all rows."""
+    df = spark.range(1000).repartition(7).select(F.struct((F.col("id") % 3).alias("a"), F.when(F.col("id") % 5 != 0, F.col("id")).alias("b"), "id").alias(ROW), "id")
+    out = m.numbered(df, ROW, "place")
+    rows = out.collect()
+    want = sorted(range(1000), key=lambda i: (i % 3, i if i % 5 else -1, i))
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["place"])] == want and sorted(r["place"] for r in rows) == list(range(1000))
+    assert m.numbered(df.limit(0), ROW, "place").count() == 0
+    assert "row_number" not in out._jdf.queryExecution().executedPlan().toString()
