@@ -38,9 +38,9 @@ def upload_unchanged(spark, sf_dir):
     root = fresh_lake(spark)
     path = _one_text(spark, _invoices(spark, sf_dir), root, "orders")
     name = validate.ingest(spark, path, root, "finance", "invoice_summary", now_ms=7)
-    both = [spark.read.format("binaryFile").load(p).select(F.sha2("content", 256).alias(c)) for p, c in ((path, "a"), (names.path_of(root, "Bronze", name), "b"))]
+    same = store.same_bytes(spark, path, names.path_of(root, "Bronze", name))
     lines = spark.read.text(path).agg((F.count("*") - 1).alias("lines"))
-    return both[0].join(both[1], F.col("a") == F.col("b"), "full").join(lines, how="cross").select(F.lit(name).alias("name"), F.col("a").eqNullSafe(F.col("b")).alias("same"), "lines")
+    return same.join(lines, how="cross").select(F.lit(name).alias("name"), "same", "lines")
 
 
 _FIELDS = ("layer", "name", "display_name", "division", "owner", "rows", "columns", "status", "archived")

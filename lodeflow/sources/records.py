@@ -11,6 +11,7 @@ dataset, without gaps: operators that need a first row take it where a frame has
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -130,6 +131,26 @@ def _file_order(path: Column) -> list[Column]:
     return [F.regexp_replace(path, r"[^/]*\z", ""), F.regexp_extract(path, r"/part-([0-9]+)[^/]*\z", 1).try_cast("long"), path]
 
 
+def digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, block, digest: the SHA-256 of each block's lines as they are, whatever their encoding. Only a last line feed, and
+    a byte-order mark, leave no trace in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, rows = None, None, []
+        for file, block, lines in _blocks_of(batches):
+            if (file, block) != own:
+                rows += [(*own, state.hexdigest())] if own else []
+                own, state = (file, block), hashlib.sha256()
+            for line in lines.to_pylist():
+                state.update(line + b"\n")
+        rows += [(*own, state.hexdigest())] if own else []
+        kinds = [pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["file", "block", "digest"])
+
+    ship(spark)
+    return _lines(spark, path).withColumn("line", F.col("line").cast("binary")).mapInArrow(run, "file bigint, block bigint, digest string")
+
+
 def placed_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, block, inside, before, base, header: whether a block starts inside quotes, records before it in its file, and in
     the files before it, headers left out there.

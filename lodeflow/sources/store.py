@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodeflow.functions.cells import text_kind
 from lodeflow.sources import names
-from lodeflow.sources.records import ROW, records
+from lodeflow.sources.records import ROW, digests, records
 
 CSV_READ = {"header": True, "multiLine": True, "escape": '"', "inferSchema": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -67,6 +67,16 @@ def copy_file(spark: SparkSession, source: str, target: str) -> None:
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, spark._jsc.hadoopConfiguration())
 
 
+def same_bytes(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """One row, same: whether two files hold the same bytes. Files of equal length are cut into the same blocks in one scan;
+    those are compared by digests."""
+    length = [fs.getFileStatus(p).getLen() for fs, p in (file_system(spark, path) for path in (first, second))]
+    if length[0] != length[1] or first == second or not length[0]:
+        return spark.createDataFrame([(length[0] == length[1],)], "same boolean")
+    pairs = digests(spark, [first, second]).groupBy("block").agg(((F.count("*") == 2) & (F.min("digest") == F.max("digest"))).alias("same"))
+    return pairs.agg(F.coalesce(F.bool_and("same"), F.lit(False)).alias("same"))
+
+
 def read_csv(spark: SparkSession, path: str, typed: bool = True, ordered: bool = False) -> DataFrame:
     """A CSV dataset. Typed: a column whose cells are all numbers (or all booleans, or date-times) gets that type.
 

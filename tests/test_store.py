@@ -138,3 +138,22 @@ def test_download_of_parts(spark, tmp_path):
     # only headers; one part
     for k, rows in enumerate((rows.where("id < 0"), rows.where("id < 3").coalesce(1))):
         assert store.read_csv(spark, store.download(spark, root, "Silver", store.write_silver(rows, root, f"few{k}"), f"file://{tmp_path}/out")).count() == 3 * k
+
+
+def test_same_bytes(spark, tmp_path):
+    """Compared in blocks, none of which is a file: one byte, an encoding, a line's end and a length apart."""
+    base = b"a,b\r\n" + b"".join(b"%d,\xff\xfe\n" % i for i in range(500))
+    others = {"same": base, "byte": base[:2000] + b"#" + base[2001:], "swapped": base[:5] + base[10:15] + base[5:10] + base[15:], "end": base[:-1] + b" ", "longer": base + b"\n", "nothing": b""}
+    for name, content in {"base": base, "void": b"", **others}.items():
+        (tmp_path / name).write_bytes(content)
+    own = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        same = {n: store.same_bytes(spark, f"file://{tmp_path}/base", f"file://{tmp_path}/{n}") for n in others}
+        assert {n: df.first()["same"] for n, df in same.items()} == {n: n == "same" for n in others}
+        assert store.same_bytes(spark, f"file://{tmp_path}/void", f"file://{tmp_path}/nothing").first()["same"]
+        assert "binaryFile" not in same["same"]._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
