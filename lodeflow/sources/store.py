@@ -80,15 +80,16 @@ def same_bytes(spark: SparkSession, first: str, second: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, typed: bool = True, ordered: bool = False) -> DataFrame:
     """A CSV dataset. Typed: a column whose cells are all numbers (or all booleans, or date-times) gets that type.
 
-    That decision needs one pass over the data, as a single aggregate over all columns. Ordered: files are read in blocks
-    by many tasks, and a column ROW has each row's place; else each file is one task's.
+    That decision needs one pass over the data, as a single aggregate over all columns. Files are read in blocks by many
+    tasks. Ordered: a column ROW has each row's place.
     """
-    df = spark.read.options(**CSV_READ).csv(path)  # with ordered, only its header is read
-    if ordered:
-        found = df.columns
+    df = spark.read.options(**CSV_READ).csv(path)  # only its header is read
+    found = df.columns
+    if found or ordered:
         schema = ", ".join(f"c{i} string" for i in range(len(found)))
         options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_READ.items() if k != "header"}
         df = records(spark, path).select(ROW, F.from_csv("record", schema, options).alias("r")).select(ROW, "r.*").toDF(ROW, *found)
+        df = df if ordered else df.drop(ROW)
     return typed_cells(df) if typed else df
 
 

@@ -140,6 +140,22 @@ def test_download_of_parts(spark, tmp_path):
         assert store.read_csv(spark, store.download(spark, root, "Silver", store.write_silver(rows, root, f"few{k}"), f"file://{tmp_path}/out")).count() == 3 * k
 
 
+def test_csv_is_read_in_blocks(spark, tmp_path):
+    """A dataset without places is read by many tasks too, cells with line feeds included."""
+    rows = "".join(f'{i},"two\nlines {i}"\n' for i in range(400))
+    path = write(tmp_path, "f.csv", f"k,note\n{rows}")
+    own = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = store.read_csv(spark, path, typed=False)
+        assert df.columns == ["k", "note"] and df.rdd.getNumPartitions() > 1
+        assert sorted(tuple(r) for r in df.collect()) == sorted((str(i), f"two\nlines {i}") for i in range(400))
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 def test_same_bytes(spark, tmp_path):
     """Compared in blocks, none of which is a file: one byte, an encoding, a line's end and a length apart."""
     base = b"a,b\r\n" + b"".join(b"%d,\xff\xfe\n" % i for i in range(500))
