@@ -110,3 +110,32 @@ def test_repeated_documents_stand_apart(spark, data):
     per = lambda r: (r["score"] - r["base_score"]) / r["n_tokens"]
     out, learnt = ([per(r) for r in rows if r["held_out"] == h and r["n_tokens"] > 50] for h in (True, False))
     assert np.median(learnt) > np.median(out) + 0.5
+
+
+def test_chunks_that_are_cut_by_batches_find_their_counts(spark, monkeypatch):
+    """With the filter in its segments, a chunk's texts may reach a task in several batches."""
+    monkeypatch.setattr(lm, "FILTER_BYTES", 0)
+    monkeypatch.setattr(lm, "BATCH_ROWS", 7)
+    monkeypatch.setattr(lm, "BITS_EACH", 60.0)
+    monkeypatch.setattr(lm, "TOKENS", 20)
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 1 << 10)
+    texts = [" ".join(f"w{(i * j) % 41}" for j in range(i % 17)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
+    m = Model(texts)
+    assert got == pytest.approx({i: m.score(t) for i, t in enumerate(texts)}, rel=1e-3)
+
+
+def test_counting_sends_few_rows(spark, data):
+    """What is shuffled is a row for each segment and run of texts, not one for each n-gram."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = docs.select("text").coalesce(1)
+    rows = lm.counted(texts, 3).collect()
+    words = Counter(w for r in docs.collect() for w in tokens(r["text"]))
+    assert len(rows) == 6 and {r["kind"] for r in rows} == {0, 1}
+    assert sum(sum(np.frombuffer(r["counts"], "<u4")) for r in rows if r["kind"] == 0) == sum(words.values())
