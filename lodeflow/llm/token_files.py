@@ -14,7 +14,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The characters that stand for bytes in such a vocabulary: printable ones for themselves, the others from 256 on.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: b if b in PLAIN else 256 + sum(c not in PLAIN for c in range(b)) for b in range(256)}
+#: Marks that are one unit of the splitting rule where they end a piece, after letters.
+MARKS = ".,;:!?"
 ODD = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 FRAME_SCHEMA = (
     "part int, frame int, n_tokens long, doc_ids array<long>, lengths array<long>, symbols binary, frequencies binary, "
@@ -42,6 +44,22 @@ FRAME_SCHEMA = (
 )
 
 
+class Known(dict):
+    """Values by key, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = self.make(key)
+        return got
+
+    def cut(self, most: int) -> None:
+        """Forget what came after the first `most`."""
+        for _ in range(len(self) - most):
+            self.popitem()
+
+
 class Pieces:
     """Ids of texts by the tokenizers library, which sees each distinct piece of the usual texts once while it is kept.
 
@@ -71,9 +89,7 @@ class Pieces:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.first: dict[str, np.ndarray] = {}
+        self.known, self.units, self.first = Known(self._piece), Known(self._merged), Known(lambda text: self._plain(text).tobytes())
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -92,39 +108,14 @@ class Pieces:
             shown = unit.encode().decode("latin-1").translate(BYTES)
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that each stand after a space; a word's also serve for it with marks behind."""
-        out, known, units = {}, self.known, self.units
-        for p in pieces:
-            if p.isalpha():
-                if p not in out:
-                    out[p] = self._merged(f" {p}")
-                continue
-            ids = []
-            for u in self.split(f" {p}"):
-                if u[0] == " " and u[1:].isalpha():
-                    word = u[1:]
-                    got = known.get(word) or out.get(word)
-                    if got is None:
-                        got = out[word] = self._merged(u)
-                else:
-                    got = units.get(u)
-                    if got is None:
-                        got = self._merged(u)
-                        if len(units) < CACHED // 4:
-                            units[u] = got
-                ids.append(got)
-            out[p] = b"".join(ids)
-        return out
-
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, pieces))
-        if new := [p for p, f in zip(pieces, found, strict=True) if f is None]:
-            made = self._new(new)
-            if len(self.known) < CACHED:
-                self.known.update(made)
-            found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-        return found
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that stands after a space; a word's also serve for it with marks behind."""
+        if piece.isalpha():
+            return self._merged(f" {piece}")
+        word = piece.rstrip(MARKS)
+        if word.isalpha():
+            return self.known[word] + self.units[piece[len(word) :]]
+        return b"".join([self.known[u[1:]] if u[0] == " " and u[1:].isalpha() else self.units[u] for u in self.split(f" {piece}")])
 
     def _fits(self, text: str) -> bool:
         if not self.cuts or self.added(text):
@@ -137,33 +128,17 @@ class Pieces:
             return not WHOLE.search(text)
         return not (b"  " in b or b"\n " in b)
 
+    def _encoded(self, text: str) -> np.ndarray:
+        if not self._fits(text):
+            return self._plain(text)
+        first, *pieces = text.split(" ")
+        return np.frombuffer(self.first[first] + b"".join(map(self.known.__getitem__, pieces)), self.kind)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Pieces of all texts are numbered together, and each distinct one is looked up once."""
-        cut = [t.split(" ") if self._fits(t) else None for t in texts]
-        pieces: list[str] = []
-        for own in cut:
-            if own:
-                pieces += own[1:]
-        spread = np.empty(len(pieces), object)
-        spread[:] = pieces
-        codes, distinct = pd.factorize(spread)
-        found = self._look_up(distinct.tolist())
-        flat, sizes = np.frombuffer(b"".join(found), self.kind), np.array([len(f) for f in found], np.int64) // self.kind.itemsize
-        lengths, begins = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        ends = np.concatenate([[0], ends])
-        out, at = [], 0
-        for own, t in zip(cut, texts, strict=True):
-            if own:
-                head = self.first.get(own[0])
-                if head is None:
-                    head = self._plain(own[0])
-                    if len(self.first) < CACHED // 8:
-                        self.first[own[0]] = head
-                out.append(np.concatenate([head, ids[ends[at] : ends[at := at + len(own) - 1]]]))
-            else:
-                out.append(self._plain(t))
+        """The ids of each text. What is new in them is kept as far as there is room, or else until all are done."""
+        out = list(map(self._encoded, texts))
+        for known, most in ((self.known, CACHED), (self.units, CACHED // 4), (self.first, CACHED // 8)):
+            known.cut(most)
         return out
 
 

@@ -97,3 +97,13 @@ def test_edges(spark, edge, empty, tmp_path):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in got) and [r["n_tokens"] for r in got if r["doc_id"] in (3, 4)] == [1, 1]
     assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
     assert tf.token_table(empty).count() == 0
+
+
+def test_what_is_kept_is_bounded(plain, monkeypatch):
+    """Pieces over the bound are forgotten after each call, and have the same ids when they come again."""
+    monkeypatch.setattr(tf, "CACHED", 16)
+    coder = tf.Pieces(PATH)
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}{end}" for i in range(k, k + 40)) for k, end in enumerate(["", ",", "?!", "'s", "x1", "\n"])]
+    for _ in range(2):
+        assert [i.tolist() for i in coder.encode(texts)] == [plain(t) for t in texts]
+        assert len(coder.known) == 16 and len(coder.units) <= 4 and len(coder.first) <= 2
